@@ -144,3 +144,50 @@ ORACLE["best_hour"] = _with(KDE, """
 SELECT city, topic, day_type, round(arg_max(x, density), 6) AS peak_x,
        round(max(density), 6) AS peak_density
 FROM dens GROUP BY city, topic, day_type""")
+
+# --------------------------------------------------------------------------- #
+# Venues: the plan as the reference states it (join, count by point, join the
+# point's smallest venue id, join group and venue attributes).
+
+VENUES = GROUPS + r""",
+v AS (SELECT p_partkey AS venue_id, p_name AS name,
+             CAST(regexp_extract(p_brand, '(\d+)$', 1) AS DOUBLE) AS lat,
+             CAST(p_size AS DOUBLE) AS lon, p_retailprice AS rating FROM part),
+canon AS (SELECT lat, lon, min(venue_id) AS loc_id FROM v GROUP BY lat, lon),
+ev AS (SELECT o.o_custkey AS group_id, l.l_partkey AS venue_id
+       FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+gl AS (SELECT ev.group_id, v.lat, v.lon, count(*) AS host_num
+       FROM ev JOIN v ON ev.venue_id = v.venue_id GROUP BY ev.group_id, v.lat, v.lon),
+gvi AS (SELECT canon.loc_id AS venue_id, gl.group_id, gl.lat, gl.lon, gl.host_num,
+               g.topic, g.name AS "group", g.city, v.name AS venue, v.rating
+        FROM gl JOIN canon ON gl.lat = canon.lat AND gl.lon = canon.lon
+        JOIN grp g ON gl.group_id = g.group_id
+        JOIN v ON v.venue_id = canon.loc_id),
+freq AS (SELECT city, venue_id, group_id, lat, lon, topic, host_num FROM gvi WHERE host_num > 1),
+cc AS (SELECT n_name AS city, 25.0 + n_nationkey AS lat, -120.0 + 2 * n_nationkey AS lon FROM nation)"""
+
+ORACLE["canonical_location"] = _with(VENUES, "SELECT lat, lon, loc_id FROM canon")
+
+ORACLE["group_venue_info"] = _with(VENUES, "SELECT * FROM gvi")
+
+ORACLE["group_venue_flag"] = _with(VENUES, """
+SELECT *, CAST(host_num >= 2 AS INTEGER) AS host FROM gvi""")
+
+ORACLE["frequent_venues"] = _with(VENUES, "SELECT * FROM freq")
+
+ORACLE["venue_map"] = _with(VENUES + """,
+m AS (SELECT f.*, 
+        f.lon * (6378137.0 * pi() / 180.0) AS x,
+        CASE WHEN f.lat > -90 AND f.lat < 90
+             THEN ln(tan((f.lat + 90) * (pi() / 360.0))) * 6378137.0 END AS y,
+        ln(f.host_num) * 3 AS size,
+        CAST(c.lon AS DOUBLE) * (6378137.0 * pi() / 180.0) AS city_x,
+        CASE WHEN c.lat > -90 AND c.lat < 90
+             THEN ln(tan((CAST(c.lat AS DOUBLE) + 90) * (pi() / 360.0))) * 6378137.0 END AS city_y
+      FROM freq f JOIN cc c ON f.city = c.city)""", """
+SELECT city, venue_id, group_id, lat, lon, topic, host_num,
+       round(x, 3) AS x, round(y, 3) AS y, round(size, 3) AS size,
+       round(city_x, 3) AS city_x, round(city_y, 3) AS city_y,
+       (x BETWEEN city_x - 10000.0 AND city_x + 10000.0)
+         AND (y BETWEEN city_y - 10000.0 AND city_y + 10000.0) AS in_view
+FROM m""")
