@@ -191,3 +191,209 @@ SELECT city, venue_id, group_id, lat, lon, topic, host_num,
        (x BETWEEN city_x - 10000.0 AND city_x + 10000.0)
          AND (y BETWEEN city_y - 10000.0 AND city_y + 10000.0) AS in_view
 FROM m""")
+
+# --------------------------------------------------------------------------- #
+# Text, corpora and text features
+
+
+def _clean(col: str) -> str:
+    return (f"CASE WHEN {col} IS NULL OR {col} = '' THEN NULL ELSE array_to_string("
+            f"list_filter(string_split_regex(trim(lower(regexp_replace({col}, "
+            f"'<[^<]+?>|[^a-zA-Z]', ' ', 'g'))), ' +'), lambda w: length(w) > 3), ' ') END")
+
+
+def _split(col: str) -> str:
+    return (f"CASE WHEN CAST(('0x' || substr(md5(CAST({col} AS VARCHAR) || ':42'), 1, 8)) AS BIGINT)"
+            f" % 100 < 20 THEN 'test' ELSE 'train' END")
+
+
+def _stop_list() -> str:
+    from gatherlens.functions.text import default_stop_words
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in default_stop_words())
+
+
+ORACLE["clean_text"] = f"SELECT doc_id, {_clean('text')} AS clean FROM documents"
+
+ORACLE["clean_html"] = f"SELECT page_id, {_clean('html')} AS clean FROM pages"
+
+ORACLE["json_extract"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"
+
+
+def _corpus(topic: str) -> str:
+    return f"""
+corpus0 AS (SELECT doc_id, {topic} AS topic, {_clean('text')} AS text FROM documents),
+corpus AS (SELECT *, {_split('doc_id')} AS split FROM corpus0 WHERE topic <> '' AND text <> '')"""
+
+
+RANK = _corpus("source") + """,
+tr AS (SELECT topic, count(*) AS n,
+              CAST(row_number() OVER (ORDER BY count(*) DESC, topic) AS INTEGER) AS rank
+       FROM corpus GROUP BY topic)"""
+
+ORACLE["topic_rank"] = _with(RANK, "SELECT topic, n, rank FROM tr")
+
+ORACLE["corpus_topn"] = _with(RANK + """,
+ns AS (SELECT unnest([5, 10, 15, 20]) AS topic_n)""", """
+SELECT ns.topic_n, c.doc_id, c.topic, CAST(tr.rank - 1 AS INTEGER) AS label, c.split, c.text
+FROM corpus c JOIN tr ON c.topic = tr.topic JOIN ns ON tr.rank <= ns.topic_n""")
+
+ORACLE["train_test_split"] = _with(_corpus("lang"), "SELECT doc_id, split FROM corpus")
+
+
+def _tfidf(name: str, source: str) -> str:
+    return f""",
+{name}_tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\b\\w\\w+\\b')) AS term
+               FROM {source}),
+{name}_tf AS (SELECT doc_id, term, count(*) AS tf FROM {name}_tok
+              WHERE term NOT IN ({_stop_list()}) GROUP BY doc_id, term),
+{name}_voc AS (SELECT term, sum(tf) AS freq, count(*) AS df FROM {name}_tf
+               GROUP BY term ORDER BY freq DESC, term LIMIT 20000),
+{name}_w AS (SELECT t.doc_id, t.term, t.tf,
+                    t.tf * (ln((1 + (SELECT count(*) FROM {source})) / (1 + v.df)) + 1) AS w
+             FROM {name}_tf t JOIN {name}_voc v USING (term)),
+{name} AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf
+           FROM {name}_w)"""
+
+
+def _chi2(name: str, feats: str, labels: str) -> str:
+    return f""",
+{name}_pri AS (SELECT label, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {labels}) AS p
+               FROM {labels} GROUP BY label),
+{name}_obs AS (SELECT f.term, l.label, sum(f.tfidf) AS o
+               FROM {feats} f JOIN {labels} l USING (doc_id) GROUP BY f.term, l.label),
+{name}_sc AS (SELECT term, round(sum(o * o / p) / sum(o) - sum(o), 6) AS chi2
+              FROM {name}_obs JOIN {name}_pri USING (label) GROUP BY term),
+{name} AS (SELECT term, chi2, CAST(row_number() OVER (ORDER BY chi2 DESC, term) AS INTEGER) AS rank
+           FROM {name}_sc QUALIFY rank <= 10000)"""
+
+
+ORACLE["tfidf"] = _with(_corpus("lang") + _tfidf("tfidf", "corpus"), """
+SELECT doc_id, term, tf, round(tfidf, 6) AS tfidf FROM tfidf""")
+
+ORACLE["chi2_topk"] = _with(
+    _corpus("lang") + _tfidf("tfidf", "corpus")
+    + ",\nlab AS (SELECT doc_id, topic AS label FROM corpus)" + _chi2("chi", "tfidf", "lab"),
+    "SELECT term, chi2, rank FROM chi")
+
+TOP_TERMS = (_corpus("lang") + ",\ntrain AS (SELECT * FROM corpus WHERE split = 'train')"
+             + _tfidf("feat", "train")
+             + ",\nlab AS (SELECT doc_id, topic AS label FROM train)" + _chi2("chi", "feat", "lab")
+             + """,
+sel AS (SELECT f.* FROM feat f WHERE f.term IN (SELECT term FROM chi)),
+nbo AS (SELECT l.label, s.term, sum(s.tfidf) AS o FROM sel s JOIN lab l USING (doc_id)
+        GROUP BY l.label, s.term),
+nbw AS (SELECT label, term,
+               ln((o + 0.01) / (sum(o) OVER (PARTITION BY label)
+                                + 0.01 * (SELECT count(DISTINCT term) FROM sel))) AS weight
+        FROM nbo),
+top AS (SELECT label, term, weight,
+               CAST(row_number() OVER (PARTITION BY label ORDER BY weight DESC, term) AS INTEGER) AS rank
+        FROM nbw QUALIFY rank <= 25)""")
+
+ORACLE["top_terms"] = _with(TOP_TERMS, "SELECT label, term, round(weight, 6) AS weight, rank FROM top")
+
+ORACLE["lemma_weights"] = _with(TOP_TERMS, """
+SELECT label, lemma, 25 + min(25 - rank) AS weight FROM (
+  SELECT *, CASE WHEN term LIKE '%s' AND term NOT LIKE '%ss' AND length(term) > 4
+                 THEN substr(term, 1, length(term) - 1) ELSE term END AS lemma FROM top)
+GROUP BY label, lemma""")
+
+SEQ = _corpus("lang") + """,
+trw AS (SELECT unnest(string_split_regex(text, ' +')) AS word FROM corpus WHERE split = 'train'),
+idx AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id, count(*) AS n
+        FROM trw WHERE word <> '' GROUP BY word QUALIFY id < 20000),
+ws AS (SELECT doc_id, string_split_regex(text, ' +') AS ws FROM corpus),
+pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM ws),
+sq AS (SELECT pos.doc_id, list(idx.id ORDER BY pos.p) AS seq FROM pos JOIN idx USING (word)
+       GROUP BY pos.doc_id),
+seqs AS (SELECT c.doc_id, coalesce(sq.seq, []) AS seq FROM corpus c LEFT JOIN sq USING (doc_id))"""
+
+ORACLE["token_sequences"] = _with(SEQ, """
+SELECT doc_id, CAST(len(seq) AS INTEGER) AS n_ids, array_to_string(seq, ',') AS seq FROM seqs""")
+
+ORACLE["padded_sequences"] = _with(SEQ + """,
+tl AS (SELECT doc_id, list_slice(seq, greatest(len(seq) - 500, 0) + 1,
+                                 greatest(len(seq) - 500, 0) + 500) AS t FROM seqs)""", """
+SELECT doc_id, array_to_string(list_concat([0 FOR x IN range(500 - len(t))], t), ',') AS padded
+FROM tl""")
+
+ORACLE["embedding_table"] = _with(SEQ + """,
+vw AS (SELECT DISTINCT unnest(string_split_regex(text, ' +')) AS word FROM corpus),
+vecs AS (SELECT vw.word, e.embedding AS vec FROM vw JOIN embeddings e
+         ON e.vec_id = CAST(('0x' || substr(md5(vw.word), 1, 8)) AS BIGINT)
+                       % (2 * (SELECT count(*) FROM embeddings))
+         WHERE vw.word <> ''),
+tab AS (SELECT 0 AS id, NULL AS word, NULL AS vec
+        UNION ALL
+        SELECT CAST(idx.id AS INTEGER), idx.word, vecs.vec FROM idx LEFT JOIN vecs USING (word))""", """
+SELECT id, word,
+       CASE WHEN vec IS NULL THEN array_to_string([printf('%.6f', 0.0::DOUBLE) FOR x IN range(64)], ',')
+            ELSE array_to_string(list_transform(vec, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') END AS vec
+FROM tab""")
+
+# --------------------------------------------------------------------------- #
+# Metrics
+
+PRED = """
+pred AS (SELECT d.doc_id, l.quality AS label, CAST(d.n_chars > 1000 AS INTEGER) AS prediction
+         FROM documents d JOIN labels l USING (doc_id)),
+cells AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction)"""
+
+ORACLE["confusion"] = _with(PRED, """
+SELECT label, prediction, n, round(n * 100.0 / sum(n) OVER (PARTITION BY label), 6) AS pct FROM cells""")
+
+F1 = PRED + """,
+cls AS (SELECT label AS cls FROM cells UNION SELECT prediction FROM cells),
+per AS (SELECT cls,
+               sum(CASE WHEN label = cls THEN n ELSE 0 END) AS actual,
+               sum(CASE WHEN prediction = cls THEN n ELSE 0 END) AS predicted,
+               sum(CASE WHEN label = cls AND prediction = cls THEN n ELSE 0 END) AS tp
+        FROM cls CROSS JOIN cells GROUP BY cls)"""
+
+ORACLE["weighted_f1"] = _with(F1, """
+SELECT 'label' AS weight_by, round(sum(2.0 * tp / (actual + predicted) * actual) / sum(actual), 6) AS f1
+FROM per
+UNION ALL
+SELECT 'prediction', round(sum(2.0 * tp / (actual + predicted) * predicted) / sum(predicted), 6) FROM per""")
+
+ORACLE["accuracy"] = _with(PRED, """
+SELECT round(sum(CASE WHEN label = prediction THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS acc
+FROM cells""")
+
+_RULES = [(t, m) for t in ("quality", "toxic") for m in (500, 1000, 2000)]
+SWEEP = ("""
+sp AS (""" + "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS task, 'chars_gt_{m}' AS model, d.doc_id, l.{t} AS label, "
+    f"CAST(d.n_chars > {m} AS INTEGER) AS prediction FROM documents d JOIN labels l USING (doc_id)"
+    for t, m in _RULES) + """),
+sc AS (SELECT task, model, label, prediction, count(*) AS n FROM sp GROUP BY ALL),
+scls AS (SELECT DISTINCT task, model, label AS cls FROM sc
+         UNION SELECT DISTINCT task, model, prediction FROM sc),
+sper AS (SELECT k.task, k.model, k.cls,
+                sum(CASE WHEN c.label = k.cls THEN c.n ELSE 0 END) AS actual,
+                sum(CASE WHEN c.prediction = k.cls THEN c.n ELSE 0 END) AS predicted,
+                sum(CASE WHEN c.label = k.cls AND c.prediction = k.cls THEN c.n ELSE 0 END) AS tp
+         FROM scls k JOIN sc c ON c.task = k.task AND c.model = k.model
+         GROUP BY k.task, k.model, k.cls),
+sf1 AS (SELECT task, model, sum(2.0 * tp / (actual + predicted) * actual) / sum(actual) AS f1
+        FROM sper GROUP BY task, model),
+sacc AS (SELECT task, model,
+                sum(CASE WHEN label = prediction THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS acc
+         FROM sc GROUP BY task, model),
+sweep AS (SELECT task, model, f1, acc FROM sf1 JOIN sacc USING (task, model))""")
+
+ORACLE["model_sweep"] = _with(SWEEP, "SELECT task, model, round(f1, 6) AS f1, round(acc, 6) AS acc FROM sweep")
+
+ORACLE["metric_pivot"] = _with(SWEEP, "SELECT task, " + ", ".join(
+    f"round(max(f1) FILTER (WHERE model = 'chars_gt_{m}'), 6) AS chars_gt_{m}" for m in (500, 1000, 2000))
+    + " FROM sweep GROUP BY task")
+
+ORACLE["model_rank"] = _with(SWEEP, """
+SELECT task, model, round(f1, 6) AS f1, round(acc, 6) AS acc,
+       CAST(row_number() OVER (ORDER BY f1 DESC, model) AS INTEGER) AS rank
+FROM sweep WHERE task = 'quality'""")
+
+ORACLE["nan_median"] = """
+SELECT event_type,
+       CAST(round_even(median(value) FILTER (WHERE NOT isnan(value)), 0) AS INTEGER) AS median_value
+FROM events GROUP BY event_type"""

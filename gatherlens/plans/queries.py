@@ -11,8 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatherlens.functions import scalars as X
+from gatherlens.functions import text as T
+from gatherlens.operators import corpus as C
 from gatherlens.operators import density as K
+from gatherlens.operators import introspect as I
+from gatherlens.operators import metrics as M
 from gatherlens.operators import occurrence as O
+from gatherlens.operators import textfeat as TF
 from gatherlens.operators import venues as V
 from gatherlens.session import configure
 from gatherlens.sources import standins as S
@@ -188,3 +194,189 @@ def venue_map(spark, sf_dir):
     freq = V.frequent_venues(_gvi(spark, sf_dir), min_hosts=MIN_HOSTS)
     m = V.venue_map(freq, S.city_coordinates(spark, sf_dir))
     return rounded(m, "x", "y", "size", "city_x", "city_y", digits=3)
+
+
+# --------------------------------------------------------------------------- #
+# Text, corpora and text features
+
+def _corpus(spark, sf_dir, topic="lang"):
+    return C.clean_corpus(S.documents(spark, sf_dir, topic=topic))
+
+
+@query
+def clean_text(spark, sf_dir):
+    """X5 on documents: tags and non-letters removed, words longer than 3 letters."""
+    d = S.read(spark, sf_dir, "documents")
+    return d.select("doc_id", T.clean_text("text").alias("clean"))
+
+
+@query
+def clean_html(spark, sf_dir):
+    """X5 on raw web pages."""
+    p = S.read(spark, sf_dir, "pages")
+    return p.select("page_id", T.clean_text("html").alias("clean"))
+
+
+@query
+def json_extract(spark, sf_dir):
+    """P5: a field of a JSON string column, parsed with a declared schema."""
+    e = S.read(spark, sf_dir, "events")
+    return e.select("event_id", F.from_json("props", "k INT").getField("k").alias("k"))
+
+
+@query
+def topic_rank(spark, sf_dir):
+    """A7 + T2: documents per topic (topic := source) and the topics' rank."""
+    return C.topic_rank(_corpus(spark, sf_dir, "source"))
+
+
+@query
+def corpus_topn(spark, sf_dir):
+    """M1 (T3, F3, J7, M2): corpora of the top 5/10/15/20 topics with labels and split."""
+    return C.topic_corpora(_corpus(spark, sf_dir, "source"))
+
+
+@query
+def train_test_split(spark, sf_dir):
+    """M2: deterministic 80/20 split of the documents by a hash of doc_id."""
+    return C.train_test_split(_corpus(spark, sf_dir)).select("doc_id", "split")
+
+
+def _tfidf(corpus):
+    return TF.tfidf(corpus, TF.MAX_FEATURES, T.default_stop_words())
+
+
+@query
+def tfidf(spark, sf_dir):
+    """TF-IDF of every document (20,000-term vocabulary, stop words removed)."""
+    return rounded(_tfidf(_corpus(spark, sf_dir)), "tfidf")
+
+
+@query
+def chi2_topk(spark, sf_dir):
+    """The 10,000 terms with the highest chi-square against the language label."""
+    corpus = _corpus(spark, sf_dir)
+    scores = TF.chi2_scores(_tfidf(corpus), corpus.select("doc_id", F.col("topic").alias("label")))
+    return TF.chi2_top_k(scores, TF.SELECT_K)
+
+
+def _top_terms(spark, sf_dir):
+    """Vectoriser, chi-square selection and naive Bayes weights fitted on the
+    training split, as the reference's pipeline is."""
+    train = C.train_test_split(_corpus(spark, sf_dir)).filter(F.col("split") == "train")
+    labels = train.select("doc_id", F.col("topic").alias("label"))
+    feats = _tfidf(train)
+    selected = TF.chi2_top_k(TF.chi2_scores(feats, labels), TF.SELECT_K)
+    # at most SELECT_K rows
+    feats = feats.join(F.broadcast(selected.select("term")), "term", "left_semi")
+    weights = I.nb_term_weights(feats, labels, I.ALPHA)
+    return I.top_terms(weights, I.TOP_TERMS)
+
+
+@query
+def top_terms(spark, sf_dir):
+    """M6: the 25 heaviest naive Bayes terms of each language."""
+    return rounded(_top_terms(spark, sf_dir), "weight")
+
+
+@query
+def lemma_weights(spark, sf_dir):
+    """M7: keyword weights of each language merged by lemma (plural rule)."""
+    top = _top_terms(spark, sf_dir)
+    return I.lemma_weights(top, I.plural_lemmas(top), I.TOP_TERMS)
+
+
+def _word_index(spark, sf_dir):
+    corpus = C.train_test_split(_corpus(spark, sf_dir))
+    index = TF.word_index(corpus.filter(F.col("split") == "train"), TF.NUM_WORDS)
+    return corpus, index
+
+
+@query
+def token_sequences(spark, sf_dir):
+    """Every document as word ids (index fitted on the training split)."""
+    corpus, index = _word_index(spark, sf_dir)
+    seq = TF.token_sequences(corpus, index)
+    return seq.select("doc_id", F.size("seq").alias("n_ids"),
+                      F.array_join("seq", ",").alias("seq"))
+
+
+@query
+def padded_sequences(spark, sf_dir):
+    """The id sequences left-padded / cut to 500."""
+    corpus, index = _word_index(spark, sf_dir)
+    seq = TF.token_sequences(corpus, index)
+    return seq.select("doc_id", F.array_join(TF.pad_sequences("seq"), ",").alias("padded"))
+
+
+# The driver's embeddings have 64 dimensions.
+EMBEDDING_DIM = 64
+
+
+@query
+def embedding_table(spark, sf_dir):
+    """N5 + J8: word id -> vector (zeros for id 0 and words without a vector)."""
+    corpus, index = _word_index(spark, sf_dir)
+    vocab = corpus.select(F.explode(T.words("text")).alias("word"))
+    table = TF.embedding_table(index, S.word_vectors(spark, sf_dir, vocab), EMBEDDING_DIM)
+    text = F.array_join(F.transform("vec", lambda x: F.format_string("%.6f", x.cast("double"))), ",")
+    return table.select("id", "word", text.alias("vec"))
+
+
+# --------------------------------------------------------------------------- #
+# Metrics (A22-A26, A12, T8, A19)
+
+@query
+def confusion(spark, sf_dir):
+    """A22 + A25: confusion cells of a rule predictor, with % of the true class."""
+    return rounded(M.confusion(S.rule_predictions(spark, sf_dir)), "pct")
+
+
+def _cells(spark, sf_dir):
+    pred = S.rule_predictions(spark, sf_dir)
+    return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def weighted_f1(spark, sf_dir):
+    """Weighted F1 by true-class sizes and by predicted-class sizes."""
+    cells = _cells(spark, sf_dir)
+    by_label = M.weighted_f1(cells, weight_by="label").select(F.lit("label").alias("weight_by"), "f1")
+    by_pred = M.weighted_f1(cells, weight_by="prediction").select(F.lit("prediction").alias("weight_by"), "f1")
+    return rounded(by_label.unionByName(by_pred), "f1")
+
+
+@query
+def accuracy(spark, sf_dir):
+    """Accuracy of a rule predictor."""
+    return rounded(M.accuracy(_cells(spark, sf_dir)), "acc")
+
+
+def _sweep(spark, sf_dir):
+    return M.evaluate(S.rule_sweep_predictions(spark, sf_dir), ["task", "model"])
+
+
+@query
+def model_sweep(spark, sf_dir):
+    """A26 + M8: f1 and accuracy of every (task, model) of a prediction table."""
+    return rounded(_sweep(spark, sf_dir), "f1", "acc")
+
+
+@query
+def metric_pivot(spark, sf_dir):
+    """The sweep's F1 as a task x model table."""
+    models = [f"chars_gt_{m}" for m in S.RULE_THRESHOLDS]
+    return rounded(M.metric_pivot(_sweep(spark, sf_dir), "task", "model", "f1", models), *models)
+
+
+@query
+def model_rank(spark, sf_dir):
+    """Models ranked by F1 on the quality task."""
+    return rounded(M.rank_models(_sweep(spark, sf_dir), {"task": "quality"}), "f1", "acc")
+
+
+@query
+def nan_median(spark, sf_dir):
+    """Median event value per event type (NaN skipped), rounded half-even."""
+    e = S.read(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(X.nan_median("value").alias("median_value"))

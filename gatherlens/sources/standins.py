@@ -93,6 +93,26 @@ def rule_predictions(spark: SparkSession, sf_dir: str, min_chars: int = 1000,
                      (F.col("n_chars") > min_chars).cast("int").alias("prediction")))
 
 
+# Fixed values of the stand-in rule predictors: a document is predicted
+# positive when it is longer than the threshold (in characters).
+RULE_THRESHOLDS = (500, 1000, 2000)
+RULE_TARGETS = ("quality", "toxic")
+
+
+def rule_sweep_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predictions of several rule "models" on several label columns:
+    (task, model, doc_id, label, prediction), one row per document, task and model."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lab = read(spark, sf_dir, "labels")
+    runs = F.array(*[
+        F.struct(F.lit(t).alias("task"), F.lit(f"chars_gt_{m}").alias("model"),
+                 F.col(t).alias("label"), (F.col("n_chars") > m).cast("int").alias("prediction"))
+        for t in RULE_TARGETS for m in RULE_THRESHOLDS])
+    return (d.join(lab, "doc_id")
+             .select("doc_id", F.explode(runs).alias("r"))
+             .select("r.task", "r.model", "doc_id", "r.label", "r.prediction"))
+
+
 def word_vectors(spark: SparkSession, sf_dir: str, corpus_words: DataFrame) -> DataFrame:
     """word vectors := embeddings keyed by words.
 
