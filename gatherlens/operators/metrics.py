@@ -55,16 +55,22 @@ def accuracy(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cells.groupBy(*keys).agg((F.sum(hit) / F.sum("n")).alias("acc"))
 
 
-def evaluate(pred: DataFrame, keys: Sequence[str] = (), weight_by: str = "label") -> DataFrame:
-    """(keys..., f1, acc) for every key group of a prediction table."""
+def summary(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., f1, f1_by_prediction, acc) from confusion cells in one aggregation."""
+    keys = list(keys)
+    per = class_scores(cells, keys)
+    return per.groupBy(*keys).agg(
+        (F.sum(F.col("f1") * F.col("actual")) / F.sum("actual")).alias("f1"),
+        (F.sum(F.col("f1") * F.col("predicted")) / F.sum("predicted")).alias("f1_by_prediction"),
+        (F.sum("tp") / F.sum("actual")).alias("acc"))
+
+
+def evaluate(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., f1, f1_by_prediction, acc) for every key group of a
+    prediction table; the prediction rows are read once."""
     keys = list(keys)
     cells = pred.groupBy(*keys, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    f1 = weighted_f1(cells, keys, weight_by)
-    acc = accuracy(cells, keys)
-    if keys:
-        return f1.join(acc, keys)
-    # One row each: attach the accuracy as a scalar subquery.
-    return f1.select("f1", acc.select("acc").scalar().alias("acc"))
+    return summary(cells, keys)
 
 
 def metric_pivot(metrics: DataFrame, row: str, column: str, metric: str = "f1",

@@ -17,10 +17,11 @@ from gatherlens.operators import corpus as C
 from gatherlens.operators import density as K
 from gatherlens.operators import introspect as I
 from gatherlens.operators import metrics as M
+from gatherlens.operators import models as ML
 from gatherlens.operators import occurrence as O
 from gatherlens.operators import textfeat as TF
 from gatherlens.operators import venues as V
-from gatherlens.session import configure
+from gatherlens.session import configure, materialize
 from gatherlens.sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,7 +354,8 @@ def accuracy(spark, sf_dir):
 
 
 def _sweep(spark, sf_dir):
-    return M.evaluate(S.rule_sweep_predictions(spark, sf_dir), ["task", "model"])
+    return M.evaluate(S.rule_sweep_predictions(spark, sf_dir), ["task", "model"]) \
+            .select("task", "model", "f1", "acc")
 
 
 @query
@@ -380,3 +382,95 @@ def nan_median(spark, sf_dir):
     """Median event value per event type (NaN skipped), rounded half-even."""
     e = S.read(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(X.nan_median("value").alias("median_value"))
+
+
+# --------------------------------------------------------------------------- #
+# Models (M3-M5, M9, A26): fitted on the training split, scored on the test
+# split.  No SQL oracle: the driver checks row counts.
+
+def _labelled(spark, sf_dir, topic="lang", topic_n=20):
+    """(doc_id, text, label DOUBLE, split) for the top ``topic_n`` topics."""
+    corpora = C.topic_corpora(_corpus(spark, sf_dir, topic), (topic_n,))
+    return corpora.select("doc_id", "text", F.col("label").cast("double").alias("label"), "split")
+
+
+def _benchmark(spark, sf_dir, model_type, params=None):
+    data = _labelled(spark, sf_dir)
+    train = materialize(data.filter(F.col("split") == "train"))
+    test = data.filter(F.col("split") == "test")
+    model = ML.build_pipeline(model_type, params=params).fit(train)
+    return rounded(ML.evaluate(model, test, {"model": model_type, "task": "lang"}),
+                   "f1", "f1_by_prediction", "acc")
+
+
+@query
+def nb_benchmark(spark, sf_dir):
+    """M3a + M5: TF-IDF -> chi2 top-k -> multinomial naive Bayes, language labels."""
+    return _benchmark(spark, sf_dir, "MNB")
+
+
+@query
+def svm_benchmark(spark, sf_dir):
+    """M3b + M5: TF-IDF -> chi2 top-k -> one-vs-rest linear SVM."""
+    return _benchmark(spark, sf_dir, "SVC")
+
+
+@query
+def rf_benchmark(spark, sf_dir):
+    """M3c + M5: TF-IDF -> chi2 top-k -> random forest (200 trees)."""
+    return _benchmark(spark, sf_dir, "RFC")
+
+
+@query
+def etc_benchmark(spark, sf_dir):
+    """M3d + M5: the extra-trees slot, as a random forest without bootstrap."""
+    return _benchmark(spark, sf_dir, "ETC")
+
+
+@query
+def cv_best(spark, sf_dir):
+    """M4: 3-fold grid search of the naive Bayes smoothing, best model refit and scored."""
+    data = _labelled(spark, sf_dir)
+    train = materialize(data.filter(F.col("split") == "train"))
+    test = data.filter(F.col("split") == "test")
+    pipe = ML.build_pipeline("MNB")
+    nb = pipe.getStages()[-1]
+    cv = ML.grid_search(pipe, {nb.smoothing: [0.01, 0.1, 1.0]}).fit(train)
+    best = cv.bestModel.stages[-1].getSmoothing()
+    scores = ML.evaluate(cv.bestModel, test, {"model": "MNB", "task": "lang"})
+    return rounded(scores.withColumn("best_alpha", F.lit(best)), "f1", "f1_by_prediction", "acc")
+
+
+@query
+def mlp_benchmark(spark, sf_dir):
+    """M9: mean word-embedding of each document -> multilayer perceptron (256, 256)."""
+    corpus, index = _word_index(spark, sf_dir)
+    vocab = corpus.select(F.explode(T.words("text")).alias("word"))
+    table = TF.embedding_table(index, S.word_vectors(spark, sf_dir, vocab), EMBEDDING_DIM)
+    feats = ML.mean_sequence_vectors(TF.token_sequences(corpus, index), table, EMBEDDING_DIM)
+    labelled = _labelled(spark, sf_dir).select("doc_id", "label", "split")
+    data = feats.join(labelled, "doc_id")
+    train = materialize(data.filter(F.col("split") == "train"))
+    test = data.filter(F.col("split") == "test")
+    n_classes = train.select(F.max("label")).first()[0]
+    model = ML.mlp(EMBEDDING_DIM, int(n_classes) + 1).fit(train)
+    return rounded(ML.evaluate(model, test, {"model": "MLP", "task": "lang"}),
+                   "f1", "f1_by_prediction", "acc")
+
+
+@query
+def topic_sweep(spark, sf_dir):
+    """A26 + M8: naive Bayes on the corpora of the top 5/10/15/20 topics (topic := source)."""
+    corpora = C.topic_corpora(_corpus(spark, sf_dir, "source"))
+    data = materialize(corpora.select("topic_n", "doc_id", "text",
+                                      F.col("label").cast("double").alias("label"), "split"))
+    parts = []
+    for n in C.TOPIC_NS:
+        sub = data.filter(F.col("topic_n") == n)
+        model = ML.build_pipeline("MNB").fit(sub.filter(F.col("split") == "train"))
+        parts.append(ML.evaluate(model, sub.filter(F.col("split") == "test"),
+                                 {"topic_num": n, "model": "MNB"}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out, "f1", "f1_by_prediction", "acc")
