@@ -397,3 +397,15 @@ ORACLE["nan_median"] = """
 SELECT event_type,
        CAST(round_even(median(value) FILTER (WHERE NOT isnan(value)), 0) AS INTEGER) AS median_value
 FROM events GROUP BY event_type"""
+
+# --------------------------------------------------------------------------- #
+# Sources
+
+ORACLE["parse_events"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', ts) AS time,
+       nullif(value, 0) AS rating,
+       CAST(nullif(CAST(trunc(value) AS BIGINT), 0) AS INTEGER) AS rating_count,
+       user_id AS group_id, CAST(NULL AS BIGINT) AS venue_id,
+       CAST(epoch_us(ts) // 1000000 AS BIGINT) AS event_time_stamp,
+       {_clean('event_type')} AS name, {_clean('props')} AS description
+FROM events"""

@@ -22,6 +22,7 @@ from gatherlens.operators import occurrence as O
 from gatherlens.operators import textfeat as TF
 from gatherlens.operators import venues as V
 from gatherlens.session import configure, materialize
+from gatherlens.sources import entities as E
 from gatherlens.sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,3 +475,15 @@ def topic_sweep(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return rounded(out, "f1", "f1_by_prediction", "acc")
+
+
+# --------------------------------------------------------------------------- #
+# Sources
+
+@query
+def parse_events(spark, sf_dir):
+    """S4 + S7 (P5, X1-X5): raw event JSON lines parsed into the typed event table."""
+    raw = E.parse_lines(S.raw_event_lines(spark, sf_dir), "event")
+    typed = E.typed_event(raw)
+    return typed.select("event_id", "time", "rating", "rating_count", "group_id",
+                        "venue_id", "event_time_stamp", "name", "description")

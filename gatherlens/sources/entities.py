@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatherlens.functions import scalars as X
 from gatherlens.functions.text import clean_text
@@ -38,9 +39,12 @@ def read_entity(spark: SparkSession, path: str, entity: str) -> DataFrame:
 
 def parse_lines(lines: DataFrame, entity: str, col: str = "value") -> DataFrame:
     """S3-S6 on a column of JSON strings: raw struct columns, malformed lines dropped."""
-    parsed = lines.select(F.from_json(F.col(col), SC.RAW[entity],
-                                      {"mode": "PERMISSIVE"}).alias("r"))
-    return parsed.filter(F.col("r").isNotNull()).select("r.*")
+    schema = T.StructType(SC.RAW[entity].fields + [T.StructField("_corrupt", T.StringType())])
+    parsed = lines.select(F.from_json(F.col(col), schema,
+                                      {"mode": "PERMISSIVE",
+                                       "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    ok = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    return parsed.filter(ok).select("r.*").drop("_corrupt")
 
 
 def _int(c):

@@ -127,3 +127,22 @@ def word_vectors(spark: SparkSession, sf_dir: str, corpus_words: DataFrame) -> D
     return (words.withColumn("vec_id", slot)
                  .join(emb.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
                  .select("word", "vec"))
+
+
+def raw_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw event JSON lines := events rendered in the raw event record format:
+    id := event_id (as text), time := ts in epoch ms, group.id := user_id,
+    rating := {count: whole part of value, average: value}, name := event_type,
+    description := props."""
+    e = read(spark, sf_dir, "events")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    rec = F.struct(
+        F.col("event_id").cast("string").alias("id"),
+        F.col("event_type").alias("name"),
+        F.struct(F.col("value").cast("long").alias("count"),
+                 F.col("value").alias("average")).alias("rating"),
+        F.col("props").alias("description"),
+        F.struct(F.col("user_id").alias("id")).alias("group"),
+        F.timestamp_diff("MILLISECOND", epoch, F.col("ts")).alias("time"),
+    )
+    return e.select(F.to_json(rec).alias("value"))
