@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatherlens.functions.text import clean_text
+from gatherlens.session import spread
 
 # Fixed values of the reference: the four corpus sizes and the split.
 TOPIC_NS = (5, 10, 15, 20)
@@ -28,9 +29,13 @@ SEED = 42
 
 def clean_corpus(docs: DataFrame, text_col: str = "text", topic_col: str = "topic") -> DataFrame:
     """F2 + X5: (doc_id, topic, text) with cleaned text; empty topic or text dropped."""
-    return (docs.select("doc_id", F.col(topic_col).alias("topic"),
-                        clean_text(text_col).alias("text"))
-                .filter((F.col("topic") != "") & (F.col("text") != "")))
+    docs = docs.select("doc_id", F.col(topic_col).alias("topic"), F.col(text_col).alias("text"))
+    docs = spread(docs.filter(F.col("topic") != ""))
+    # Keep rows whose cleaned text is neither null nor empty with a generator
+    # (zero or one row per document): a filter on the cleaned text would be
+    # pushed below the projection and the spread, cleaning every text twice.
+    kept = F.array_compact(F.array_remove(F.array(clean_text("text")), ""))
+    return docs.select("doc_id", "topic", F.explode(kept).alias("text"))
 
 
 def topic_rank(corpus: DataFrame) -> DataFrame:

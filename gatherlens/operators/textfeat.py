@@ -14,10 +14,7 @@
 Scale notes.  Term counts are aggregated per (document, term) before anything
 else, and corpus-wide statistics per term; the vocabulary is cut to
 ``max_features`` rows with a top-k (each partition keeps its k best, then a
-bounded merge), so every side that is broadcast has a proven size bound.  The
-id sequence of a document is built inside its own row from a map of at most
-``num_words`` entries that a scalar subquery computes once -- the tokens are
-never shuffled.
+bounded merge), so every side that is broadcast has a proven size bound.
 """
 from __future__ import annotations
 
@@ -27,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatherlens.functions.text import TOKEN_PATTERN, tokens, words
+from gatherlens.session import materialize
 
 # Fixed values of the reference's feature settings.
 MAX_FEATURES = 20000
@@ -39,6 +37,9 @@ def term_counts(corpus: DataFrame, stop_words: Iterable[str] | None = None,
                 pattern: str = TOKEN_PATTERN) -> DataFrame:
     """(doc_id, term, tf): occurrences of each token in each document."""
     toks = corpus.select("doc_id", F.explode(tokens("text", pattern)).alias("term"))
+    # Stated explicitly so that every consumer of these counts (the tf rows and
+    # the vocabulary) plans the same subtree and Spark reuses its shuffle.
+    toks = toks.filter(F.col("term").isNotNull())
     if stop_words:
         toks = toks.filter(~F.col("term").isin(list(stop_words)))
     return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -55,7 +56,10 @@ def vocabulary(tf: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFr
 def tfidf(corpus: DataFrame, max_features: int | None = MAX_FEATURES,
           stop_words: Iterable[str] | None = None, pattern: str = TOKEN_PATTERN) -> DataFrame:
     """(doc_id, term, tf, tfidf) for the vocabulary terms of each document."""
-    tf = term_counts(corpus, stop_words, pattern)
+    # The counts feed both the vocabulary and the weights: materialise them once
+    # (to the shared checkpoint folder when there is one) instead of tokenising
+    # the corpus twice.
+    tf = materialize(term_counts(corpus, stop_words, pattern))
     n_docs = corpus.select(F.count(F.lit(1))).scalar()
     vocab = vocabulary(tf, max_features).select(
         "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -114,14 +118,19 @@ def word_index(corpus: DataFrame, num_words: int | None = NUM_WORDS) -> DataFram
 
 
 def token_sequences(corpus: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, seq) -- each document's words replaced by their ids, unknown words skipped."""
-    lookup = index.select(F.map_from_entries(F.collect_list(F.struct("word", "id")))).scalar()
-    # The map is projected into a column first: subqueries may not appear
-    # inside a lambda, plain column references may.
-    ids = F.transform(words("text"), lambda w: F.try_element_at(F.col("_vocab"), w))
-    seq = F.filter(ids, lambda i: i.isNotNull())
-    return (corpus.select("doc_id", "text", lookup.alias("_vocab"))
-                  .select("doc_id", seq.alias("seq")))
+    """(doc_id, seq) -- each document's words replaced by their ids, unknown words skipped.
+
+    Words are exploded with their positions and looked up by a broadcast hash
+    join against ``index`` (at most ``num_words`` rows).  The per-document
+    ``collect_list`` aggregates partially: the words of a document come from one
+    input row, so one partial list per document is shuffled, not the words.
+    Documents without a known word get an empty sequence.
+    """
+    pos = corpus.select("doc_id", F.posexplode_outer(words("text")).alias("pos", "word"))
+    hits = pos.join(F.broadcast(index.select("word", "id")), "word", "left")
+    item = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
+    seqs = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return seqs.select("doc_id", F.transform("items", lambda x: x["id"]).alias("seq"))
 
 
 def pad_sequences(seq, maxlen: int = MAX_SEQUENCE_LENGTH):

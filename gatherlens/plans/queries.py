@@ -21,7 +21,7 @@ from gatherlens.operators import models as ML
 from gatherlens.operators import occurrence as O
 from gatherlens.operators import textfeat as TF
 from gatherlens.operators import venues as V
-from gatherlens.session import configure, materialize
+from gatherlens.session import configure, materialize, spread
 from gatherlens.sources import entities as E
 from gatherlens.sources import standins as S
 
@@ -208,14 +208,14 @@ def _corpus(spark, sf_dir, topic="lang"):
 @query
 def clean_text(spark, sf_dir):
     """X5 on documents: tags and non-letters removed, words longer than 3 letters."""
-    d = S.read(spark, sf_dir, "documents")
+    d = spread(S.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", T.clean_text("text").alias("clean"))
 
 
 @query
 def clean_html(spark, sf_dir):
     """X5 on raw web pages."""
-    p = S.read(spark, sf_dir, "pages")
+    p = spread(S.read(spark, sf_dir, "pages").select("page_id", "html"))
     return p.select("page_id", T.clean_text("html").alias("clean"))
 
 

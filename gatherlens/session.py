@@ -86,5 +86,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows round-robin when a scan yields fewer partitions than the
+    session can run at once, before CPU-heavy per-row work (regex over text).
+
+    A source of one large file or row group is read by a single task; on a
+    large input (many files and row groups) the partition count already exceeds
+    the parallelism and this is a no-op, so no shuffle is added there.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
