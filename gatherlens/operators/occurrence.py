@@ -124,6 +124,21 @@ def city_topic_counts(eti: DataFrame) -> DataFrame:
     return eti.groupBy("city", "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+def within_cities(df: DataFrame, cities: DataFrame) -> DataFrame:
+    """Keep the rows of the listed cities (a semi-join on ``city``);
+    shares computed afterwards are over those cities only."""
+    return df.join(cities.select("city"), "city", "left_semi")
+
+
+def topic_city_pivot(counts: DataFrame, cities: Iterable[str] | None = None) -> DataFrame:
+    """Topic x city table of (city, topic, n) counts, missing cells = 0.
+
+    ``cities`` names the columns; None takes the distinct cities of the data
+    (one small extra job, as Spark's pivot does).
+    """
+    return bucket_pivot(counts, ["topic"], "city", cities)
+
+
 def topic_share_all(eti: DataFrame) -> DataFrame:
     """Each topic's share (percent) of all events in all cities."""
     counts = eti.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))

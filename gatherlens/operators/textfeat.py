@@ -33,16 +33,20 @@ NUM_WORDS = 20000
 MAX_SEQUENCE_LENGTH = 500
 
 
+def _doc_terms(corpus: DataFrame, stop_words: Iterable[str] | None, pattern: str) -> DataFrame:
+    """(doc_id, term, tf) plus one (doc_id, null, 1) row for a document without terms."""
+    term = F.explode_outer(tokens("text", pattern)).alias("term")
+    toks = corpus.select("doc_id", term)
+    if stop_words:
+        toks = toks.withColumn(
+            "term", F.when(~F.col("term").isin(list(stop_words)), F.col("term")))
+    return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def term_counts(corpus: DataFrame, stop_words: Iterable[str] | None = None,
                 pattern: str = TOKEN_PATTERN) -> DataFrame:
     """(doc_id, term, tf): occurrences of each token in each document."""
-    toks = corpus.select("doc_id", F.explode(tokens("text", pattern)).alias("term"))
-    # Stated explicitly so that every consumer of these counts (the tf rows and
-    # the vocabulary) plans the same subtree and Spark reuses its shuffle.
-    toks = toks.filter(F.col("term").isNotNull())
-    if stop_words:
-        toks = toks.filter(~F.col("term").isin(list(stop_words)))
-    return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _doc_terms(corpus, stop_words, pattern).filter(F.col("term").isNotNull())
 
 
 def vocabulary(tf: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
@@ -56,11 +60,13 @@ def vocabulary(tf: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFr
 def tfidf(corpus: DataFrame, max_features: int | None = MAX_FEATURES,
           stop_words: Iterable[str] | None = None, pattern: str = TOKEN_PATTERN) -> DataFrame:
     """(doc_id, term, tf, tfidf) for the vocabulary terms of each document."""
-    # The counts feed both the vocabulary and the weights: materialise them once
-    # (to the shared checkpoint folder when there is one) instead of tokenising
-    # the corpus twice.
-    tf = materialize(term_counts(corpus, stop_words, pattern))
-    n_docs = corpus.select(F.count(F.lit(1))).scalar()
+    # The counts feed the document count, the vocabulary and the weights:
+    # materialise them once (to the shared checkpoint folder when there is one)
+    # instead of cleaning and tokenising the corpus three times.  A document
+    # without terms keeps one row with a null term, so it still counts in n.
+    counts = materialize(_doc_terms(corpus, stop_words, pattern))
+    n_docs = counts.select(F.count_distinct("doc_id")).scalar()
+    tf = counts.filter(F.col("term").isNotNull())
     vocab = vocabulary(tf, max_features).select(
         "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     if max_features:

@@ -409,3 +409,8 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', ts) AS time,
        CAST(epoch_us(ts) // 1000000 AS BIGINT) AS event_time_stamp,
        {_clean('event_type')} AS name, {_clean('props')} AS description
 FROM events"""
+
+ORACLE["topic_city_pivot"] = (
+    "SELECT topic, CAST(coalesce(COLUMNS(* EXCLUDE (topic)), 0) AS BIGINT) FROM (PIVOT ("
+    + _with(CT, "SELECT city, topic, n FROM ct")
+    + ") ON city USING sum(n) GROUP BY topic)")

@@ -110,6 +110,12 @@ def topic_lift(spark, sf_dir):
     return rounded(O.topic_lift(counts), "lift")
 
 
+@query
+def topic_city_pivot(spark, sf_dir):
+    """Events per topic, one column per city (missing = 0)."""
+    return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir)))
+
+
 @query
 def top_topics_per_city(spark, sf_dir):
     """T4: the 5 topics with the largest share in each city (ties by name)."""

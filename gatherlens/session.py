@@ -82,7 +82,12 @@ def materialize(df: DataFrame) -> DataFrame:
     lineage).  Without one the rows are persisted to memory and disk.
     """
     if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
+        # Persist first: writing a reliable checkpoint runs the lineage again
+        # unless the rows are already kept.
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = kept.checkpoint(eager=True)
+        kept.unpersist()
+        return out
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 

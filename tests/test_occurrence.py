@@ -127,3 +127,13 @@ def test_density_matches_scipy_definition(spark):
     assert len(one) == 901 and all(r.density is None for r in one)   # a single hour: no bandwidth
     peak = K.best_hour(dens).filter("topic = 't'").first()
     assert abs(peak.peak_x - xs[np.argmax(expect)]) < 1e-9
+
+
+def test_within_cities_and_city_pivot(spark, eti):
+    counts = O.city_topic_counts(eti)
+    la = O.within_cities(counts, spark.createDataFrame([("LA",)], "city string"))
+    assert {r.city for r in la.collect()} == {"LA"}
+    shares = O.topic_share_city(la)
+    assert shares.first().pct == 100.0
+    piv = {r.topic: (r.LA, r.NYC) for r in O.topic_city_pivot(counts).collect()}
+    assert piv == {"tech": (2, 3), "food": (0, 1)}
