@@ -114,14 +114,19 @@ def recent(ts, since: str = "2018-01-01 00:00:00") -> Column:
 
 
 def nan_median(values) -> Column:
-    """A19 (aggregate): median of the non-NaN values rounded half-to-even to an int.
+    """Median of the non-null, non-NaN numbers of an array column, rounded
+    half-to-even to an int; null when none is left.
 
-    Spark's exact ``median`` keeps a map of distinct value -> count per group and
-    merges partial maps, so memory is bounded by the distinct values of a group,
-    not by its rows.
+    Per row, as the reference's function takes a list; for the median of a
+    column over groups of rows see :func:`gatherlens.operators.quantiles.exact_median`.
     """
-    v = _col(values)
-    return F.bround(F.median(F.when(~F.isnan(v), v)), 0).cast("int")
+    vals = F.array_sort(F.filter(_col(values).cast("array<double>"),
+                                 lambda x: x.isNotNull() & ~F.isnan(x)))
+    n = F.size(vals)
+    upper = F.element_at(vals, (n / 2).cast("int") + 1)
+    lower = F.element_at(vals, ((n + 1) / 2).cast("int"))
+    med = (upper + lower) / 2
+    return F.when(n > 0, F.bround(med, 0).cast("int"))
 
 
 def repeat_by_count(value, count) -> Column:

@@ -414,3 +414,9 @@ ORACLE["topic_city_pivot"] = (
     "SELECT topic, CAST(coalesce(COLUMNS(* EXCLUDE (topic)), 0) AS BIGINT) FROM (PIVOT ("
     + _with(CT, "SELECT city, topic, n FROM ct")
     + ") ON city USING sum(n) GROUP BY topic)")
+
+ORACLE["vector_median"] = """
+SELECT vec_id,
+       CAST(round_even(list_median(list_filter(CAST(embedding AS DOUBLE[]), lambda x: NOT isnan(x))), 0)
+            AS INTEGER) AS median_value
+FROM embeddings"""

@@ -19,6 +19,7 @@ from gatherlens.operators import introspect as I
 from gatherlens.operators import metrics as M
 from gatherlens.operators import models as ML
 from gatherlens.operators import occurrence as O
+from gatherlens.operators import quantiles as Q
 from gatherlens.operators import textfeat as TF
 from gatherlens.operators import venues as V
 from gatherlens.session import configure, materialize, spread
@@ -388,7 +389,7 @@ def model_rank(spark, sf_dir):
 def nan_median(spark, sf_dir):
     """Median event value per event type (NaN skipped), rounded half-even."""
     e = S.read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(X.nan_median("value").alias("median_value"))
+    return Q.nan_median_int(e, ["event_type"], "value")
 
 
 # --------------------------------------------------------------------------- #
@@ -493,3 +494,10 @@ def parse_events(spark, sf_dir):
     typed = E.typed_event(raw)
     return typed.select("event_id", "time", "rating", "rating_count", "group_id",
                         "venue_id", "event_time_stamp", "name", "description")
+
+
+@query
+def vector_median(spark, sf_dir):
+    """A19 per row: the NaN-skipping median of each embedding vector, rounded half-even."""
+    e = S.read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", X.nan_median("embedding").alias("median_value"))

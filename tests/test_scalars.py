@@ -66,13 +66,13 @@ def test_linspace_matches_numpy(spark):
     assert got[0] == 6.0 and abs(got[-1] - 24.0) < 1e-12
 
 
-def test_nan_median_half_even(spark):
-    rows = [("a", 1.0), ("a", 2.0), ("a", float("nan")), ("b", 2.0), ("b", 3.0), ("b", 4.0), ("b", 5.0),
-            ("c", float("nan"))]
-    df = spark.createDataFrame(rows, "k string, v double")
-    got = dict(one(df.groupBy("k").agg(X.nan_median("v")).orderBy("k")))
-    # a: median 1.5 -> 2 (half-even), b: 3.5 -> 4, c: no value -> null
-    assert got == {"a": 2, "b": 4, "c": None}
+def test_nan_median_of_a_list(spark):
+    rows = [([1.0, 2.0, float("nan")],), ([2.0, 3.0, 4.0, 5.0],), ([float("nan")],), ([],), (None,),
+            ([7.0, 1.0, 3.0],), ([0.5, None, 2.0],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    got = [r[0] for r in df.select(X.nan_median("v")).collect()]
+    # 1.5 -> 2 and 3.5 -> 4 (half-even), no value -> null, odd count -> middle value
+    assert got == [2, 4, None, None, None, 3, 1]
 
 
 def test_recent_and_repeat(spark):
