@@ -119,6 +119,11 @@ def bucket_pivot(counts: DataFrame, index: Sequence[str], bucket: str,
     return wide
 
 
+def distinct_topics(df: DataFrame) -> DataFrame:
+    """The topics present."""
+    return df.select("topic").distinct()
+
+
 def city_topic_counts(eti: DataFrame) -> DataFrame:
     """Events per (city, topic), all years together."""
     return eti.groupBy("city", "topic").agg(F.count(F.lit(1)).alias("n"))

@@ -31,27 +31,39 @@ from gatherlens.functions import scalars as X
 VIEW_SCOPE_M = 10000.0
 
 
-def canonical_locations(venues: DataFrame) -> DataFrame:
-    """A5: one row per distinct (lat, lon) with the smallest venue id there (``loc_id``)."""
-    return venues.groupBy("lat", "lon").agg(F.min("venue_id").alias("loc_id"))
+def _points(venues: DataFrame, precision: int | None) -> DataFrame:
+    if precision is None:
+        return venues
+    return venues.withColumns({"lat": F.round("lat", precision), "lon": F.round("lon", precision)})
 
 
-def venue_locations(venues: DataFrame) -> DataFrame:
+def canonical_locations(venues: DataFrame, precision: int | None = None) -> DataFrame:
+    """A5: one row per distinct (lat, lon) with the smallest venue id there (``loc_id``).
+
+    Points merge only when exactly equal (the reference's rule); ``precision``
+    (decimal places) rounds the coordinates first so that near points merge (Q9).
+    """
+    return _points(venues, precision).groupBy("lat", "lon").agg(F.min("venue_id").alias("loc_id"))
+
+
+def venue_locations(venues: DataFrame, precision: int | None = None) -> DataFrame:
     """J3 on the venue side: each venue with coordinates -> its location id."""
-    v = venues.select("venue_id", "lat", "lon")
-    return v.join(canonical_locations(venues), ["lat", "lon"]) \
+    v = _points(venues, precision).select("venue_id", "lat", "lon")
+    return v.join(canonical_locations(venues, precision), ["lat", "lon"]) \
             .select("venue_id", "lat", "lon", "loc_id")
 
 
-def group_location_hosts(events: DataFrame, venues: DataFrame) -> DataFrame:
+def group_location_hosts(events: DataFrame, venues: DataFrame,
+                         precision: int | None = None) -> DataFrame:
     """A6 (+J2, J3): events per (group, location) as ``host_num``."""
     per_venue = events.groupBy("group_id", "venue_id").agg(F.count(F.lit(1)).alias("k"))
-    return (per_venue.join(venue_locations(venues), "venue_id")
+    return (per_venue.join(venue_locations(venues, precision), "venue_id")
                      .groupBy("group_id", "loc_id", "lat", "lon")
                      .agg(F.sum("k").alias("host_num")))
 
 
-def group_venue_info(events: DataFrame, venues: DataFrame, groups: DataFrame) -> DataFrame:
+def group_venue_info(events: DataFrame, venues: DataFrame, groups: DataFrame,
+                     precision: int | None = None) -> DataFrame:
     """Hosting counts per (group, location) with group and venue attributes.
 
     Columns: venue_id (the location's canonical venue), group_id, lat, lon,
@@ -59,7 +71,7 @@ def group_venue_info(events: DataFrame, venues: DataFrame, groups: DataFrame) ->
     """
     g = groups.select("group_id", "topic", F.col("name").alias("group"), "city")
     attrs = venues.select(F.col("venue_id").alias("loc_id"), F.col("name").alias("venue"), "rating")
-    out = (group_location_hosts(events, venues)
+    out = (group_location_hosts(events, venues, precision)
            .join(g, "group_id")
            .join(attrs, "loc_id"))
     return out.select(F.col("loc_id").alias("venue_id"), "group_id", "lat", "lon", "host_num",

@@ -420,3 +420,5 @@ SELECT vec_id,
        CAST(round_even(list_median(list_filter(CAST(embedding AS DOUBLE[]), lambda x: NOT isnan(x))), 0)
             AS INTEGER) AS median_value
 FROM embeddings"""
+
+ORACLE["distinct_topics"] = _with(ETI, "SELECT DISTINCT topic FROM eti")

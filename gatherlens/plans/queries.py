@@ -111,6 +111,12 @@ def topic_lift(spark, sf_dir):
     return rounded(O.topic_lift(counts), "lift")
 
 
+@query
+def distinct_topics(spark, sf_dir):
+    """The topics that have events."""
+    return O.distinct_topics(_eti(spark, sf_dir))
+
+
 @query
 def topic_city_pivot(spark, sf_dir):
     """Events per topic, one column per city (missing = 0)."""

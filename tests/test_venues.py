@@ -48,3 +48,11 @@ def test_frequent_venues_and_map(spark):
     far = V.venue_map(freq, cities, x_move=50000.0).first()
     assert not far.in_view
     assert V.venue_map(freq, cities, topics=["sports"]).count() == 0
+
+
+def test_precision_merges_near_points(spark):
+    venues = spark.createDataFrame([(1, "a", 40.00001, -74.0, 1.0), (2, "b", 40.00002, -74.0, 1.0)],
+                                   "venue_id long, name string, lat double, lon double, rating double")
+    assert V.canonical_locations(venues).count() == 2
+    merged = V.canonical_locations(venues, precision=3).collect()
+    assert [(r.lat, r.lon, r.loc_id) for r in merged] == [(40.0, -74.0, 1)]
