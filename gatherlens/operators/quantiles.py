@@ -10,6 +10,7 @@ average of the rows at ranks floor((n-1)/2) and floor(n/2).  No task ever holds
 more than one partition's rows, and only two rows per key are aggregated at the
 end.
 
+Ties are broken by a unique row id, so equal values of a hot key spread too.
 The partition ids of the sorted rows are materialised (checkpointed) before
 they are counted and ranked, so a recomputation after an executor loss -- whose
 range boundaries come from a fresh sample -- cannot give the counting and the
@@ -35,15 +36,18 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("v"))
     v = v.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    # A unique row id breaks ties, so even a hot key whose values are all equal
+    # is split over several range partitions.
+    v = v.withColumn("t", F.monotonically_increasing_id())
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialize(v.repartitionByRange(n_parts, *keys, "v")
+    pieces = materialize(v.repartitionByRange(n_parts, *keys, "v", "t")
                           .withColumn("pid", F.spark_partition_id()))
     counts = pieces.groupBy(*keys, "pid").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "pid",
                             F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"),
                             F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
-    local = F.row_number().over(Window.partitionBy(*keys, "pid").orderBy("v")) - 1
+    local = F.row_number().over(Window.partitionBy(*keys, "pid").orderBy("v", "t")) - 1
     ranked = (pieces.withColumn("i", local)
                     .join(offsets, [*keys, "pid"])
                     .withColumn("rank", F.col("off") + F.col("i")))

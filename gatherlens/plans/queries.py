@@ -284,7 +284,8 @@ def _top_terms(spark, sf_dir):
     selected = TF.chi2_top_k(TF.chi2_scores(feats, labels), TF.SELECT_K)
     # at most SELECT_K rows
     feats = feats.join(F.broadcast(selected.select("term")), "term", "left_semi")
-    weights = I.nb_term_weights(feats, labels, I.ALPHA)
+    n_features = selected.select(F.count(F.lit(1))).scalar()
+    weights = I.nb_term_weights(feats, labels, I.ALPHA, n_features=n_features)
     return I.top_terms(weights, I.TOP_TERMS)
 
 

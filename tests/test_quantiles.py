@@ -11,6 +11,7 @@ def test_exact_median_matches_numpy_with_a_hot_key(spark):
     rows += [(f"k{i % 40}", rnd.random() * 100) for i in range(2000)]
     rows += [("even", 1.0), ("even", 4.0), ("even", float("nan")), ("nan_only", float("nan"))]
     rows += [("ties", 2.0)] * 5 + [("ties", 9.0)] * 2
+    rows += [("same", 5.0)] * 2000                                  # a hot key of equal values
     df = spark.createDataFrame(rows, "k string, v double")
     got = {r.k: r.median for r in Q.exact_median(df, ["k"], "v", partitions=16).collect()}
     expect = {}
@@ -23,3 +24,10 @@ def test_exact_median_matches_numpy_with_a_hot_key(spark):
         assert abs(got[k] - expect[k]) < 1e-12, k
     ints = {r.k: r.median_value for r in Q.nan_median_int(df, ["k"], "v").collect()}
     assert ints["even"] == 2 and ints["ties"] == 2     # 2.5 rounds half-even to 2
+
+
+def test_equal_values_of_a_hot_key_are_spread(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(4000).select(F.lit("hot").alias("k"), F.lit(3.0).alias("v"))
+    got = Q.exact_median(df, ["k"], "v", partitions=8).first()
+    assert got.median == 3.0
