@@ -270,7 +270,7 @@ def tfidf(spark, sf_dir):
 @query
 def chi2_topk(spark, sf_dir):
     """The 10,000 terms with the highest chi-square against the language label."""
-    corpus = _corpus(spark, sf_dir)
+    corpus = materialize(_corpus(spark, sf_dir))
     scores = TF.chi2_scores(_tfidf(corpus), corpus.select("doc_id", F.col("topic").alias("label")))
     return TF.chi2_top_k(scores, TF.SELECT_K)
 
@@ -278,7 +278,8 @@ def chi2_topk(spark, sf_dir):
 def _top_terms(spark, sf_dir):
     """Vectoriser, chi-square selection and naive Bayes weights fitted on the
     training split, as the reference's pipeline is."""
-    train = C.train_test_split(_corpus(spark, sf_dir)).filter(F.col("split") == "train")
+    # The cleaned training corpus feeds the features and the labels: clean once.
+    train = materialize(C.train_test_split(_corpus(spark, sf_dir)).filter(F.col("split") == "train"))
     labels = train.select("doc_id", F.col("topic").alias("label"))
     feats = _tfidf(train)
     selected = TF.chi2_top_k(TF.chi2_scores(feats, labels), TF.SELECT_K)
@@ -303,7 +304,8 @@ def lemma_weights(spark, sf_dir):
 
 
 def _word_index(spark, sf_dir):
-    corpus = C.train_test_split(_corpus(spark, sf_dir))
+    # The cleaned corpus feeds the index (training split) and the sequences.
+    corpus = materialize(C.train_test_split(_corpus(spark, sf_dir)))
     index = TF.word_index(corpus.filter(F.col("split") == "train"), TF.NUM_WORDS)
     return corpus, index
 
