@@ -154,3 +154,20 @@ def test_rechunk(spark, tmpdir_path):
     files = [f for f in os.listdir(out) if f.endswith(".gz")]
     assert len(files) == 2
     assert spark.read.text(out).count() == 20
+
+
+def test_city_topic_and_corpus_sinks(spark, tmpdir_path):
+    eti = spark.createDataFrame([("e1", "NYC", "tech", 2024), ("e2", "NYC", "food", 2024),
+                                 ("e3", "LA", "tech", 2023)],
+                                "event_id string, city string, topic string, year int")
+    path = os.path.join(tmpdir_path, "ct")
+    SK.write_city_topic(eti, path)
+    assert os.path.isdir(os.path.join(path, "city=NYC", "topic=tech"))
+    assert [r.event_id for r in SK.read_city_topic(spark, path, "NYC", "tech").collect()] == ["e1"]
+    corp = spark.createDataFrame([(5, 1, "a", 0, "train", "x y"), (5, 2, "b", 1, "test", "z w"),
+                                  (10, 1, "a", 0, "train", "x y")],
+                                 "topic_n int, doc_id long, topic string, label int, split string, text string")
+    cpath = os.path.join(tmpdir_path, "corp")
+    SK.write_corpora(corp, cpath)
+    assert [r.doc_id for r in SK.read_corpus(spark, cpath, "train", 5).collect()] == [1]
+    assert SK.read_corpus(spark, cpath, "test", 10).count() == 0
