@@ -55,7 +55,8 @@ def occurrence(eti: DataFrame, bucket: str, include_all: bool = True,
     ``bucket`` is ``'year'``, ``'weekday'`` or ``'hour'``; hourly counts are split
     by ``day_type`` (weekday/weekend, cut at ``weekend_start``).  With
     ``include_all`` the same single aggregation also emits the all-cities roll-up,
-    labelled ``city = 'US'`` (one pass with grouping sets, not a second job).
+    labelled ``city = 'US'`` (grouping sets over the per-city counts, not a
+    second pass over the events).
     Columns: city, topic, [day_type,] bucket, n.
     """
     if bucket not in ("year", "weekday", "hour"):
@@ -65,9 +66,14 @@ def occurrence(eti: DataFrame, bucket: str, include_all: bool = True,
     if bucket == "hour":
         df = _with_day_type(eti, weekend_start)
         keys = ["topic", "day_type", "hour"]
-    sets = [["city", *keys]] + ([list(keys)] if include_all else [])
-    agg = (df.groupingSets(sets, "city", *keys)
-             .agg(F.count(F.lit(1)).alias("n"), F.grouping("city").alias("_all")))
+    # The event rows are counted once at the finest grain; the grouping sets
+    # (which copy each input row once per set) then run on those counts only.
+    fine = df.groupBy("city", *keys).agg(F.count(F.lit(1)).alias("n"))
+    if not include_all:
+        return fine
+    sets = [["city", *keys], list(keys)]
+    agg = (fine.groupingSets(sets, "city", *keys)
+               .agg(F.sum("n").alias("n"), F.grouping("city").alias("_all")))
     city = F.when(F.col("_all") == 1, F.lit(ALL_CITIES)).otherwise(F.col("city"))
     return agg.select(city.alias("city"), *keys, "n")
 
@@ -76,7 +82,8 @@ def occurrence_cube(eti: DataFrame, weekend_start: int = 6) -> DataFrame:
     """S15 source table: every grain of A1-A4 (+A9) in one long table.
 
     Columns: grain ('yearly' | 'daily' | 'hourly_weekday' | 'hourly_weekend'),
-    city, topic, bucket, n.  Computed as one aggregation over grouping sets.
+    city, topic, bucket, n.  The events are counted once at the finest grain and
+    every grain is a grouping set over those counts.
     """
     df = _with_day_type(eti, weekend_start)
     grains = [("yearly", "year", []), ("daily", "weekday", []), ("hourly", "hour", ["day_type"])]
@@ -84,8 +91,11 @@ def occurrence_cube(eti: DataFrame, weekend_start: int = 6) -> DataFrame:
     for _, b, extra in grains:
         sets.append(["city", "topic", *extra, b])
         sets.append(["topic", *extra, b])
-    agg = (df.groupingSets(sets, "city", "topic", "day_type", "year", "weekday", "hour")
-             .agg(F.count(F.lit(1)).alias("n"),
+    cols = ["city", "topic", "day_type", "year", "weekday", "hour"]
+    # Count the events once at the finest grain, then roll the counts up.
+    fine = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    agg = (fine.groupingSets(sets, *cols)
+               .agg(F.sum("n").alias("n"),
                   F.grouping("city").alias("_all"),
                   F.grouping("year").alias("_y"),
                   F.grouping("weekday").alias("_w")))
