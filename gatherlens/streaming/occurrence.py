@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gatherlens.functions.scalars import day_type
 from gatherlens.operators.occurrence import event_time_info
 from gatherlens.sources import schemas as SC
 from gatherlens.sources.entities import typed_event
@@ -31,8 +32,7 @@ def occurrence_counts(events: DataFrame, groups: DataFrame, bucket: str = "weekd
     eti = event_time_info(events, groups)
     keys = ["city", "topic", bucket]
     if bucket == "hour":
-        eti = eti.withColumn("day_type", F.when(F.col("weekday") >= weekend_start, "weekend")
-                             .otherwise("weekday"))
+        eti = eti.withColumn("day_type", day_type("weekday", weekend_start))
         keys = ["city", "topic", "day_type", "hour"]
     return eti.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
