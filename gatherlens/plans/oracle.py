@@ -422,3 +422,39 @@ SELECT vec_id,
 FROM embeddings"""
 
 ORACLE["distinct_topics"] = _with(ETI, "SELECT DISTINCT topic FROM eti")
+
+
+def _category_values() -> str:
+    from gatherlens.sources.lookups import CATEGORY_TOPICS
+    rows = ", ".join(f"({i}, '{t}')" for i, t in CATEGORY_TOPICS)
+    return f"(VALUES {rows}) AS cat(category_id, topic)"
+
+
+ORACLE["parse_groups"] = f"""
+SELECT c.c_custkey AS group_id, {_clean('c.c_name')} AS name, n.n_name AS city,
+       CASE n.n_regionkey WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'America/Chicago'
+            WHEN 2 THEN 'America/Denver' WHEN 3 THEN 'America/Los_Angeles'
+            WHEN 4 THEN 'UTC' END AS timezone,
+       nullif(c.c_acctbal, 0) AS rating, c.c_nationkey AS category, cat.topic,
+       c.c_mktsegment AS tags, {_clean('c.c_mktsegment')} AS description
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN {_category_values()} ON cat.category_id = c.c_nationkey"""
+
+ORACLE["parse_venues"] = f"""
+SELECT p_partkey AS venue_id, {_clean('p_name')} AS name, p_type AS city,
+       CAST(NULL AS VARCHAR) AS state,
+       nullif(CAST(p_size AS DOUBLE), 0) AS lat, nullif(CAST(-p_size AS DOUBLE), 0) AS lon,
+       p_brand AS zip, nullif(p_retailprice, 0) AS rating,
+       CAST(nullif(p_size, 0) AS INTEGER) AS rating_count, p_brand AS address
+FROM part"""
+
+ORACLE["parse_rsvps"] = """
+SELECT o_orderkey AS rsvp_id,
+       date_trunc('second', o_orderdate) AS created,
+       to_timestamp(floor((epoch_us(o_orderdate) // 1000 + CAST(trunc(o_totalprice) AS BIGINT)) / 1000))::TIMESTAMP AS mtime,
+       o_orderstatus AS response, o_custkey AS member_id, CAST(o_orderkey AS VARCHAR) AS event_id,
+       CAST(NULL AS BIGINT) AS venue_id,
+       CAST(epoch_us(o_orderdate) // 1000000 AS BIGINT) AS rsvp_create_stamp,
+       CAST((epoch_us(o_orderdate) // 1000 + CAST(trunc(o_totalprice) AS BIGINT)) // 1000 AS BIGINT) AS rsvp_mtime_stamp,
+       CAST(NULL AS BIGINT) AS group_id
+FROM orders"""

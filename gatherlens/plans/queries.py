@@ -24,6 +24,7 @@ from gatherlens.operators import textfeat as TF
 from gatherlens.operators import venues as V
 from gatherlens.session import configure, materialize, spread
 from gatherlens.sources import entities as E
+from gatherlens.sources import lookups as L
 from gatherlens.sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -510,3 +511,25 @@ def vector_median(spark, sf_dir):
     """A19 per row: the NaN-skipping median of each embedding vector, rounded half-even."""
     e = S.read(spark, sf_dir, "embeddings")
     return e.select("vec_id", X.nan_median("embedding").alias("median_value"))
+
+
+@query
+def parse_groups(spark, sf_dir):
+    """S3 + S7 + F1 + J6: raw group JSON lines parsed, topics from the category table
+    (categories without a topic are dropped)."""
+    raw = E.parse_lines(S.raw_group_lines(spark, sf_dir), "group")
+    g = E.typed_group(raw, L.category_topics(spark))
+    return g.select("group_id", "name", "city", "timezone", "rating", "category", "topic",
+                    F.array_join("tags", ",").alias("tags"), "description")
+
+
+@query
+def parse_venues(spark, sf_dir):
+    """S5 + S7: raw venue JSON lines parsed into the typed venue table."""
+    return E.typed_venue(E.parse_lines(S.raw_venue_lines(spark, sf_dir), "venue"))
+
+
+@query
+def parse_rsvps(spark, sf_dir):
+    """S6 + S7: raw RSVP JSON lines parsed into the typed RSVP table."""
+    return E.typed_rsvp(E.parse_lines(S.raw_rsvp_lines(spark, sf_dir), "rsvp"))

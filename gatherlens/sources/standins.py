@@ -146,3 +146,59 @@ def raw_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_diff("MILLISECOND", epoch, F.col("ts")).alias("time"),
     )
     return e.select(F.to_json(rec).alias("value"))
+
+
+def _epoch_ms(ts):
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MILLISECOND", epoch, ts)
+
+
+def raw_group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw group JSON lines := customers rendered in the raw group format:
+    id := custkey, name := customer name, city := nation name, timezone by
+    region, category.id := nation key, rating := account balance,
+    description := market segment, topics := [market segment]."""
+    c = read(spark, sf_dir, "customer")
+    n = read(spark, sf_dir, "nation")
+    rec = F.struct(
+        F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        F.col("n_name").alias("city"),
+        _timezone(F.col("n_regionkey")).alias("timezone"),
+        F.col("c_acctbal").alias("rating"),
+        F.col("c_mktsegment").alias("description"),
+        F.struct(F.col("c_nationkey").alias("id")).alias("category"),
+        F.array(F.struct(F.col("c_mktsegment").alias("urlkey"))).alias("topics"),
+    )
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(F.to_json(rec).alias("value"))
+
+
+def raw_venue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw venue JSON lines := parts: id := partkey, name := part name,
+    rating := retail price, rating_count := size, lat := size, lon := -size,
+    address_1 and zip := brand, city := type."""
+    p = read(spark, sf_dir, "part")
+    rec = F.struct(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        F.col("p_retailprice").alias("rating"), F.col("p_size").alias("rating_count"),
+        F.col("p_size").cast("double").alias("lat"), (-F.col("p_size")).cast("double").alias("lon"),
+        F.col("p_brand").alias("address_1"), F.col("p_brand").alias("zip"),
+        F.col("p_type").alias("city"),
+    )
+    return p.select(F.to_json(rec).alias("value"))
+
+
+def raw_rsvp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw RSVP JSON lines := orders: rsvp_id := orderkey, response := status,
+    member.id := custkey, event.id := orderkey as text, created := order date
+    (epoch ms), mtime := created + total price in ms."""
+    o = read(spark, sf_dir, "orders")
+    created = _epoch_ms(F.col("o_orderdate"))
+    rec = F.struct(
+        F.col("o_orderkey").alias("rsvp_id"), F.col("o_orderstatus").alias("response"),
+        F.struct(F.col("o_custkey").alias("member_id")).alias("member"),
+        F.struct(F.col("o_orderkey").cast("string").alias("id")).alias("event"),
+        created.alias("created"),
+        (created + F.col("o_totalprice").cast("long")).alias("mtime"),
+    )
+    return o.select(F.to_json(rec).alias("value"))
