@@ -126,14 +126,17 @@ def word_index(corpus: DataFrame, num_words: int | None = NUM_WORDS) -> DataFram
 def token_sequences(corpus: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, seq) -- each document's words replaced by their ids, unknown words skipped.
 
-    Words are exploded with their positions and looked up by a broadcast hash
-    join against ``index`` (at most ``num_words`` rows).  The per-document
+    Words are exploded with their positions and looked up in ``index`` by an
+    equi-join.  No broadcast is forced here, since ``index`` comes from the caller:
+    Spark broadcasts it when its estimated size is small (an index cut by
+    :func:`word_index` has a known row count of at most ``num_words``), and
+    otherwise joins by sort-merge.  The per-document
     ``collect_list`` aggregates partially: the words of a document come from one
     input row, so one partial list per document is shuffled, not the words.
     Documents without a known word get an empty sequence.
     """
     pos = corpus.select("doc_id", F.posexplode_outer(words("text")).alias("pos", "word"))
-    hits = pos.join(F.broadcast(index.select("word", "id")), "word", "left")
+    hits = pos.join(index.select("word", "id"), "word", "left")
     item = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
     seqs = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return seqs.select("doc_id", F.transform("items", lambda x: x["id"]).alias("seq"))
