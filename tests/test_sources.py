@@ -171,3 +171,9 @@ def test_city_topic_and_corpus_sinks(spark, tmpdir_path):
     SK.write_corpora(corp, cpath)
     assert [r.doc_id for r in SK.read_corpus(spark, cpath, "train", 5).collect()] == [1]
     assert SK.read_corpus(spark, cpath, "test", 10).count() == 0
+
+
+def test_dedupe_keeps_one_row_per_id(spark, tmpdir_path):
+    write_lines(tmpdir_path, "venues", VENUES + [VENUES[0]])
+    assert E.load_entity(spark, tmpdir_path, "venue").count() == 3
+    assert E.load_entity(spark, tmpdir_path, "venue", dedupe=True).count() == 2
