@@ -27,6 +27,30 @@ RUNTIME_CONF = {
 }
 
 
+MB = 1 << 20
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_mb: int = 128) -> dict:
+    """Partition sizing for a cluster run, as SQL confs to pass to ``get_session``
+    (``extra=``) or set on a session.
+
+    Shuffles start with about one partition per ``target_partition_mb`` of input
+    (at least two per core, at most 200,000); AQE then coalesces small ones
+    toward the same advisory size and splits skewed ones.  Scans read splits of
+    up to 256 MB.  For 100 TB on 1,000 executors x 4 cores this gives 200,000
+    initial shuffle partitions, coalesced at run time.
+    """
+    initial = max(2 * total_cores, min(200_000, input_bytes // (target_partition_mb * MB)))
+    return {
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_mb * MB),
+        "spark.sql.files.maxPartitionBytes": str(256 * MB),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_mb * MB),
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings and wire the checkpoint directory, if any."""
     for key, value in RUNTIME_CONF.items():

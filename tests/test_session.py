@@ -27,3 +27,12 @@ def test_spread_only_when_under_partitioned(spark):
     assert spread(one).rdd.getNumPartitions() == slots
     many = spark.range(0, 1000, 1, slots * 2)
     assert spread(many).rdd.getNumPartitions() == slots * 2
+
+
+def test_cluster_conf_sizes_partitions():
+    from gatherlens.session import cluster_conf
+    big = cluster_conf(100 * (1 << 40), 4000)
+    assert big["spark.sql.shuffle.partitions"] == "200000"
+    small = cluster_conf(1 << 30, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == 256 << 20
