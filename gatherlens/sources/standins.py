@@ -1,8 +1,10 @@
 """Driver tables in the roles of the entities (FIXTURES.md section 5).
 
-These functions only rename and reshape columns of the given parquet tables so
-they have the schema an operator expects; they do none of an operator's work.
-The operators are written for any data with that schema.
+These functions rename, reshape or render (as raw JSON lines) columns of the
+given parquet tables so they have the schema or format an operator expects;
+the rule "predictions" and the word -> vector keying are stated in their
+docstrings.  They do none of an operator's work; the operators are written for
+any data with that schema.
 """
 from __future__ import annotations
 
