@@ -13,9 +13,9 @@
 
 Scale notes.  Term counts are aggregated per (document, term) before anything
 else, and corpus-wide statistics per term; the vocabulary is cut to
-``max_features`` rows by an exact top-k whose candidates are first cut at the
-k-th count (see :func:`top_by_count`), so every side that is broadcast has a
-proven size bound and no task merges partitions x k rows.
+``max_features`` rows by a top-k (each partition keeps its k best; one task
+merges them -- few partitions, as AQE sizes the aggregated vocabulary), so
+every side that is broadcast has a proven size bound.
 """
 from __future__ import annotations
 
@@ -50,28 +50,11 @@ def term_counts(corpus: DataFrame, stop_words: Iterable[str] | None = None,
     return _doc_terms(corpus, stop_words, pattern).filter(F.col("term").isNotNull())
 
 
-def top_by_count(stats: DataFrame, count_col: str, k: int, tie_col: str) -> DataFrame:
-    """The k rows with the largest ``count_col`` (ties by ``tie_col``), exactly.
-
-    A plain ``orderBy().limit(k)`` merges k rows from every partition in one
-    task.  Here the count of the k-th row is found first from the histogram of
-    counts (one row per distinct count value -- few for word frequencies), and
-    only rows at or above it go into the top-k, so the final merge sees about k
-    rows.
-    """
-    hist = stats.groupBy(count_col).agg(F.count(F.lit(1)).alias("_m"))
-    running = Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, 0)
-    reach = hist.withColumn("_cum", F.sum("_m").over(running)).filter(F.col("_cum") >= k)
-    cut = reach.select(F.max(count_col)).scalar()       # null when fewer than k rows
-    cand = stats.filter(F.coalesce(F.col(count_col) >= cut, F.lit(True)))
-    return cand.orderBy(F.desc(count_col), F.asc(tie_col)).limit(k)
-
-
 def vocabulary(tf: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(term, freq, df): corpus frequency and document frequency of the kept terms."""
     stats = tf.groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
     if max_features:
-        stats = top_by_count(stats, "freq", max_features, "term")
+        stats = stats.orderBy(F.desc("freq"), F.asc("term")).limit(max_features)
     return stats
 
 
@@ -136,7 +119,7 @@ def word_index(corpus: DataFrame, num_words: int | None = NUM_WORDS) -> DataFram
     counts = (corpus.select(F.explode(words("text")).alias("word"))
                     .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     if num_words:
-        counts = top_by_count(counts, "n", num_words - 1, "word")
+        counts = counts.orderBy(F.desc("n"), F.asc("word")).limit(num_words - 1)
     ids = counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("word"))))
     return ids.select("word", "id", "n")
 

@@ -164,13 +164,3 @@ def test_corpus_builder(spark):
     split2 = {r.doc_id: r.split for r in C.train_test_split(corpus).collect()}
     assert all(split[k] == split2[k] for k in split)
 
-
-def test_top_by_count_is_an_exact_top_k(spark):
-    import random
-    rnd = random.Random(3)
-    rows = [(f"w{i}", rnd.choice([1, 1, 1, 2, 2, 3, 5, 8])) for i in range(500)]
-    df = spark.createDataFrame(rows, "w string, n long")
-    for k in (1, 7, 100, 499, 500, 800):
-        got = [(r.w, r.n) for r in TF.top_by_count(df, "n", k, "w").collect()]
-        expect = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
-        assert got == expect, k
