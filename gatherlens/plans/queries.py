@@ -413,8 +413,9 @@ def _labelled(spark, sf_dir, topic="lang", topic_n=20):
 
 
 def _benchmark(spark, sf_dir, model_type, params=None):
-    data = _labelled(spark, sf_dir)
-    train = materialize(data.filter(F.col("split") == "train"))
+    # Cleaned once; the fits and the evaluation read the materialised rows.
+    data = materialize(_labelled(spark, sf_dir))
+    train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
     model = ML.build_pipeline(model_type, params=params).fit(train)
     return rounded(ML.evaluate(model, test, {"model": model_type, "task": "lang"}),
@@ -448,8 +449,8 @@ def etc_benchmark(spark, sf_dir):
 @query
 def cv_best(spark, sf_dir):
     """M4: 3-fold grid search of the naive Bayes smoothing, best model refit and scored."""
-    data = _labelled(spark, sf_dir)
-    train = materialize(data.filter(F.col("split") == "train"))
+    data = materialize(_labelled(spark, sf_dir))
+    train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
     pipe = ML.build_pipeline("MNB")
     nb = pipe.getStages()[-1]
@@ -467,8 +468,8 @@ def mlp_benchmark(spark, sf_dir):
     table = TF.embedding_table(index, S.word_vectors(spark, sf_dir, vocab), EMBEDDING_DIM)
     feats = ML.mean_sequence_vectors(TF.token_sequences(corpus, index), table, EMBEDDING_DIM)
     labelled = _labelled(spark, sf_dir).select("doc_id", "label", "split")
-    data = feats.join(labelled, "doc_id")
-    train = materialize(data.filter(F.col("split") == "train"))
+    data = materialize(feats.join(labelled, "doc_id"))
+    train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
     n_classes = train.select(F.max("label")).first()[0]
     model = ML.mlp(EMBEDDING_DIM, int(n_classes) + 1).fit(train)
