@@ -31,12 +31,16 @@ BANDWIDTH_DIVISOR = 0.6
 
 def hourly_density(hourly: DataFrame, grid_start: float = GRID_START,
                    grid_stop: float = GRID_STOP, grid_num: int = GRID_NUM,
-                   divisor: float = BANDWIDTH_DIVISOR) -> DataFrame:
-    """K1: density curves from an hourly histogram (keys..., hour, n).
+                   divisor: float = BANDWIDTH_DIVISOR,
+                   topics: list[str] | None = None) -> DataFrame:
+    """Density curves from an hourly histogram (keys..., hour, n).
 
     Every column other than ``hour`` and ``n`` is a key (e.g. city, topic,
-    day_type).  Output: keys..., grid_i, x, density.
+    day_type).  ``topics`` keeps only those topics (the histogram must then have
+    a ``topic`` column).  Output: keys..., grid_i, x, density.
     """
+    if topics is not None:
+        hourly = hourly.filter(F.col("topic").isin(list(topics)))
     keys = [c for c in hourly.columns if c not in ("hour", "n")]
     bins = (hourly.groupBy(*keys, "hour").agg(F.sum("n").alias("c"))
                   .groupBy(*keys)

@@ -125,6 +125,8 @@ def test_density_matches_scipy_definition(spark):
     assert abs(np.trapezoid([d for _, d in t], xs) - 1) < 1e-3   # integrates to 1
     one = dens.filter("topic = 'one'").collect()
     assert len(one) == 901 and all(r.density is None for r in one)   # a single hour: no bandwidth
+    only_t = K.hourly_density(df, -30.0, 60.0, 901, topics=["t"])
+    assert {r.topic for r in only_t.select("topic").distinct().collect()} == {"t"}
     peak = K.best_hour(dens).filter("topic = 't'").first()
     assert abs(peak.peak_x - xs[np.argmax(expect)]) < 1e-9
 
