@@ -177,3 +177,11 @@ def test_dedupe_keeps_one_row_per_id(spark, tmpdir_path):
     write_lines(tmpdir_path, "venues", VENUES + [VENUES[0]])
     assert E.load_entity(spark, tmpdir_path, "venue").count() == 3
     assert E.load_entity(spark, tmpdir_path, "venue", dedupe=True).count() == 2
+
+
+def test_gzip_chunks_load_as_entities(spark, tmpdir_path):
+    src = write_lines(tmpdir_path, "raw_events", [dict(EVENTS[0], id=f"x{i}") for i in range(12)])
+    E.rechunk_lines(spark, src, os.path.join(tmpdir_path, "data", "events"), part_num=5, max_num=None)
+    assert any(f.endswith(".gz") for f in os.listdir(os.path.join(tmpdir_path, "data", "events")))
+    ev = E.load_entity(spark, os.path.join(tmpdir_path, "data"), "event")
+    assert ev.count() == 12 and ev.filter("hosts = array(1L, 2L)").count() == 12
