@@ -7,6 +7,7 @@ from __future__ import annotations
 import functools
 import glob
 import os
+import pathlib
 import zipfile
 
 from pyspark.sql import Column
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 # The cleaning rule of the reference.  Markup tags and every
 # character that is not an ASCII letter become blanks; words of 3 or fewer
 # letters are dropped.
-TAG_OR_NON_LETTER = r"<[^<]+?>|[^a-zA-Z]"
 MIN_WORD_LEN = 4
 
 # Fixed value: the vectoriser's token rule, runs of two or more word characters.
@@ -52,6 +52,14 @@ def tokens(text, pattern: str = TOKEN_PATTERN) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(pattern), 0)
 
 
+def _jar_folders() -> list[str]:
+    """Where Spark's jars can lie: under SPARK_HOME, or beside any parent of the
+    pyspark package (which may itself be imported out of ``pyspark.zip``)."""
+    import pyspark
+    found = [os.path.join(os.environ["SPARK_HOME"], "jars")] if os.environ.get("SPARK_HOME") else []
+    return found + [str(p / "jars") for p in pathlib.Path(pyspark.__file__).resolve().parents]
+
+
 @functools.lru_cache(maxsize=None)
 def default_stop_words(language: str = "english") -> tuple[str, ...]:
     """Spark MLlib's stop-word list for ``language``.
@@ -60,12 +68,11 @@ def default_stop_words(language: str = "english") -> tuple[str, ...]:
     ``StopWordsRemover.loadDefaultStopWords`` reads), so no JVM is needed and the
     Spark side and the SQL oracle see one list.
     """
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                return tuple(w for w in z.read(name).decode("utf-8").split() if w)
+    for folder in _jar_folders():
+        for jar in glob.glob(os.path.join(folder, "spark-mllib_*.jar")):
+            with zipfile.ZipFile(jar) as z:
+                name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
+                if name in z.namelist():
+                    return tuple(w for w in z.read(name).decode("utf-8").split() if w)
     from pyspark.ml.feature import StopWordsRemover
     return tuple(StopWordsRemover.loadDefaultStopWords(language))
