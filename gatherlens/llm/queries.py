@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatherlens.llm import langid, mixing, quality, vafile, warc
+from gatherlens.llm import langid, licenses, mixing, quality, secret_scan, vafile, warc
 
 
 def _read(spark, sf_dir, name):
@@ -35,6 +35,24 @@ def op2_quality_rules(spark, sf_dir):
     return quality.judge(docs, trusted)
 
 
+def op5_secret_scan(spark, sf_dir):
+    """Secrets of every document: counts and digests of the spans of the base rules,
+    and the spans of all rules."""
+    found = secret_scan.scan(_read(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE]
+
+    def line(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                     s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in base],
+                        F.sha2(line(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+                        line("spans").alias("spans"))
+
+
 def op6_top_k(spark, sf_dir):
     """The 10 best inner products of every hundredth vector against all others."""
     return vafile.top_k(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("v_id") % 100 == 0)
@@ -45,13 +63,18 @@ def op7_warc(spark, sf_dir):
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op8_license_scan(spark, sf_dir):
+    """License phrases and notices of every document."""
+    return licenses.find(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_mix_sources(spark, sf_dir):
     """Every document repeated by its source's Poisson rate, shuffled globally."""
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op6_top_k, op7_warc,
-                                       op10_mix_sources)}
+LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op5_secret_scan, op6_top_k,
+                                       op7_warc, op8_license_scan, op10_mix_sources)}
 
 LLM_ORACLE = {
     "op6_top_k": """
