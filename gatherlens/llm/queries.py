@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatherlens.llm import langid, licenses, mixing, quality, secret_scan, vafile, warc
+from gatherlens.llm import langid, licenses, mixing, pieces, quality, secret_scan, vafile, warc
 
 
 def _read(spark, sf_dir, name):
@@ -35,6 +35,12 @@ def op2_quality_rules(spark, sf_dir):
     return quality.judge(docs, trusted)
 
 
+def op4_sentencepiece(spark, sf_dir):
+    """Two sampled segmentations of every document, with the check that each decodes to
+    the text."""
+    return pieces.encode(_read(spark, sf_dir, "documents"), pieces.load())
+
+
 def op5_secret_scan(spark, sf_dir):
     """Secrets of every document: counts and digests of the spans of the base rules,
     and the spans of all rules."""
@@ -73,7 +79,7 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op5_secret_scan, op6_top_k,
+LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op4_sentencepiece, op5_secret_scan, op6_top_k,
                                        op7_warc, op8_license_scan, op10_mix_sources)}
 
 LLM_ORACLE = {
