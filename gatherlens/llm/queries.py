@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatherlens.llm import langid, licenses, mixing, pieces, quality, secret_scan, vafile, warc
+from gatherlens.llm import langid, licenses, mixing, ngram_join, pieces, quality, secret_scan, vafile, warc
 
 
 def _read(spark, sf_dir, name):
@@ -35,6 +35,11 @@ def op2_quality_rules(spark, sf_dir):
     return quality.judge(docs, trusted)
 
 
+def op3_ngram_join(spark, sf_dir):
+    """Components of documents whose 5-word shingle sets have a Jaccard of 0.8 or more."""
+    return ngram_join.join_groups(_read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     """Two sampled segmentations of every document, with the check that each decodes to
     the text."""
@@ -79,10 +84,28 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op4_sentencepiece, op5_secret_scan, op6_top_k,
+LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op3_ngram_join, op4_sentencepiece, op5_secret_scan, op6_top_k,
                                        op7_warc, op8_license_scan, op10_mix_sources)}
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 LLM_ORACLE = {
+    "op3_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                                       '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+t AS (SELECT doc_id, unnest(sh) AS t FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT doc_id, list_sort(sh) AS sh FROM s),
+c AS (SELECT doc_id, CASE WHEN len(sh) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY sh) END AS n_copies FROM k)
+SELECT doc_id, n_shingles, component_id, n_copies FROM n JOIN m ON m.a = doc_id JOIN c USING (doc_id)""",
     "op6_top_k": """
 WITH ok AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
             FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
