@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatherlens.llm import langid, licenses, mixing, ngram_join, pieces, quality, secret_scan, vafile, warc
+from gatherlens.llm import langid, licenses, mixing, ngram_join, pieces, quality, secret_scan, substring_dedup, vafile, warc
 
 
 def _read(spark, sf_dir, name):
@@ -79,13 +79,20 @@ def op8_license_scan(spark, sf_dir):
     return licenses.find(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_substring_dedup(spark, sf_dir):
+    """Bytes of every document covered by a 400-byte string that starts elsewhere too."""
+    out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mix_sources(spark, sf_dir):
     """Every document repeated by its source's Poisson rate, shuffled globally."""
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op3_ngram_join, op4_sentencepiece, op5_secret_scan, op6_top_k,
-                                       op7_warc, op8_license_scan, op10_mix_sources)}
+                                       op7_warc, op8_license_scan, op9_substring_dedup, op10_mix_sources)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -124,6 +131,22 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)""",
+    "op9_substring_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, md5(h[2 * p + 1:2 * p + 800]) AS m
+      FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 - 399 AS BIGINT))) AS p FROM d WHERE len(h) >= 800)),
+r AS (SELECT doc_id, p FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER w <= 400 THEN 0 ELSE 1 END AS new FROM r
+      WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+x AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span, p FROM g),
+y AS (SELECT doc_id, span, min(p) AS a, max(p) + 400 AS z FROM x GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM y),
+t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS last FROM k GROUP BY doc_id),
+q AS (SELECT doc_id, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS parts FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(parts, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)""",
     "op10_mix_sources": """
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, (SELECT sum(n) FROM c) * pow(n, 0.7) / (SELECT sum(pow(n, 0.7)) FROM c) / n AS rate FROM c),
