@@ -91,8 +91,15 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op3_ngram_join, op4_sentencepiece, op5_secret_scan, op6_top_k,
-                                       op7_warc, op8_license_scan, op9_substring_dedup, op10_mix_sources)}
+                                       op7_warc, op8_license_scan, op9_substring_dedup, op10_mix_sources,
+                                       pipeline)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
