@@ -38,7 +38,7 @@ def _quantised(batches):
                 continue
             with np.errstate(over="ignore"):
                 q = np.floor(SCALE * x)
-            if np.isfinite(q).all():
+            if np.abs(q).max() < LONG:
                 ids.append(i)
                 dims.append(len(q))
                 vecs.append(q.tobytes())
@@ -133,7 +133,8 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = K) -
     column expression ``is_query`` (over ``v_id``) holds, its own id excepted.
 
     Rows with a null id, and vectors that are null, empty or hold null or non-finite
-    components, take no part; vectors of another length than the query's aren't
+    components (or one beyond a long once scaled), take no part; scores beyond a long
+    saturate; vectors of another length than the query's aren't
     compared with it.  Repeated ids are all candidates, a repeated query is asked
     once per distinct vector and keeps the k best of all.  Ties go to the smaller id.
     """
