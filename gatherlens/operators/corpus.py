@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatherlens.functions.text import clean_text
-from gatherlens.session import spread
 
 # Fixed values of the reference: the four corpus sizes and the split.
 TOPIC_NS = (5, 10, 15, 20)
@@ -28,12 +27,16 @@ SEED = 42
 
 
 def clean_corpus(docs: DataFrame, text_col: str = "text", topic_col: str = "topic") -> DataFrame:
-    """F2 + X5: (doc_id, topic, text) with cleaned text; empty topic or text dropped."""
+    """F2 + X5: (doc_id, topic, text) with cleaned text; empty topic or text dropped.
+
+    The rows are dealt by ``doc_id`` once, before the cleaning; the steps that follow per
+    document (term counts, norms, label joins) keep to that partitioning.
+    """
     docs = docs.select("doc_id", F.col(topic_col).alias("topic"), F.col(text_col).alias("text"))
-    docs = spread(docs.filter(F.col("topic") != ""))
+    docs = docs.filter(F.col("topic") != "").repartition("doc_id")
     # Keep rows whose cleaned text is neither null nor empty with a generator
     # (zero or one row per document): a filter on the cleaned text would be
-    # pushed below the projection and the spread, cleaning every text twice.
+    # pushed below the projection and the exchange, cleaning every text twice.
     kept = F.array_compact(F.array_remove(F.array(clean_text("text")), ""))
     return docs.select("doc_id", "topic", F.explode(kept).alias("text"))
 
@@ -87,11 +90,22 @@ def topic_corpora(corpus: DataFrame, topic_ns: Sequence[int] = TOPIC_NS,
                       split_flag("doc_id", test_fraction, seed).alias("split"), "text")
 
 
-def category_topics(groups: DataFrame, mapping: DataFrame, unmapped: str = "drop") -> DataFrame:
+def ranked_corpus(corpus: DataFrame, max_topics: int = TOPIC_NS[-1],
+                  test_fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
+    """M1 without copies: (doc_id, topic, rank, split, text), one row per document of the
+    ``max_topics`` most frequent topics.  The corpus of the top N is ``rank <= N``."""
+    top = topic_rank(corpus).filter(F.col("rank") <= max_topics).select("topic", "rank")
+    # at most max_topics rows
+    return corpus.join(F.broadcast(top), "topic").select(
+        "doc_id", "topic", "rank", split_flag("doc_id", test_fraction, seed).alias("split"), "text")
+
+
+def category_topics(groups: DataFrame, mapping: DataFrame, unmapped: str = "error") -> DataFrame:
     """Attach ``topic`` from a (category_id, topic) table to rows with ``category``.
 
-    ``unmapped``: 'drop' removes rows whose category is not in the table, 'keep'
-    keeps them with a null topic, 'error' fails the job on the first such row.
+    ``unmapped``: 'error' (the reference's) fails the job on the first row whose
+    category is not in the table, 'keep' keeps such rows with a null topic, 'drop'
+    removes them.
     """
     m = mapping.select(F.col("category_id").alias("category"), "topic")
     if unmapped == "drop":

@@ -32,9 +32,11 @@ def nb_term_weights(features: DataFrame, labels: DataFrame, alpha: float = ALPHA
                    .groupBy("label", "term").agg(F.sum("x").alias("o")))
     if n_features is None:
         n_features = features.select(F.count_distinct("term")).scalar()
-    per_class = F.sum("o").over(Window.partitionBy("label"))
-    weight = F.log((F.col("o") + alpha) / (per_class + F.lit(alpha) * n_features))
-    return obs.select("label", "term", weight.alias("weight"))
+    # Summed by class and joined back (one row per class), so that the terms of a class
+    # never meet in one task.
+    total = obs.groupBy("label").agg(F.sum("o").alias("total"))
+    weight = F.log((F.col("o") + alpha) / (F.col("total") + F.lit(alpha) * n_features))
+    return obs.join(total, "label").select("label", "term", weight.alias("weight"))
 
 
 def top_terms(weights: DataFrame, n: int = TOP_TERMS) -> DataFrame:

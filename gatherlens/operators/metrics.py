@@ -19,11 +19,23 @@ from pyspark.sql import functions as F
 
 
 def confusion(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A22 + A25: (keys..., label, prediction, n, pct) with pct = share of the true class."""
+    """A22 + A25: (keys..., label, prediction, n, pct) with pct = share of the true class.
+
+    All pairs of the classes that occur as label or prediction of a key are there, with
+    n = 0 where no row has them; pct is null for a class without true rows.  Classes are
+    collected per key (two lists as long as the number of classes).
+    """
     keys = list(keys)
     cells = pred.groupBy(*keys, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    classes = F.array_distinct(F.concat(F.collect_set("label"), F.collect_set("prediction")))
+    grid = cells.groupBy(*keys).agg(classes.alias("c")).select(
+        *keys, F.explode("c").alias("label"), "c").select(*keys, "label", F.explode("c").alias("prediction"))
+    seen = cells.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("label").alias("_label"),
+                        F.col("prediction").alias("_prediction"), "n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "label", "prediction"]]
+    full = grid.join(seen, same, "left").select(*keys, "label", "prediction", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     per_label = F.sum("n").over(Window.partitionBy(*keys, "label"))
-    return cells.withColumn("pct", F.col("n") * 100.0 / per_label)
+    return full.withColumn("pct", F.try_divide(F.col("n") * 100.0, per_label))
 
 
 def class_scores(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -173,10 +173,11 @@ def topic_lift(counts: DataFrame) -> DataFrame:
     The grand total N is a scalar subquery, the marginals are window sums over
     the (city, topic) counts, whose size is bounded by cities x topics.
     """
-    total = counts.select(F.sum("n")).scalar()
-    n_city = F.sum("n").over(Window.partitionBy("city"))
-    n_topic = F.sum("n").over(Window.partitionBy("topic"))
-    return counts.withColumn("lift", F.col("n") * total * 100.0 / (n_city * n_topic))
+    total = counts.select(F.sum("n").cast("double")).scalar()
+    n_city = F.sum("n").over(Window.partitionBy("city")).cast("double")
+    n_topic = F.sum("n").over(Window.partitionBy("topic")).cast("double")
+    # Doubles from the first product on: products of two counts can exceed a long.
+    return counts.withColumn("lift", F.col("n").cast("double") * total * 100.0 / (n_city * n_topic))
 
 
 def top_k_per(df: DataFrame, part: str | Sequence[str], order_col: str, k: int,

@@ -1,60 +1,65 @@
 """Exact medians without gathering a group in one place.
 
-``exact_median`` ranks every value inside its key by a range-partitioned sort:
-rows are range-partitioned on (keys, value), so the values of one key -- even a
-key holding a third of all rows -- are spread over many partitions in sorted
-order.  Each partition's piece of a key is counted; a running sum of the piece
-counts (one row per key and partition) gives every piece its offset; a row's
-rank is its offset plus its position inside its piece; the median is the
-average of the rows at ranks floor((n-1)/2) and floor(n/2).  No task ever holds
-more than one partition's rows, and only two rows per key are aggregated at the
-end.
+``exact_median`` cuts the value range at a fixed number of global cut points (quantiles
+of all values, put into the plan as constants), counts the rows of each key and bucket,
+and finds the bucket that holds the key's middle rank from running sums of those counts.
+Only the rows of that bucket are ranked, and not even they where its smallest value
+equals its largest, so a hot key's equal values are never gathered.
 
-Ties are broken by a unique row id, so equal values of a hot key spread too.
-The partition ids of the sorted rows are materialised (checkpointed) before
-they are counted and ranked, so a recomputation after an executor loss -- whose
-range boundaries come from a fresh sample -- cannot give the counting and the
-ranking different ids.
+The cut points only decide how rows are dealt: with any cut points the result is exact,
+and nothing depends on partition ids or on a materialised order, so a recomputation
+after an executor loss gives the same counts and ranks.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatherlens.session import materialize
+BUCKETS = 512
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str,
-                 partitions: int | None = None) -> DataFrame:
+def cut_points(values: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
+    """About ``buckets`` - 1 distinct quantiles of all values."""
+    probs = [i / buckets for i in range(1, buckets)]
+    return sorted({c for c in values.approxQuantile(value, probs, 0.5 / buckets) if abs(c) != float("inf")})
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS,
+                 cuts: Sequence[float] | None = None) -> DataFrame:
     """(keys..., median): the exact median of the non-null, non-NaN ``value`` per key.
 
-    Keys whose values are all null or NaN do not appear.  ``partitions`` sets
-    the number of range partitions (default: ``spark.sql.shuffle.partitions``).
+    Keys whose values are all null or NaN do not appear; a null key is a key.  ``cuts``
+    gives the cut points; by default they are taken from the values.
     """
     keys = list(keys)
     v = df.select(*keys, F.col(value).cast("double").alias("v"))
     v = v.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    # A unique row id breaks ties, so even a hot key whose values are all equal
-    # is split over several range partitions.
-    v = v.withColumn("t", F.monotonically_increasing_id())
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialize(v.repartitionByRange(n_parts, *keys, "v", "t")
-                          .withColumn("pid", F.spark_partition_id()))
-    counts = pieces.groupBy(*keys, "pid").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "pid",
-                            F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"),
-                            F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
-    local = F.row_number().over(Window.partitionBy(*keys, "pid").orderBy("v", "t")) - 1
-    ranked = (pieces.withColumn("i", local)
-                    .join(offsets, [*keys, "pid"])
-                    .withColumn("rank", F.col("off") + F.col("i")))
-    lo = F.floor((F.col("n") - 1) / 2)
-    hi = F.floor(F.col("n") / 2)
-    middle = ranked.filter((F.col("rank") == lo) | (F.col("rank") == hi))
-    return middle.groupBy(*keys).agg(F.avg("v").alias("median"))
+    cuts = cut_points(v, "v", buckets) if cuts is None else sorted(set(cuts))
+    v = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="v", outputCol="b").transform(v)
+    counts = v.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("c").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, "b", "c", "least", "most", before.alias("before"), F.sum("c").over(whole).alias("n"))
+    counts = counts.withColumns({"lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2)})
+    middle = counts.filter((F.col("before") <= F.col("hi")) & (F.col("before") + F.col("c") > F.col("lo")))
+
+    def share(rank, size):
+        """How often a run of equal rows from ``rank`` on holds the two middle ranks."""
+        return sum(((F.col(m) >= rank) & (F.col(m) < rank + size)).cast("int") for m in ("lo", "hi"))
+
+    flat = middle.filter("least = most").select(*keys, "least", share(F.col("before"), F.col("c")).alias("times"))
+    wide = middle.filter("least < most").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("b").alias("_b"),
+                                                "before", "lo", "hi")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("b") == F.col("_b"))
+    inside = v.join(wide, same).select(*keys, "b", "v", "before", "lo", "hi")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "b").orderBy("v")) - 1
+    inside = inside.withColumn("rank", rank).select(*keys, F.col("v").alias("least"), share(F.col("rank"), F.lit(1)).alias("times"))
+    both = flat.unionByName(inside.filter("times > 0"))
+    return both.groupBy(*keys).agg((F.sum(F.col("least") * F.col("times")) / 2).alias("median"))
 
 
 def nan_median_int(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

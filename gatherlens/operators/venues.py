@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatherlens.functions import scalars as X
+from gatherlens.session import materialize
 
 # Fixed value: half-width of the reference's map viewport, metres.
 VIEW_SCOPE_M = 10000.0
@@ -49,7 +50,9 @@ def canonical_locations(venues: DataFrame, precision: int | None = None) -> Data
 def venue_locations(venues: DataFrame, precision: int | None = None) -> DataFrame:
     """J3 on the venue side: each venue with coordinates -> its location id."""
     v = _points(venues, precision).select("venue_id", "lat", "lon")
-    return v.join(canonical_locations(venues, precision), ["lat", "lon"]) \
+    # The locations are cut off from their aggregation, so that the join is one of two
+    # plain exchanges, whose partition with a hot point the adaptive planner splits.
+    return v.join(materialize(canonical_locations(venues, precision)), ["lat", "lon"]) \
             .select("venue_id", "lat", "lon", "loc_id")
 
 
@@ -120,4 +123,5 @@ def venue_map(frequent: DataFrame, city_coords: DataFrame,
     cy = F.col("city_y") + y_move
     in_view = (F.col("x").between(cx - scope, cx + scope)
                & F.col("y").between(cy - scope, cy + scope))
-    return df.withColumn("in_view", in_view)
+    return df.withColumn("in_view", in_view).select(
+        "city", "venue_id", "group_id", "lat", "lon", "topic", "host_num", "x", "y", "size", "city_x", "city_y", "in_view")

@@ -12,7 +12,7 @@ ORACLE: dict[str, str] = {}
 GROUPS = """
 grp AS (
   SELECT c.c_custkey AS group_id, c.c_name AS name, n.n_name AS city,
-         c.c_mktsegment AS topic,
+         c.c_mktsegment || ' ' || CAST(c.c_custkey % 5 AS VARCHAR) AS topic,
          CASE n.n_regionkey WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'America/Chicago'
               WHEN 2 THEN 'America/Denver' WHEN 3 THEN 'America/Los_Angeles'
               WHEN 4 THEN 'UTC' END AS timezone
@@ -152,7 +152,7 @@ FROM dens GROUP BY city, topic, day_type""")
 VENUES = GROUPS + r""",
 v AS (SELECT p_partkey AS venue_id, p_name AS name,
              CAST(regexp_extract(p_brand, '(\d+)$', 1) AS DOUBLE) AS lat,
-             CAST(p_size AS DOUBLE) AS lon, p_retailprice AS rating FROM part),
+             CAST(p_size AS DOUBLE) / 1000 AS lon, p_retailprice AS rating FROM part),
 canon AS (SELECT lat, lon, min(venue_id) AS loc_id FROM v GROUP BY lat, lon),
 ev AS (SELECT o.o_custkey AS group_id, l.l_partkey AS venue_id
        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
@@ -164,7 +164,8 @@ gvi AS (SELECT canon.loc_id AS venue_id, gl.group_id, gl.lat, gl.lon, gl.host_nu
         JOIN grp g ON gl.group_id = g.group_id
         JOIN v ON v.venue_id = canon.loc_id),
 freq AS (SELECT city, venue_id, group_id, lat, lon, topic, host_num FROM gvi WHERE host_num > 1),
-cc AS (SELECT n_name AS city, 25.0 + n_nationkey AS lat, -120.0 + 2 * n_nationkey AS lon FROM nation)"""
+cc AS (SELECT n_name AS city, CAST(11 + 10 * (n_nationkey // 5) + n_nationkey % 5 AS DOUBLE) AS lat,
+              CAST(0.02 AS DOUBLE) AS lon FROM nation)"""
 
 ORACLE["canonical_location"] = _with(VENUES, "SELECT lat, lon, loc_id FROM canon")
 
@@ -293,9 +294,7 @@ top AS (SELECT label, term, weight,
 ORACLE["top_terms"] = _with(TOP_TERMS, "SELECT label, term, round(weight, 6) AS weight, rank FROM top")
 
 ORACLE["lemma_weights"] = _with(TOP_TERMS, """
-SELECT label, lemma, 25 + min(25 - rank) AS weight FROM (
-  SELECT *, CASE WHEN term LIKE '%s' AND term NOT LIKE '%ss' AND length(term) > 4
-                 THEN substr(term, 1, length(term) - 1) ELSE term END AS lemma FROM top)
+SELECT label, substr(term, 1, 3) AS lemma, 25 + min(25 - rank) AS weight FROM top
 GROUP BY label, lemma""")
 
 SEQ = _corpus("lang") + """,
@@ -395,8 +394,10 @@ FROM sweep WHERE task = 'quality'""")
 
 ORACLE["nan_median"] = """
 SELECT event_type,
-       CAST(round_even(median(value) FILTER (WHERE NOT isnan(value)), 0) AS INTEGER) AS median_value
-FROM events GROUP BY event_type"""
+       CAST(round_even(median(v) FILTER (WHERE NOT isnan(v)), 0) AS INTEGER) AS median_value
+FROM (SELECT event_type, CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 7 = 0 THEN CAST('nan' AS DOUBLE)
+                              ELSE value END AS v FROM events)
+GROUP BY event_type HAVING count(v) FILTER (WHERE NOT isnan(v)) > 0"""
 
 # --------------------------------------------------------------------------- #
 # Sources
@@ -410,14 +411,14 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', ts) AS time,
        {_clean('event_type')} AS name, {_clean('props')} AS description
 FROM events"""
 
-ORACLE["topic_city_pivot"] = (
-    "SELECT topic, CAST(coalesce(COLUMNS(* EXCLUDE (topic)), 0) AS BIGINT) FROM (PIVOT ("
-    + _with(CT, "SELECT city, topic, n FROM ct")
-    + ") ON city USING sum(n) GROUP BY topic)")
+_CITIES = ("BRAZIL", "CANADA", "CHINA", "FRANCE", "GERMANY", "INDIA", "JAPAN", "UNITED STATES")
+ORACLE["topic_city_pivot"] = _with(CT, "SELECT topic, " + ", ".join(
+    f"CAST(coalesce(sum(n) FILTER (WHERE city = '{c}'), 0) AS BIGINT) AS \"{c}\"" for c in _CITIES)
+    + " FROM ct GROUP BY topic")
 
 ORACLE["vector_median"] = """
 SELECT vec_id,
-       CAST(round_even(list_median(list_filter(CAST(embedding AS DOUBLE[]), lambda x: NOT isnan(x))), 0)
+       CAST(round_even(list_median([x * 1000 FOR x IN CAST(embedding AS DOUBLE[]) IF NOT isnan(x)]), 0)
             AS INTEGER) AS median_value
 FROM embeddings"""
 
@@ -438,7 +439,7 @@ SELECT c.c_custkey AS group_id, {_clean('c.c_name')} AS name, n.n_name AS city,
        nullif(c.c_acctbal, 0) AS rating, c.c_nationkey AS category, cat.topic,
        c.c_mktsegment AS tags, {_clean('c.c_mktsegment')} AS description
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN {_category_values()} ON cat.category_id = c.c_nationkey"""
+LEFT JOIN {_category_values()} ON cat.category_id = c.c_nationkey"""
 
 ORACLE["parse_venues"] = f"""
 SELECT p_partkey AS venue_id, {_clean('p_name')} AS name, p_type AS city,
@@ -458,3 +459,66 @@ SELECT o_orderkey AS rsvp_id,
        CAST((epoch_us(o_orderdate) // 1000 + CAST(trunc(o_totalprice) AS BIGINT)) // 1000 AS BIGINT) AS rsvp_mtime_stamp,
        CAST(NULL AS BIGINT) AS group_id
 FROM orders"""
+
+# --------------------------------------------------------------------------- #
+# Pivots, subsets and round trips through the sinks
+
+ORACLE["occurrence_yearly_pivot"] = _with(ETI, f"""
+SELECT {US} AS city, topic,
+  {', '.join(f'count(*) FILTER (WHERE year = {y}) AS y{y}' for y in range(2010, 2031))}
+FROM eti GROUP BY GROUPING SETS ((city, topic), (topic))""")
+
+ORACLE["occurrence_hourly_pivot"] = _with(ETI, f"""
+SELECT {US} AS city, topic, day_type,
+  {', '.join(f'count(*) FILTER (WHERE hour = {h}) AS h{h}' for h in range(24))}
+FROM eti GROUP BY GROUPING SETS ((city, topic, day_type), (topic, day_type))""")
+
+ORACLE["occurrence_months"] = _with(ETI, """
+SELECT year, CAST(month(local_time) AS INTEGER) AS month, count(*) AS n FROM eti
+WHERE year BETWEEN 2015 AND 2024 GROUP BY ALL""")
+
+ORACLE["occurrence_round_trip"] = _with(ETI, f"""
+SELECT {US} AS city, topic, weekday AS bucket, count(*) AS n FROM eti
+GROUP BY GROUPING SETS ((city, topic, weekday), (topic, weekday))""")
+
+ORACLE["city_topic_round_trip"] = _with(ETI, """
+SELECT event_id, city, topic, year, hour FROM eti WHERE city = 'CHINA' AND topic = 'BUILDING 2'""")
+
+ORACLE["region_topic_share"] = _with(ETI + """,
+sub AS (SELECT city, topic, count(*) AS n FROM eti
+        WHERE city IN (SELECT n_name FROM nation WHERE n_regionkey = 2) GROUP BY city, topic)""", """
+SELECT city, topic, n, round(n * 100.0 / sum(n) OVER (PARTITION BY city), 6) AS pct FROM sub""")
+
+ORACLE["event_scatter_years"] = ORACLE["event_scatter"] + " WHERE year IN (2023, 2024)"
+
+ORACLE["frequent_venues_cut"] = _with(VENUES, """
+SELECT city, venue_id, group_id, lat, lon, topic, host_num FROM gvi WHERE host_num > 3""")
+
+ORACLE["city_venues_round_trip"] = _with(VENUES, "SELECT * FROM freq WHERE city = 'CHINA'")
+
+ORACLE["venue_map_topics"] = ORACLE["venue_map"] + " WHERE topic IN ('BUILDING 2', 'MACHINERY 0')"
+
+ORACLE["corpus_topic_ids"] = _with(RANK + """,
+ns AS (SELECT unnest([5, 10, 15, 20]) AS topic_n)""", r"""
+SELECT ns.topic_n, c.doc_id, c.topic, CAST(regexp_extract(c.topic, '(\d+)$', 1) AS INTEGER) * 10 AS label, c.split
+FROM corpus c JOIN tr ON c.topic = tr.topic JOIN ns ON tr.rank <= ns.topic_n""")
+
+ORACLE["corpus_round_trip"] = _with(RANK, """
+SELECT c.doc_id, c.topic, CAST(tr.rank - 1 AS INTEGER) AS label, c.split, c.text
+FROM corpus c JOIN tr ON c.topic = tr.topic WHERE tr.rank <= 5 AND c.split = 'test'""")
+
+ORACLE["load_groups"] = f"""
+SELECT c.c_custkey AS group_id, {_clean('c.c_name')} AS name, n.n_name AS city, nullif(c.c_acctbal, 0) AS rating,
+       c.c_nationkey AS category, cat.topic
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN {_category_values()} ON cat.category_id = c.c_nationkey"""
+
+ORACLE["rechunked_events"] = """
+SELECT CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', ts) AS time,
+       CAST(nullif(CAST(trunc(value) AS BIGINT), 0) AS INTEGER) AS rating_count, user_id AS group_id
+FROM events"""
+
+ORACLE["metrics_round_trip"] = _with(SWEEP, """
+SELECT CAST(2 AS INTEGER) AS topic_num, task || '/' || model AS model, round(f1, 6) AS f1, round(acc, 6) AS acc FROM sweep""")
+
+ORACLE["ranked_models"] = ORACLE["model_sweep"]

@@ -22,9 +22,10 @@ from gatherlens.operators import occurrence as O
 from gatherlens.operators import quantiles as Q
 from gatherlens.operators import textfeat as TF
 from gatherlens.operators import venues as V
-from gatherlens.session import configure, materialize, spread
+from gatherlens.session import configure, materialize, scratch_dir
 from gatherlens.sources import entities as E
 from gatherlens.sources import lookups as L
+from gatherlens.sources import sinks as SK
 from gatherlens.sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +87,56 @@ def occurrence_daily_pivot(spark, sf_dir):
     return O.bucket_pivot(daily, ["city", "topic"], "weekday", range(7), names)
 
 
+# The years and hours of the pivots' columns: parameters, so that no job looks for them.
+YEARS = range(2010, 2031)
+
+
+@query
+def occurrence_yearly_pivot(spark, sf_dir):
+    """A10: the yearly table pivoted to one column per year of YEARS, missing years = 0."""
+    yearly = O.occurrence(_eti(spark, sf_dir), "year")
+    return O.bucket_pivot(yearly, ["city", "topic"], "year", YEARS, [f"y{y}" for y in YEARS])
+
+
+@query
+def occurrence_hourly_pivot(spark, sf_dir):
+    """A10: the hourly table pivoted to one column per hour, missing hours = 0."""
+    return O.bucket_pivot(_hourly(spark, sf_dir), ["city", "topic", "day_type"], "hour", range(24),
+                          [f"h{h}" for h in range(24)])
+
+
+@query
+def occurrence_months(spark, sf_dir):
+    """X9 + F7: events per local year and month, of the years 2015 to 2024."""
+    eti = _eti(spark, sf_dir).filter(F.col("year").between(2015, 2024))
+    return eti.groupBy("year", X.month("local_time").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def occurrence_round_trip(spark, sf_dir):
+    """S15 + S17: the occurrence table written by grain, the daily grain read back."""
+    path = scratch_dir(spark, "occurrence")
+    SK.write_occurrence(O.occurrence_cube(_eti(spark, sf_dir)), path)
+    return SK.read_occurrence(spark, path, "daily").select("city", "topic", "bucket", "n")
+
+
+@query
+def city_topic_round_trip(spark, sf_dir):
+    """Event times written by (city, topic), one folder read back."""
+    path = scratch_dir(spark, "city-topic")
+    eti = _eti(spark, sf_dir)
+    SK.write_city_topic(eti.select("event_id", "city", "topic", "year", "hour"), path)
+    return SK.read_city_topic(spark, path, "CHINA", "BUILDING 2").select("event_id", "city", "topic", "year", "hour")
+
+
+@query
+def region_topic_share(spark, sf_dir):
+    """Topic shares within the cities of one region only."""
+    cities = S.read(spark, sf_dir, "nation").filter("n_regionkey = 2").select(F.col("n_name").alias("city"))
+    counts = O.city_topic_counts(O.within_cities(_eti(spark, sf_dir), cities))
+    return rounded(O.topic_share_city(counts), "pct")
+
+
 @query
 def occurrence_cube(spark, sf_dir):
     """S15 table: all four occurrence grains (+ 'US') from one grouping-sets pass."""
@@ -118,10 +169,14 @@ def distinct_topics(spark, sf_dir):
     return O.distinct_topics(_eti(spark, sf_dir))
 
 
+# The cities that become columns; a parameter, so that no job looks for them.
+PIVOT_CITIES = ("BRAZIL", "CANADA", "CHINA", "FRANCE", "GERMANY", "INDIA", "JAPAN", "UNITED STATES")
+
+
 @query
 def topic_city_pivot(spark, sf_dir):
-    """Events per topic, one column per city (missing = 0)."""
-    return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir)))
+    """Events per topic, one column per city of PIVOT_CITIES (missing = 0)."""
+    return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir)), PIVOT_CITIES)
 
 
 @query
@@ -150,6 +205,12 @@ def event_scatter(spark, sf_dir):
     return rounded(O.event_scatter(_eti(spark, sf_dir)), "time_of_day")
 
 
+@query
+def event_scatter_years(spark, sf_dir):
+    """R4 + F7: the scatter of the years 2023 and 2024 only."""
+    return rounded(O.event_scatter(_eti(spark, sf_dir), years=(2023, 2024)), "time_of_day")
+
+
 def _hourly(spark, sf_dir):
     return O.occurrence(_eti(spark, sf_dir), "hour", weekend_start=6)
 
@@ -193,11 +254,33 @@ def group_venue_flag(spark, sf_dir):
     return V.group_venue_flag(_gvi(spark, sf_dir))
 
 
-# Hostings per (group, location) run 1-4 on the driver's tables; "more than 1"
-# keeps a useful share of them (more than 3, the reference's cut, keeps one row).
+# Few (group, location) pairs of the driver's tables have more than 3 hostings, the
+# feature's cut; the map is also made with more than 1, so that it has points.
 MIN_HOSTS = 1
 
 
+@query
+def frequent_venues_cut(spark, sf_dir):
+    """(group, location) pairs with more than 3 hostings, the default cut."""
+    return V.frequent_venues(_gvi(spark, sf_dir))
+
+
+@query
+def city_venues_round_trip(spark, sf_dir):
+    """S16 + S17: frequent venues written by city, one city read back."""
+    path = scratch_dir(spark, "city-venues")
+    SK.write_by_city(V.frequent_venues(_gvi(spark, sf_dir), min_hosts=MIN_HOSTS), path)
+    return SK.read_city(spark, path, "CHINA").select("city", "venue_id", "group_id", "lat", "lon", "topic", "host_num")
+
+
+@query
+def venue_map_topics(spark, sf_dir):
+    """R9 + F8: the map of two topics only."""
+    freq = V.frequent_venues(_gvi(spark, sf_dir), min_hosts=MIN_HOSTS)
+    m = V.venue_map(freq, S.city_coordinates(spark, sf_dir), topics=("BUILDING 2", "MACHINERY 0"))
+    return rounded(m, "x", "y", "size", "city_x", "city_y", digits=3)
+
+
 @query
 def frequent_venues(spark, sf_dir):
     """(group, location) pairs with more than MIN_HOSTS hostings, per city."""
@@ -222,14 +305,14 @@ def _corpus(spark, sf_dir, topic="lang"):
 @query
 def clean_text(spark, sf_dir):
     """X5 on documents: tags and non-letters removed, words longer than 3 letters."""
-    d = spread(S.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = S.read(spark, sf_dir, "documents")
     return d.select("doc_id", T.clean_text("text").alias("clean"))
 
 
 @query
 def clean_html(spark, sf_dir):
     """X5 on raw web pages."""
-    p = spread(S.read(spark, sf_dir, "pages").select("page_id", "html"))
+    p = S.read(spark, sf_dir, "pages")
     return p.select("page_id", T.clean_text("html").alias("clean"))
 
 
@@ -252,6 +335,21 @@ def corpus_topn(spark, sf_dir):
     return C.topic_corpora(_corpus(spark, sf_dir, "source"))
 
 
+@query
+def corpus_topic_ids(spark, sf_dir):
+    """M1 + J7: the corpora with label ids from a topic table instead of the rank."""
+    corpora = C.topic_corpora(_corpus(spark, sf_dir, "source"), topic_ids=S.topic_ids(spark, sf_dir))
+    return corpora.select("topic_n", "doc_id", "topic", "label", "split")
+
+
+@query
+def corpus_round_trip(spark, sf_dir):
+    """The ranked corpus written once, the test split of the top 5 topics read back."""
+    path = scratch_dir(spark, "corpus")
+    SK.write_corpora(C.ranked_corpus(_corpus(spark, sf_dir, "source")), path)
+    return SK.read_corpus(spark, path, "test", 5).select("doc_id", "topic", "label", "split", "text")
+
+
 @query
 def train_test_split(spark, sf_dir):
     """M2: deterministic 80/20 split of the documents by a hash of doc_id."""
@@ -299,9 +397,9 @@ def top_terms(spark, sf_dir):
 
 @query
 def lemma_weights(spark, sf_dir):
-    """M7: keyword weights of each language merged by lemma (plural rule)."""
+    """M7: keyword weights of each language merged by a lemma table."""
     top = _top_terms(spark, sf_dir)
-    return I.lemma_weights(top, I.plural_lemmas(top), I.TOP_TERMS)
+    return I.lemma_weights(top, S.stem_table(top), I.TOP_TERMS)
 
 
 def _word_index(spark, sf_dir):
@@ -398,8 +496,7 @@ def model_rank(spark, sf_dir):
 @query
 def nan_median(spark, sf_dir):
     """Median event value per event type (NaN skipped), rounded half-even."""
-    e = S.read(spark, sf_dir, "events")
-    return Q.nan_median_int(e, ["event_type"], "value")
+    return Q.nan_median_int(S.rated_events(spark, sf_dir), ["event_type"], "value")
 
 
 # --------------------------------------------------------------------------- #
@@ -510,14 +607,14 @@ def parse_events(spark, sf_dir):
 @query
 def vector_median(spark, sf_dir):
     """A19 per row: the NaN-skipping median of each embedding vector, rounded half-even."""
-    e = S.read(spark, sf_dir, "embeddings")
+    e = S.wide_vectors(spark, sf_dir)
     return e.select("vec_id", X.nan_median("embedding").alias("median_value"))
 
 
 @query
 def parse_groups(spark, sf_dir):
     """S3 + S7 + F1 + J6: raw group JSON lines parsed, topics from the category table
-    (categories without a topic are dropped)."""
+    (null for categories that it lacks)."""
     raw = E.parse_lines(S.raw_group_lines(spark, sf_dir), "group")
     g = E.typed_group(raw, L.category_topics(spark))
     return g.select("group_id", "name", "city", "timezone", "rating", "category", "topic",
@@ -534,3 +631,37 @@ def parse_venues(spark, sf_dir):
 def parse_rsvps(spark, sf_dir):
     """S6 + S7: raw RSVP JSON lines parsed into the typed RSVP table."""
     return E.typed_rsvp(E.parse_lines(S.raw_rsvp_lines(spark, sf_dir), "rsvp"))
+
+
+@query
+def load_groups(spark, sf_dir):
+    """S1 + S7: raw group lines written as files, scanned and typed by the loader."""
+    base = scratch_dir(spark, "raw")
+    S.raw_group_lines(spark, sf_dir).write.text(f"{base}/groups")
+    g = E.load_entity(spark, base, "group", L.category_topics(spark))
+    return g.select("group_id", "name", "city", "rating", "category", "topic")
+
+
+@query
+def rechunked_events(spark, sf_dir):
+    """S8 + S1: raw event lines copied into gzip files of 200 lines, then loaded."""
+    base = scratch_dir(spark, "raw")
+    S.raw_event_lines(spark, sf_dir).write.text(f"{base}/lines")
+    E.rechunk_lines(spark, f"{base}/lines", f"{base}/events")
+    return E.load_entity(spark, base, "event").select("event_id", "time", "rating_count", "group_id")
+
+
+@query
+def metrics_round_trip(spark, sf_dir):
+    """The sweep's scores written as CSV and read back."""
+    path = scratch_dir(spark, "metrics")
+    scores = _sweep(spark, sf_dir).select(F.lit(2).alias("topic_num"), F.concat_ws("/", "task", "model").alias("model"), "f1", "acc")
+    SK.write_metrics(scores, path)
+    return rounded(SK.read_metrics(spark, path), "f1", "acc")
+
+
+@query
+def ranked_models(spark, sf_dir):
+    """T1 + T8: the sweep ordered for presentation, by task and falling F1."""
+    return rounded(_sweep(spark, sf_dir), "f1", "acc").orderBy("task", F.desc("f1"), "model")
+

@@ -8,6 +8,10 @@ built (the cluster's, or the driver's).
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
+import warnings
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +39,11 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_mb: int =
     (``extra=``) or set on a session.
 
     Shuffles start with about one partition per ``target_partition_mb`` of input
-    (at least two per core, at most 200,000); AQE then coalesces small ones
-    toward the same advisory size and splits skewed ones.  Scans read splits of
-    up to 256 MB.  For 100 TB on 1,000 executors x 4 cores this gives 200,000
-    initial shuffle partitions, coalesced at run time.
+    (at least two per core); AQE then coalesces small ones toward the same
+    advisory size and splits skewed ones.  Scans read splits of up to 256 MB.  For
+    100 TB this gives 819,200 initial shuffle partitions, coalesced at run time.
     """
-    initial = max(2 * total_cores, min(200_000, input_bytes // (target_partition_mb * MB)))
+    initial = max(2 * total_cores, input_bytes // (target_partition_mb * MB))
     return {
         "spark.sql.shuffle.partitions": str(initial),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
@@ -93,6 +96,10 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     path = _conf(spark, "spark.checkpoint.dir")
     if path:
         sc = spark.sparkContext
+        on_disk = path.startswith("file:") or "://" not in path
+        if on_disk and not re.match(r"local(-cluster)?\b", sc.master) and not os.path.ismount(
+                re.sub("^file:/+", "/", path)):
+            warnings.warn(f"spark.checkpoint.dir {path} looks local; it must be shared by all executors", stacklevel=2)
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(path)
     return path
@@ -115,18 +122,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows round-robin when a scan yields fewer partitions than the
-    session can run at once, before CPU-heavy per-row work (regex over text).
-
-    A source of one large file or row group is read by a single task; on a
-    large input (many files and row groups) the partition count already exceeds
-    the parallelism and this is a no-op, so no shuffle is added there.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name under the session's shared checkpoint folder.  Only a local
+    session without one gets a folder of its own under /tmp."""
+    base = checkpoint_dir(spark)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gatherlens-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -13,8 +13,12 @@ Parsing rules (the reference's, with its failure cases made total):
 * epoch milliseconds -> UTC wall time floored to the second, and epoch seconds.
 * names and descriptions are cleaned (X5).
 * groups without a category are dropped; the topic comes from the
-  category -> topic table (unmapped categories: see ``category_topics``).
-* malformed lines are dropped.
+  category -> topic table (unmapped categories keep a null topic, unless
+  ``unmapped`` says otherwise: see ``category_topics``).
+* a malformed line fails the job, as in the reference; ``on_error='drop'`` leaves
+  such lines out, and ``rejected_lines`` returns them.
+* counts are read as doubles and then cut to integers, so 3.5 is 3, not a
+  malformed line.
 """
 from __future__ import annotations
 
@@ -30,21 +34,46 @@ from gatherlens.sources import schemas as SC
 ENTITY_DIRS = {"group": "groups", "event": "events", "venue": "venues", "rsvp": "rsvps"}
 
 
-def read_entity(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """The raw records of one entity under ``path`` (files or a directory)."""
+# What to do with a malformed line, by the JSON reader's name for it.
+MODES = {"fail": "FAILFAST", "drop": "DROPMALFORMED"}
+
+
+def read_entity(spark: SparkSession, path: str, entity: str, on_error: str = "fail") -> DataFrame:
+    """The raw records of one entity under ``path`` (files or a directory).
+
+    A malformed line fails the job; with ``on_error='drop'`` it is left out."""
     return (spark.read.schema(SC.RAW[entity])
-                 .option("mode", "DROPMALFORMED")
+                 .option("mode", MODES[on_error])
                  .json(path))
 
 
-def parse_lines(lines: DataFrame, entity: str, col: str = "value") -> DataFrame:
-    """S3-S6 on a column of JSON strings: raw struct columns, malformed lines dropped."""
+def _parsed(lines: DataFrame, entity: str, col: str) -> DataFrame:
     schema = T.StructType(SC.RAW[entity].fields + [T.StructField("_corrupt", T.StringType())])
-    parsed = lines.select(F.from_json(F.col(col), schema,
-                                      {"mode": "PERMISSIVE",
-                                       "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    ok = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
-    return parsed.filter(ok).select("r.*").drop("_corrupt")
+    return lines.withColumn("r", F.from_json(F.col(col), schema, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+
+
+def _well_formed():
+    return F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+
+
+def parse_lines(lines: DataFrame, entity: str, col: str = "value", on_error: str = "fail") -> DataFrame:
+    """S3-S6 on a column of JSON strings: raw struct columns.  A malformed line (null and
+    blank ones too) fails the job; with ``on_error='drop'`` it is left out."""
+    if on_error not in MODES:
+        raise ValueError(f"on_error must be one of {sorted(MODES)}, not {on_error!r}")
+    parsed, ok = _parsed(lines, entity, col), _well_formed()
+    if on_error == "drop":
+        return parsed.filter(ok).select("r.*").drop("_corrupt")
+    checked = F.when(ok, F.col("r")).otherwise(
+        F.raise_error(F.concat(F.lit(f"malformed {entity} line: "), F.coalesce(F.col(col), F.lit("null"))))
+        .cast(parsed.schema["r"].dataType))
+    return parsed.select(checked.alias("r")).select("r.*").drop("_corrupt")
+
+
+def rejected_lines(lines: DataFrame, entity: str, col: str = "value") -> DataFrame:
+    """The rows of ``lines`` that ``parse_lines(on_error='drop')`` leaves out."""
+    return _parsed(lines, entity, col).filter(~F.coalesce(_well_formed(), F.lit(False))).drop("r")
 
 
 def _int(c):
@@ -56,7 +85,7 @@ def _dbl(c):
 
 
 def typed_group(raw: DataFrame, category_map: DataFrame | None = None,
-                unmapped: str = "drop") -> DataFrame:
+                unmapped: str = "keep") -> DataFrame:
     """S3 + S7 + F1 + J6: raw groups -> typed groups with a topic."""
     g = raw.filter(F.col("category.id").isNotNull()).select(
         F.col("id").alias("group_id"),
@@ -136,13 +165,13 @@ def typed_rsvp(raw: DataFrame) -> DataFrame:
 
 
 def load_entity(spark: SparkSession, data_dir: str, entity: str,
-                category_map: DataFrame | None = None, unmapped: str = "drop",
-                dedupe: bool = False) -> DataFrame:
+                category_map: DataFrame | None = None, unmapped: str = "keep",
+                dedupe: bool = False, on_error: str = "fail") -> DataFrame:
     """S1 + S7: read ``data_dir/<entities>`` and return the typed table.
 
     ``dedupe`` keeps one row per id (Q12); off by default, as in the reference.
     """
-    raw = read_entity(spark, f"{data_dir.rstrip('/')}/{ENTITY_DIRS[entity]}", entity)
+    raw = read_entity(spark, f"{data_dir.rstrip('/')}/{ENTITY_DIRS[entity]}", entity, on_error)
     typed = {"group": lambda r: typed_group(r, category_map, unmapped),
              "event": typed_event, "venue": typed_venue, "rsvp": typed_rsvp}[entity](raw)
     if dedupe:
@@ -152,11 +181,10 @@ def load_entity(spark: SparkSession, data_dir: str, entity: str,
 
 
 def rechunk_lines(spark: SparkSession, src: str, dest: str, part_num: int = 200,
-                  max_num: int | None = 2000) -> None:
+                  max_num: int | None = None) -> None:
     """Copy JSON lines into gzip files of ``part_num`` lines each.
 
-    ``max_num`` keeps the first lines of the input (the reference's sample
-    size); None copies everything.  Gzip files cannot be split by a reader, so
+    Everything is copied; ``max_num`` asks for a sample of the first lines.  Gzip files cannot be split by a reader, so
     many small gzip files are what lets a later scan run in parallel.
     """
     lines = spark.read.text(src)

@@ -23,7 +23,7 @@ RAW_GROUP = T.StructType([
     T.StructField("lat", T.DoubleType()),
     T.StructField("rating", T.DoubleType()),
     T.StructField("description", T.StringType()),
-    T.StructField("members", T.LongType()),
+    T.StructField("members", T.DoubleType()),
     T.StructField("created", T.LongType()),
     T.StructField("organizer", _MEMBER),
     T.StructField("category", T.StructType([T.StructField("id", T.IntegerType())])),
@@ -38,13 +38,13 @@ RAW_EVENT = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("venue", _ID),
     T.StructField("rating", T.StructType([
-        T.StructField("count", T.LongType()),
+        T.StructField("count", T.DoubleType()),
         T.StructField("average", T.DoubleType()),
     ])),
     T.StructField("event_hosts", T.ArrayType(_MEMBER)),
-    T.StructField("yes_rsvp_count", T.LongType()),
-    T.StructField("maybe_rsvp_count", T.LongType()),
-    T.StructField("waitlist_count", T.LongType()),
+    T.StructField("yes_rsvp_count", T.DoubleType()),
+    T.StructField("maybe_rsvp_count", T.DoubleType()),
+    T.StructField("waitlist_count", T.DoubleType()),
     T.StructField("description", T.StringType()),
     T.StructField("group", _ID),
     T.StructField("created", T.LongType()),
@@ -56,7 +56,7 @@ RAW_VENUE = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("name", T.StringType()),
     T.StructField("rating", T.DoubleType()),
-    T.StructField("rating_count", T.LongType()),
+    T.StructField("rating_count", T.DoubleType()),
     T.StructField("lon", T.DoubleType()),
     T.StructField("lat", T.DoubleType()),
     T.StructField("address_1", T.StringType()),

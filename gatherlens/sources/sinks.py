@@ -13,10 +13,9 @@ from gatherlens.sources import schemas as SC
 
 
 def _write(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
-    # No repartition by the key: a key holding a large share of the rows would
-    # land in one task.  Every task writes its own file per key it holds; the
-    # writer sorts each task's rows by the key so one file is open at a time.
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    # Rebalanced by the key: the rows of a small key meet in one task (one file), and the
+    # adaptive planner splits a key that is larger than its advisory partition size.
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def write_occurrence(cube: DataFrame, path: str) -> None:
@@ -52,14 +51,17 @@ def read_city_topic(spark: SparkSession, path: str, city: str, topic: str) -> Da
     return spark.read.parquet(path).filter((F.col("city") == city) & (F.col("topic") == topic))
 
 
-def write_corpora(corpora: DataFrame, path: str) -> None:
-    """Corpora partitioned by (topic_n, split)."""
-    _write(corpora, path, ["topic_n", "split"])
+def write_corpora(ranked: DataFrame, path: str) -> None:
+    """The documents of :func:`gatherlens.operators.corpus.ranked_corpus`, each text
+    once, partitioned by (split, rank)."""
+    _write(ranked, path, ["split", "rank"])
 
 
 def read_corpus(spark: SparkSession, path: str, split: str, topic_n: int) -> DataFrame:
-    """One split of the corpus of the top ``topic_n`` topics."""
-    return spark.read.parquet(path).filter((F.col("split") == split) & (F.col("topic_n") == topic_n))
+    """One split of the corpus of the top ``topic_n`` topics, with ``label`` the rank
+    from 0; only the folders of those ranks are read."""
+    df = spark.read.parquet(path).filter((F.col("split") == split) & (F.col("rank") <= topic_n))
+    return df.withColumn("label", (F.col("rank") - 1).cast("int"))
 
 
 def save_model(model, path: str) -> None:

@@ -35,14 +35,15 @@ def _timezone(region_key) -> F.Column:
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """group := customer joined to nation: city := nation name, topic := market segment."""
+    """group := customer joined to nation: city := nation name, topic := market segment
+    and the last digit of the key in base 5 (25 topics)."""
     c = read(spark, sf_dir, "customer")
     n = read(spark, sf_dir, "nation")
     return (c.join(n, c.c_nationkey == n.n_nationkey)
              .select(F.col("c_custkey").alias("group_id"),
                      F.col("c_name").alias("name"),
                      F.col("n_name").alias("city"),
-                     F.col("c_mktsegment").alias("topic"),
+                     F.concat_ws(" ", "c_mktsegment", (F.col("c_custkey") % 5).cast("string")).alias("topic"),
                      _timezone(F.col("n_regionkey")).alias("timezone")))
 
 
@@ -62,21 +63,47 @@ def hosted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """venue := part; its point is (brand number, size) read as (lat, lon)."""
+    """venue := part; its point is (brand number, size / 1000) read as (lat, lon)."""
     p = read(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("venue_id"),
                     F.col("p_name").alias("name"),
                     F.regexp_extract("p_brand", r"(\d+)$", 1).cast("double").alias("lat"),
-                    F.col("p_size").cast("double").alias("lon"),
+                    (F.col("p_size").cast("double") / 1000).alias("lon"),
                     F.col("p_retailprice").alias("rating"))
 
 
 def city_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """city lookup := nation: lat := 25 + key, lon := -120 + 2 * key."""
+    """city lookup := nation: lat := 11 + 10 * (key / 5) + key % 5, lon := 0.02, so each
+    brand number is the latitude of one city."""
     n = read(spark, sf_dir, "nation")
     return n.select(F.col("n_name").alias("city"),
-                    (F.lit(25.0) + F.col("n_nationkey")).alias("lat"),
-                    (F.lit(-120.0) + 2 * F.col("n_nationkey")).alias("lon"))
+                    (11 + 10 * F.floor(F.col("n_nationkey") / 5) + F.col("n_nationkey") % 5).cast("double").alias("lat"),
+                    F.lit(0.02).alias("lon"))
+
+
+def topic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic table := the distinct document sources numbered by their digits times 10."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("topic")).distinct()
+    return d.select("topic", (F.regexp_extract("topic", r"(\d+)$", 1).cast("int") * 10).alias("topic_id"))
+
+
+def rated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with missing ratings: value := null for every fifth user, NaN for every
+    seventh of the others."""
+    e = read(spark, sf_dir, "events")
+    value = F.when(F.col("user_id") % 5 == 0, F.lit(None)).when(F.col("user_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return e.select("event_type", value.alias("value"))
+
+
+def wide_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors of large numbers := embeddings times 1000."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 1000).alias("embedding"))
+
+
+def stem_table(terms: DataFrame) -> DataFrame:
+    """lemma table := the terms' first three letters (a lookup of any kind does)."""
+    return terms.select("term").distinct().select("term", F.substring("term", 1, 3).alias("lemma"))
 
 
 def documents(spark: SparkSession, sf_dir: str, topic: str = "source") -> DataFrame:

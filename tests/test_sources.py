@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from gatherlens.operators.corpus import category_topics
 from gatherlens.operators.occurrence import event_time_info
 from gatherlens.sources import entities as E
 from gatherlens.sources import lookups as L
@@ -60,9 +61,11 @@ def data_dir(tmpdir_path):
 
 def test_groups(spark, data_dir):
     cats = L.category_topics(spark)
-    g = E.load_entity(spark, data_dir, "group", cats)
+    g = E.load_entity(spark, data_dir, "group", cats, on_error="drop")
     got = {r.group_id: r for r in g.collect()}
-    assert set(got) == {1, 4}                 # no category / unmapped / malformed dropped
+    assert set(got) == {1, 3, 4} and got[3].topic is None     # no category dropped
+    with pytest.raises(Exception):
+        E.load_entity(spark, data_dir, "group", cats).collect()      # a malformed line
     one = got[1]
     assert one.name == "chess club"
     assert one.topic == "games-sci-fi" and one.category == 11
@@ -71,10 +74,12 @@ def test_groups(spark, data_dir):
     assert one.organizer == 77 and one.tags == ["chess", "board-games"]
     assert one.description == "play chess"
     assert got[4].description == "" and got[4].rating is None and got[4].topic == "tech"
-    kept = E.load_entity(spark, data_dir, "group", cats, unmapped="keep")
-    assert {r.group_id: r.topic for r in kept.collect()}[3] is None
+    mapped = E.load_entity(spark, data_dir, "group", cats, unmapped="drop", on_error="drop")
+    assert {r.group_id for r in mapped.collect()} == {1, 4}
+    with pytest.raises(Exception):
+        E.load_entity(spark, data_dir, "group", cats, unmapped="error", on_error="drop").collect()
     with pytest.raises(Exception):
-        E.load_entity(spark, data_dir, "group", cats, unmapped="error").collect()
+        category_topics(spark.createDataFrame([(7,)], "category int"), cats).collect()
 
 
 def test_events_venues_rsvps(spark, data_dir):
@@ -92,16 +97,26 @@ def test_events_venues_rsvps(spark, data_dir):
 
 
 def test_events_to_local_time_across_dst(spark, data_dir):
-    groups = E.load_entity(spark, data_dir, "group", L.category_topics(spark))
+    groups = E.load_entity(spark, data_dir, "group", L.category_topics(spark), on_error="drop")
     eti = event_time_info(E.load_entity(spark, data_dir, "event"), groups)
     got = {r.event_id: r.hour for r in eti.collect()}
     assert got == {"a1": 1, "a2": 3, "a3": None}   # 01:30 EST, then 03:30 EDT
 
 
-def test_parse_lines_drops_malformed(spark):
-    lines = spark.createDataFrame([(json.dumps(EVENTS[0]),), ("{oops",), ("",)], "value string")
-    typed = E.typed_event(E.parse_lines(lines, "event"))
+def test_parse_lines_rejects_malformed(spark):
+    lines = spark.createDataFrame([(json.dumps(EVENTS[0]), 1), ("{oops", 2), ("", 3), (None, 4)], "value string, n int")
+    typed = E.typed_event(E.parse_lines(lines, "event", on_error="drop"))
     assert [r.event_id for r in typed.collect()] == ["a1"]
+    assert sorted(r.n for r in E.rejected_lines(lines, "event").collect()) == [2, 3, 4]
+    with pytest.raises(Exception):
+        E.parse_lines(lines, "event").collect()
+    assert E.parse_lines(lines.filter("n = 1"), "event").count() == 1
+
+
+def test_fractional_counts_are_cut_not_rejected(spark, tmpdir_path):
+    write_lines(tmpdir_path, "venues", [{"id": 2, "rating_count": 3.5}, {"id": 3, "rating_count": 7}])
+    got = {r.venue_id: r.rating_count for r in E.load_entity(spark, tmpdir_path, "venue").collect()}
+    assert got == {2: 3, 3: 7}
 
 
 def test_lookups(spark, tmpdir_path):
@@ -150,6 +165,8 @@ def test_rechunk(spark, tmpdir_path):
         for i in range(25):
             f.write(json.dumps({"id": i}) + "\n")
     out = os.path.join(tmpdir_path, "chunks")
+    E.rechunk_lines(spark, src, out, part_num=10)
+    assert spark.read.text(out).count() == 25
     E.rechunk_lines(spark, src, out, part_num=10, max_num=20)
     files = [f for f in os.listdir(out) if f.endswith(".gz")]
     assert len(files) == 2
@@ -164,13 +181,22 @@ def test_city_topic_and_corpus_sinks(spark, tmpdir_path):
     SK.write_city_topic(eti, path)
     assert os.path.isdir(os.path.join(path, "city=NYC", "topic=tech"))
     assert [r.event_id for r in SK.read_city_topic(spark, path, "NYC", "tech").collect()] == ["e1"]
-    corp = spark.createDataFrame([(5, 1, "a", 0, "train", "x y"), (5, 2, "b", 1, "test", "z w"),
-                                  (10, 1, "a", 0, "train", "x y")],
-                                 "topic_n int, doc_id long, topic string, label int, split string, text string")
+    corp = spark.createDataFrame([(1, "a", 1, "train", "x y"), (2, "b", 2, "test", "z w"), (3, "c", 7, "train", "x y")],
+                                 "doc_id long, topic string, rank int, split string, text string")
     cpath = os.path.join(tmpdir_path, "corp")
     SK.write_corpora(corp, cpath)
-    assert [r.doc_id for r in SK.read_corpus(spark, cpath, "train", 5).collect()] == [1]
-    assert SK.read_corpus(spark, cpath, "test", 10).count() == 0
+    assert [(r.doc_id, r.label) for r in SK.read_corpus(spark, cpath, "train", 5).collect()] == [(1, 0)]
+    assert SK.read_corpus(spark, cpath, "train", 10).count() == 2
+    assert SK.read_corpus(spark, cpath, "test", 1).count() == 0
+
+
+def test_sinks_write_few_files(spark, tmpdir_path):
+    """Many tasks holding every key leave one file per key, not one per task and key."""
+    df = spark.range(4000).repartition(40).selectExpr("concat('c', id % 5) AS city", "concat('t', id % 4) AS topic", "id AS event_id")
+    path = os.path.join(tmpdir_path, "ct")
+    SK.write_city_topic(df, path)
+    files = [f for _, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")]
+    assert len(files) == 20 and spark.read.parquet(path).count() == 4000
 
 
 def test_dedupe_keeps_one_row_per_id(spark, tmpdir_path):
