@@ -19,10 +19,12 @@ handled together in arrays.  There is no shuffle.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ STEP, PLACE, SAMPLE, RANK = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE
                                                     0x27D4EB2F165667C5))
 FACTOR = np.uint64(0x100000001B3)
 SLOT_BITS = 20
-OPEN, REACH = -80.0, 37.5
+CUT, REACH = -3.0, 37.5
 LOG_UNIT = float(1 << 32)
 
 
@@ -108,8 +110,10 @@ class Matcher:
         assert len(np.unique(self.hashes)) == len(hashes)
         self.ids = np.array(v.ids, np.int64)[order]
         self.weights = np.array(v.weights)[order]
-        self.alive = np.zeros(1 << SLOT_BITS, bool)
-        self.alive[self._slot(np.array(sorted(prefixes), np.uint64))] = True
+        # By slot: 0 nothing starts so, 1 a piece may start so, 2 a piece may be so.
+        self.slots = np.zeros(1 << SLOT_BITS, np.uint8)
+        self.slots[self._slot(np.array(sorted(prefixes), np.uint64))] = 1
+        self.slots[self._slot(self.hashes)] = 2
         self.longest = max(map(len, v.pieces))
 
     @staticmethod
@@ -119,8 +123,9 @@ class Matcher:
 
 class Lattice:
     """The lattices of distinct units.  A node is a place in the units' code points, its
-    edges are first[node] up to first[node + 1]; ``cum`` are cumulative probabilities
-    within a node, ``logp`` their logarithms, ``flat[token:token + width]`` the ids."""
+    edges are first[node] up to first[node + 1], the shortest first; ``cum`` are
+    cumulative probabilities within a node, ``logp`` the logarithms of the single ones,
+    ``flat[token:token + width]`` the ids."""
 
     def __init__(self, m: Matcher, units: list[str]):
         code, self.roots = _codes(units)
@@ -128,66 +133,78 @@ class Lattice:
         self.end[self.roots[1:] - 1] = True
         self.end[-1] = True
         code = np.where(code == BLANK, LITERAL_BLANK, np.where(code == 32, BLANK, code)).astype(np.uint64)
-        at = np.flatnonzero(~self.end[:-1])
-        inner, h, found = at, np.zeros(len(at), np.uint64), []
+        inner = np.flatnonzero(~self.end[:-1])
+        degree = np.zeros(len(code) + 1, np.int64)
+        at, h, found = inner, np.zeros(len(inner), np.uint64), []
         for size in range(1, m.longest + 1):
             h = h * FACTOR + code[at + (size - 1)] + np.uint64(1)
-            keep = m.alive[m._slot(h)]
-            at, h = at[keep], h[keep]
+            state = m.slots[m._slot(h)]
+            some = np.flatnonzero(state == 2)
+            place = np.minimum(np.searchsorted(m.hashes, h[some]), len(m.hashes) - 1)
+            good = m.hashes[place] == h[some]
+            start, place = at[some[good]], place[good]
+            found.append((start, degree[start], size, m.ids[place], m.weights[place]))
+            degree[start] += 1
+            if size == 1:
+                rest = inner[degree[inner] == 0]
+                kinds, which = np.unique(code[rest], return_inverse=True)
+                coded = [chr(int(c) if c != LITERAL_BLANK else BLANK).encode("utf-8") for c in kinds]
+                widths = np.array([len(b) for b in coded], np.int64)
+                tokens = len(m.v.texts) + np.cumsum(widths) - widths
+                found.append((rest, degree[rest], 1, tokens[which], m.v.byte_weight * widths[which]))
+                degree[rest] += 1
+            on = np.flatnonzero((state > 0) & ~self.end[at + size])
+            at, h = at[on], h[on]
             if not len(at):
                 break
-            place = np.minimum(np.searchsorted(m.hashes, h), len(m.hashes) - 1)
-            hit = m.hashes[place] == h
-            found.append((at[hit], np.full(int(hit.sum()), size), m.ids[place[hit]], m.weights[place[hit]]))
-            on = ~self.end[at + size]
-            at, h = at[on], h[on]
-        single = np.zeros(len(code), bool)
-        if found:
-            single[found[0][0]] = True
-        rest = inner[~single[inner]]
-        kinds, which = np.unique(code[rest], return_inverse=True)
-        coded = [chr(int(c) if c != LITERAL_BLANK else BLANK).encode("utf-8") for c in kinds]
-        widths = np.array([len(b) for b in coded], np.int64)
         # Ids stand for themselves; the bytes of characters outside the vocabulary follow.
         self.flat = np.concatenate([np.arange(len(m.v.texts)),
                                     np.array([m.v.byte_ids[x] for b in coded for x in b], np.int64)])
-        tokens = len(m.v.texts) + np.concatenate([[0], np.cumsum(widths)])[:-1]
-        found.append((rest, np.ones(len(rest), np.int64), tokens[which] if len(rest) else rest,
-                      m.v.byte_weight * widths[which] if len(rest) else np.zeros(0)))
-        start, size, token, weight = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(start * (m.longest + 1) + size, kind="stable")
-        self.start, size, self.token, weight = start[order], size[order], token[order], weight[order]
-        self.next = self.start + size
-        self.width = np.ones(len(token), np.int64)
-        outside = self.token >= len(m.v.texts)
-        if outside.any():
-            self.width[outside] = widths[np.searchsorted(tokens, self.token[outside])]
-        self.first = np.searchsorted(self.start, np.arange(len(code) + 2))
-        self._masses(weight)
-
-    def _masses(self, weight):
+        self.first = np.concatenate([[0], np.cumsum(degree)])
+        n = int(self.first[-1])
+        self.start = np.repeat(np.arange(len(degree)), degree)
+        self.next, self.token, weight = np.empty(n, np.int64), np.empty(n, np.int32), np.empty(n)
+        for start, rank, size, token, w in found:
+            spot = self.first[start] + rank
+            self.next[spot], self.token[spot], weight[spot] = start + size, token, w
+        self.width = np.ones(n, np.uint8)
+        outside = np.flatnonzero(self.token >= len(m.v.texts))
+        self.width[outside] = widths[np.searchsorted(tokens, self.token[outside])] if len(outside) else 1
+        self._masses(weight, degree, inner)
+
+    def _masses(self, weight, degree, inner):
         """Log-mass of all ways from each node to its unit's end, then probabilities."""
-        ends = np.flatnonzero(self.end[:-1])
-        left = ends[np.searchsorted(ends, self.start)] - self.start
-        order = np.argsort(left, kind="stable")  # edges of a node stay together
+        sizes = np.diff(self.roots)
+        left = np.repeat(self.roots[1:] - 1, sizes)[inner] - inner
+        if len(left) and left.max() < 1 << 15:
+            left = left.astype(np.int16)  # sorted by counting
+        order = np.argsort(left, kind="stable")
+        nodes = inner[order]
+        edges = np.repeat(self.first[nodes], degree[nodes]) + runs(degree[nodes])
+        heads = np.cumsum(degree[nodes]) - degree[nodes]
+        cuts = np.append(np.flatnonzero(np.diff(left[order], prepend=-1)), len(nodes))
+        value, to = weight[edges], self.next[edges]
         beta = np.zeros(len(self.end))
-        cuts = np.flatnonzero(np.diff(left[order])) + 1
-        for part in np.split(order, cuts) if len(order) else []:
-            value = weight[part] + beta[self.next[part]]
-            heads = np.flatnonzero(np.diff(self.start[part], prepend=-1))
-            most = np.maximum.reduceat(value, heads)
-            sizes = np.diff(np.append(heads, len(part)))
-            total = np.add.reduceat(np.exp(value - np.repeat(most, sizes)), heads)
-            beta[self.start[part[heads]]] = most + np.log(total)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            e, f = heads[a], heads[z] if z < len(heads) else len(edges)
+            part = value[e:f] + beta[to[e:f]]
+            most = part.max()  # weights of one step differ little; far below it, a way has no mass
+            if part.min() > most - 600:
+                beta[nodes[a:z]] = most + np.log(np.add.reduceat(np.exp(part - most), heads[a:z] - e))
+            else:
+                top = np.maximum.reduceat(part, heads[a:z] - e)
+                total = np.add.reduceat(np.exp(part - np.repeat(top, degree[nodes[a:z]])), heads[a:z] - e)
+                beta[nodes[a:z]] = top + np.log(total)
         self.logp = np.minimum(weight + beta[self.next] - beta[self.start], 0.0)
-        p = np.exp(self.logp)
         # Sums stay within a node, so that they do not depend on the other units.
-        self.cum, rank = p.copy(), np.arange(len(p)) - self.first[self.start]
-        by_rank = np.argsort(rank, kind="stable")
-        for part in np.split(by_rank, np.flatnonzero(np.diff(rank[by_rank])) + 1)[1:]:
-            self.cum[part] = self.cum[part - 1] + p[part]
-        if len(p):
-            self.cum[self.first[self.start + 1] - 1] = 1.0
+        self.cum = np.exp(self.logp)
+        on, rank = inner[degree[inner] > 1], 1
+        while len(on):
+            spot = self.first[on] + rank
+            self.cum[spot] += self.cum[spot - 1]
+            rank += 1
+            on = on[degree[on] > rank]
+        self.cum[self.first[inner + 1] - 1] = 1.0
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ancestral samples from nodes to their units' ends: the edges of all walks one
@@ -217,7 +234,7 @@ class Lattice:
 
     def ids(self, edges: np.ndarray, owner_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the edges, and how many come from each run of edges."""
-        width, token = self.width[edges], self.token[edges]
+        width, token = self.width[edges].astype(np.int64), self.token[edges]
         ends = np.cumsum(width)
         out = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(token - (ends - width), width)]
         total = np.concatenate([[0], ends])
@@ -238,11 +255,13 @@ def runs(sizes: np.ndarray) -> np.ndarray:
 def sample_chunk(m: Matcher, texts: list[str], seeds: np.ndarray, k: int):
     """For each text up to ``k`` (edges, log-probability, perturbed value), best value
     first, and the (k+1)-th value: arrays over samples in the order drawn."""
-    known: dict[str, int] = {}
-    per_text = [[known.setdefault(u, len(known)) for u in UNIT.findall(" " + t)] if t else [] for t in texts]
-    n_units = np.array([len(x) for x in per_text], np.int64)
-    lat = Lattice(m, list(known))
-    roots = lat.roots[np.array([i for x in per_text for i in x], np.int64)]
+    units = [UNIT.findall(" " + t) if t else [] for t in texts]
+    n_units = np.fromiter(map(len, units), np.int64, len(units))
+    flat = np.empty(int(n_units.sum()), object)
+    flat[:] = list(itertools.chain.from_iterable(units))
+    which, known = pd.factorize(flat)
+    lat = Lattice(m, known.tolist())
+    roots = lat.roots[which]
     first_unit = np.cumsum(n_units) - n_units
     n, drawn = len(texts), []
     # Store of the paths' edges with the unit (in its text) of each; a path is a slice.
@@ -301,18 +320,21 @@ def sample_chunk(m: Matcher, texts: list[str], seeds: np.ndarray, k: int):
         offsets.append(own_offsets)
         sizes.append(size)
         store_edge, store_unit = np.concatenate([store_edge, edge]), np.concatenate([store_unit, unit_of])
-        # Siblings off the new part of the path.
-        fresh = runs(size) >= np.repeat(kept * extra + extra, size)
+        # Siblings off the new part of the path.  Values above CUT are enough where a text
+        # has as many as it still needs; elsewhere all places are opened and all kept.
+        place = runs(size)
+        fresh = place >= np.repeat(kept * extra + extra, size)
         text_of = np.repeat(np.arange(len(who)), size)
-        new = _siblings(lat, who, seeds, j, edge, before, text_of, runs(size), fresh & (before >= OPEN), top["value"])
-        left = {c: np.concatenate([queue[c], new[c]]) for c in queue}
+        new = _siblings(lat, who, seeds, j, edge, before, text_of, place, fresh & (before > CUT - REACH), top["value"])
+        high = np.flatnonzero(new["value"] > CUT)
+        left = {c: np.concatenate([queue[c], new[c][high]]) for c in queue}
+        full = np.bincount(left["text"][left["value"] > CUT], minlength=n) >= k - j
+        if not full[who].all():
+            new = _siblings(lat, who, seeds, j, edge, before, text_of, place, fresh & ~full[who[text_of]], top["value"])
+            old = np.flatnonzero(full[left["text"]])
+            lacking = np.flatnonzero(~full[queue["text"]])
+            left = {c: np.concatenate([left[c][old], queue[c][lacking], new[c]]) for c in queue}
         left = _best(left, k + 1 - j)
-        # Texts whose queue is not full of values that unopened places cannot reach: open all.
-        full = np.bincount(left["text"][left["value"] > OPEN + REACH], minlength=n) >= k - j
-        shut = fresh & (before < OPEN) & ~full[who[text_of]]
-        if shut.any():
-            new = _siblings(lat, who, seeds, j, edge, before, text_of, runs(size), shut, top["value"])
-            left = _best({c: np.concatenate([left[c], new[c]]) for c in queue}, k + 1 - j)
         lead = np.ones(len(left["text"]), bool)
         lead[1:] = left["text"][1:] != left["text"][:-1]
         top = {c: left[c][lead] for c in queue}
@@ -358,7 +380,7 @@ def decode_ids(ids: list[int], texts: list[bytes]) -> str:
 def _encoded(v: Vocabulary, k: int, verify: bool):
     def run(batches):
         m = Matcher(v)
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("key").to_pylist()
             seeds = np.array([int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "little")
