@@ -39,7 +39,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, buckets: int =
     v = df.select(*keys, F.col(value).cast("double").alias("v"))
     v = v.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     cuts = cut_points(v, "v", buckets) if cuts is None else sorted(set(cuts))
-    v = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="v", outputCol="b").transform(v)
+    v = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="v", outputCol="b").transform(v)
     counts = v.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
     whole = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("c").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -514,6 +514,8 @@ def _benchmark(spark, sf_dir, model_type, params=None):
     data = materialize(_labelled(spark, sf_dir))
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
+    if model_type == "SVC":
+        params = {"n_rows": train.count(), **(params or {})}
     model = ML.build_pipeline(model_type, params=params).fit(train)
     return rounded(ML.evaluate(model, test, {"model": model_type, "task": "lang"}),
                    "f1", "f1_by_prediction", "acc")
@@ -549,12 +551,9 @@ def cv_best(spark, sf_dir):
     data = materialize(_labelled(spark, sf_dir))
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")
-    pipe = ML.build_pipeline("MNB")
-    nb = pipe.getStages()[-1]
-    cv = ML.grid_search(pipe, {nb.smoothing: [0.01, 0.1, 1.0]}).fit(train)
-    best = cv.bestModel.stages[-1].getSmoothing()
-    scores = ML.evaluate(cv.bestModel, test, {"model": "MNB", "task": "lang"})
-    return rounded(scores.withColumn("best_alpha", F.lit(best)), "f1", "f1_by_prediction", "acc")
+    best, model, _ = ML.grid_search(train, "MNB", {"alpha": [0.01, 0.1, 1.0]})
+    scores = ML.evaluate(model, test, {"model": "MNB", "task": "lang"})
+    return rounded(scores.withColumn("best_alpha", F.lit(best["alpha"])), "f1", "f1_by_prediction", "acc")
 
 
 @query
@@ -564,7 +563,8 @@ def mlp_benchmark(spark, sf_dir):
     vocab = corpus.select(F.explode(T.words("text")).alias("word"))
     table = TF.embedding_table(index, S.word_vectors(spark, sf_dir, vocab), EMBEDDING_DIM)
     feats = ML.mean_sequence_vectors(TF.token_sequences(corpus, index), table, EMBEDDING_DIM)
-    labelled = _labelled(spark, sf_dir).select("doc_id", "label", "split")
+    # Labels from the corpus that is cleaned already.
+    labelled = C.topic_corpora(corpus, (20,)).select("doc_id", F.col("label").cast("double").alias("label"), "split")
     data = materialize(feats.join(labelled, "doc_id"))
     train = data.filter(F.col("split") == "train")
     test = data.filter(F.col("split") == "test")

@@ -44,3 +44,11 @@ def test_sweep_pivot_rank(spark):
     assert piv["y"] == pytest.approx((0.7, 0.7)) and piv["x"][1] == pytest.approx(12 / 15)
     ranked = [(r.model, r.rank) for r in M.rank_models(sweep, {"task": "x"}, "acc").orderBy("rank").collect()]
     assert ranked == [("m2", 1), ("m1", 2)]
+
+
+def test_confusion_has_zero_cells(spark):
+    df = spark.createDataFrame([("m", 0, 0), ("m", 0, 1), ("m", 2, 2), (None, 1, 0)], "model string, label int, prediction int")
+    got = {(r.model, r.label, r.prediction): (r.n, r.pct) for r in M.confusion(df, ["model"]).collect()}
+    assert len(got) == 9 + 4
+    assert got["m", 0, 1] == (1, 50.0) and got["m", 2, 0] == (0, 0.0) and got["m", 1, 1] == (0, None)
+    assert got[None, 1, 0] == (1, 100.0) and got[None, 0, 0] == (0, None)

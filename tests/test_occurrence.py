@@ -139,3 +139,10 @@ def test_within_cities_and_city_pivot(spark, eti):
     assert shares.first().pct == 100.0
     piv = {r.topic: (r.LA, r.NYC) for r in O.topic_city_pivot(counts).collect()}
     assert piv == {"tech": (2, 3), "food": (0, 1)}
+
+
+def test_lift_of_counts_whose_product_exceeds_a_long(spark):
+    df = spark.createDataFrame([("a", "x", 4_000_000_000), ("a", "y", 1), ("b", "x", 4_000_000_000), ("b", "y", 4_000_000_000)],
+                               "city string, topic string, n long")
+    got = {(r.city, r.topic): r.lift for r in O.topic_lift(df).collect()}
+    assert abs(got["a", "x"] - 150.0) < 1e-6 and abs(got["b", "y"] - 150.0) < 1e-6
