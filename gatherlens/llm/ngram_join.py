@@ -15,11 +15,14 @@ each holds at least 80 % of shingles that the other has too.
    with ties broken by a different hash for each of ORDERS orders.  A set's prefix under
    an order is as long as needed for any partner to share a shingle of it.
 3. Candidates.  Sets that share a prefix shingle of the first order, in neighbouring size
-   bands, meet in a list.  Each member is paired with the list's smallest set; verified
-   links give components.  Then only members of different components of a list are
-   paired.  So a list of copies costs its length, and no link between components is lost.
-4. Verification.  A pair must share a prefix shingle under all other orders too; only
-   then the sets are intersected.
+   bands, meet in a list.  Each member is paired with the list's most central set (whose
+   shingles are in the most sets); verified links give components.  This goes on with the
+   most central sets outside of a list's largest component while it finds links; in the
+   end all members of different components of a list are paired.  So a list of copies
+   costs its length, and no link between components is lost.  Pairs whose differences from
+   the list's pivot, already known, rule out a link are not made.
+4. Verification.  A pair must share a prefix shingle under all orders; only then the
+   sets are intersected.
 
 Components are joined by star contraction of the links.
 """
@@ -185,7 +188,8 @@ def _prefixes(batches):
             length = len(own) - needed(n) + 1
             if length < 1:
                 continue
-            row = {"sid": sid, "n": n, "shingles": np.sort(own), "band": int(np.log(n) / np.log(BAND))}
+            row = {"sid": sid, "n": n, "shingles": np.sort(own), "band": int(np.log(n) / np.log(BAND)),
+                   "alone": n - len(own), "centre": round(float(df.sum()) / n, 6)}
             for k in range(ORDERS):
                 ties = mix(own.view(np.uint64) + np.uint64(k * 0x9E3779B9))
                 row[f"prefix{k}"] = own[np.lexsort((ties, df))[:length]]
@@ -194,33 +198,37 @@ def _prefixes(batches):
 
 
 PREFIX = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("band", pa.int32()),
+                    ("alone", pa.int64()), ("centre", pa.float64()),
                     *[(f"prefix{k}", pa.list_(pa.int64())) for k in range(ORDERS)]])
-PREFIX_SQL = "sid long, n long, shingles array<long>, band int, " + ", ".join(
+PREFIX_SQL = "sid long, n long, shingles array<long>, band int, alone long, centre double, " + ", ".join(
     f"prefix{k} array<long>" for k in range(ORDERS))
 
 
 def _verified(batches):
-    """Pairs that pass the other orders' filters and then the exact test."""
+    """Of pairs that pass the filters of all orders: the size of the sets' symmetric
+    difference, and whether they link."""
     for batch in batches:
         col = {n: _lists(batch.column(n)) for n in batch.schema.names if n[2:] == "shingles" or n[2:].startswith("prefix")}
         na, nb = batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist()
-        keep = []
+        keep, differ, linked = [], [], []
         for i in range(batch.num_rows):
             if all(len(np.intersect1d(col[f"a_prefix{k}"][i], col[f"b_prefix{k}"][i], assume_unique=True))
-                   for k in range(1, ORDERS)):
+                   for k in range(ORDERS)):
                 both = len(np.intersect1d(col["a_shingles"][i], col["b_shingles"][i], assume_unique=True))
-                if 100 * both >= PERCENT * (na[i] + nb[i] - both):
-                    keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")],
-                                         names=["a", "b"])
+                keep.append(i)
+                differ.append(na[i] + nb[i] - 2 * both)
+                linked.append(100 * both >= PERCENT * (na[i] + nb[i] - both))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")],
+                                          pa.array(differ, pa.int64()), pa.array(linked, pa.bool_())],
+                                         names=["a", "b", "differ", "linked"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    side = [c for c in sets.columns if c not in ("band", "prefix0", "sid")]
+def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    side = [c for c in sets.columns if c not in ("band", "alone", "centre", "sid")]
     for p in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("sid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in side]), p)
     pairs = pairs.where(f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)")
-    return staged(pairs.mapInArrow(_verified, "a long, b long"), name)
+    return staged(pairs.mapInArrow(_verified, "a long, b long, differ long, linked boolean"), name)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,10 +247,12 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
-        n_new, n_nodes, n_heads = new.count(), new.select("u").distinct().count(), new.join(
-            new.select(F.col("u").alias("x")).distinct(), F.col("v") == F.col("x"), "left_semi").count()
         edges = new
-        if n_new == n_nodes and not n_heads:  # each node points to one head, and no head points on
+        # Stars: each node points to one head, and no head points on.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+            edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        ends = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if ends.where("out > 1 OR (out = 1 AND into = 1)").isEmpty():
             break
     return staged(edges.select(F.col("u").alias("sid"), F.col("v").alias("label")).union(
         edges.select(F.col("v").alias("sid"), F.col("v").alias("label")).distinct()), "labels")
@@ -257,7 +267,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
     # A set's pieces may repeat shingles, so their number is an upper bound: it prunes.
     held = staged(shared.groupBy("sid").agg(F.sum(F.size("shingles")).alias("held")).join(
         classes.select("sid", "n"), "sid").where(f"100 * held >= {PERCENT} * n").select("sid", "n"), "likely")
-    tokens = staged(shared.join(held.select("sid"), "sid").select("sid", F.explode("shingles").alias("shingle")).distinct(),
+    tokens = staged(shared.select("sid", F.explode("shingles").alias("shingle")).join(held.select("sid"), "sid").distinct(),
                     "tokens")
     df = staged(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
     counted = tokens.join(df, "shingle").groupBy("sid").agg(F.collect_list("shingle").alias("shingles"),
@@ -265,30 +275,74 @@ def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
     prefixed = staged(counted.join(held, "sid").select("sid", "n", "shingles", "df").mapInArrow(_prefixes, PREFIX_SQL),
                       "prefixes")
     # A set of band b meets bands b and b + 1 in list b, and b - 1 and b in list b - 1.
-    posts = staged(prefixed.select("sid", "n", F.explode("prefix0").alias("shingle"), "band").select(
-        "sid", "n", "shingle", F.explode(F.array("band", F.col("band") - 1)).alias("list")), "postings")
-    first = staged(posts.groupBy("shingle", "list").agg(F.min(F.struct("n", "sid")).alias("first"),
-                                                        F.count(F.lit(1)).alias("size")).where("size > 1")
-                   .select("shingle", "list", F.col("first.sid").alias("pivot")), "pivots")
-    pairs = posts.join(first, ["shingle", "list"]).where("sid <> pivot").select(
-        F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-    pairs = staged(pairs, "pivot-pairs")
-    links = _links(pairs, prefixed, "pivot-links")
-
-    labels = components(links)
-    named = staged(posts.join(first, ["shingle", "list"]).join(labels, "sid", "left").select(
-        "shingle", "list", "sid", F.coalesce("label", "sid").alias("label")), "named")
-    sizes = named.groupBy("shingle", "list", "label").agg(F.count(F.lit(1)).alias("size"))
-    mixed = staged(sizes.groupBy("shingle", "list").agg(F.max(F.struct("size", "label")).alias("most"),
-                                                        F.count(F.lit(1)).alias("labels")).where("labels > 1")
-                   .select("shingle", "list", F.col("most.label").alias("major")), "mixed")
-    inside = staged(named.join(mixed, ["shingle", "list"]), "mixed-members")
-    minor = inside.where("label <> major").select("shingle", "list", F.col("sid").alias("x"), F.col("label").alias("x_label"))
-    across = inside.join(minor, ["shingle", "list"]).where(
-        "label <> x_label AND (label = major OR sid < x)").select(
-        F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b")).distinct()
-    across = staged(across.join(pairs, ["a", "b"], "left_anti"), "across-pairs")
-    return staged(links.union(_links(across, prefixed, "across-links")), "links")
+    posts = staged(prefixed.select("sid", "n", "alone", "centre", F.explode("prefix0").alias("shingle"), "band").select(
+        "sid", "n", "alone", "centre", "shingle", F.explode(F.array("band", F.col("band") - 1)).alias("list")), "postings")
+    # Lists of one member pair nothing; of lists with the same members one is enough.
+    lists = posts.groupBy("shingle", "list").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("sid")).alias("h1"),
+                                                 F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("h2")).where("size > 1")
+    lists = staged(lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("shingle", "list")).alias("l")).select("l.*"), "lists")
+    posts = staged(posts.join(lists, ["shingle", "list"]), "list-members")
+    return _joined(posts, prefixed)
+
+
+LIST = ["shingle", "list"]
+
+
+def _joined(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links that join all sets of the lists that links can join."""
+    named, links, tried = posts.withColumn("label", F.col("sid")), None, None
+    most = F.struct("centre", "sid", "label")
+    while True:
+        # Only lists whose members are not all of one component yet.
+        sizes = named.groupBy(*LIST, "label").agg(F.count(F.lit(1)).alias("size"))
+        mixed = staged(sizes.groupBy(*LIST).agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+                       .where("labels > 1").select(*LIST, F.col("most.label").alias("major")), "mixed-lists")
+        inside = staged(named.join(mixed, LIST), "mixed-members")
+        # Two pivots: the most central member of all, and outside of the largest component.
+        pivots = inside.groupBy(*LIST).agg(F.max(most).alias("p"), F.max(F.when(F.col("label") != F.col("major"), most)).alias("q"))
+        first = pivots.select(*LIST, F.col("p.sid").alias("pivot"), F.col("p.label").alias("p_label"))
+        second = pivots.select(*LIST, F.col("q.sid").alias("pivot"), F.col("q.label").alias("p_label"))
+        first = staged(first if tried is None else first.union(second).distinct(), "pivots")
+        pairs = inside.join(first, LIST).where("label <> p_label").select(
+            F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "pivot-pairs")
+        found = _verify(pairs, sets, "pivot-links")
+        if tried is None:
+            # Each member's difference from the list's first pivot, where it was verified.
+            far = found.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "differ").union(
+                found.select(F.col("b").alias("sid"), F.col("a").alias("pivot"), "differ"))
+            posts = staged(posts.join(first.select(*LIST, "pivot"), LIST).join(far, ["sid", "pivot"], "left").withColumn(
+                "differ", F.when(F.col("sid") == F.col("pivot"), 0).otherwise(F.col("differ"))).withColumnRenamed("pivot", "hub"), "measured")
+        tried = pairs if tried is None else staged(tried.union(pairs), "tried")
+        new = found.where("linked").select("a", "b")
+        links = new if links is None else staged(links.union(new), "links")
+        if new.isEmpty():
+            break
+        named = staged(posts.join(components(links), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "named")
+    # What pivots do not join any more: of the members of such lists with one first pivot
+    # (the hub), all outside of the largest component against all of other components that
+    # the bound lets through.
+    if "hub" not in inside.columns:  # no pivot has a link
+        inside = inside.join(posts.select(*LIST, "sid", "differ", "hub"), [*LIST, "sid"])
+    one = ["label", "sid", "n", "alone", "differ"]
+    around = staged(inside.select("hub", *one).distinct(), "around-hubs")
+    sizes = around.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("size"))
+    around = around.join(staged(sizes.groupBy("hub").agg(F.max(F.struct("size", "label")).alias("m")).select(
+        "hub", F.col("m.label").alias("major")), "majors"), "hub")
+    minor = around.where("label <> major").select("hub", *[F.col(c).alias(f"x_{c}") for c in one])
+    across = around.join(minor, "hub").where("label <> x_label AND (label = major OR sid < x_sid)").where(NEAR).select(
+        F.least("sid", "x_sid").alias("a"), F.greatest("sid", "x_sid").alias("b")).distinct()
+    across = staged(across.join(tried, ["a", "b"], "left_anti"), "across-pairs")
+    return staged(links.union(_verify(across, sets, "across-links").where("linked").select("a", "b")), "all-links")
+
+
+# Let D(x) be the symmetric difference of x and the list's pivot.  x and y differ by
+# |D(x)| + |D(y)| - 2 |D(x) & D(y)|, which is a ninth of their sizes at most if they link
+# (for 80 %).  A shingle that x has alone is in D(x) and not in D(y), so the intersection is
+# |D(x)| - alone(x) at most, and likewise for y.  Pairs beyond this bound can't link.
+NEAR = ("coalesce(18 * least(differ - alone, x_differ - x_alone) >= 9 * (differ + x_differ) - (n + x_n), true)")
 
 
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
