@@ -34,7 +34,7 @@ from gatherlens.llm.common import chunks, mix, staged, utf8
 LENGTH, GRAM = 400, 300
 REACH = LENGTH - GRAM + 1       # grams in a string
 SEGMENT = 1 << 17               # strings handled at a time
-RUN, RANGE = 1 << 19, 1 << 19   # tuples of a run, and of a range on average
+RUN, RANGE = 1 << 18, 1 << 17   # tuples of a run, and of a range on average
 ANCHORS_PER_BYTE = 2 / (REACH + 1)
 
 _POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(
