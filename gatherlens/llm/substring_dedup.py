@@ -270,11 +270,7 @@ def _merged_strings(table: pa.Table) -> pa.Table:
         _, size = _groups(codes)
         keep = np.repeat(size > 1, size) & (kind == TUPLE)
         keys, places = keys[keep], places[keep]
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    at, _ = _groups(keys) if len(keys) else (np.zeros(0, np.int64), None)
-    return pa.table({"key": pa.array(keys[at], pa.int64()),
-                     "starts": pa.ListArray.from_arrays(pa.array(np.append(at, len(keys)), pa.int32()), pa.array(places))})
+    return pa.table({"key": pa.array(keys, pa.int64()), "start": pa.array(places, pa.int64())})
 
 
 def spans_of(n: int, covered, starts) -> np.ndarray:
@@ -332,11 +328,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     n_open = open_.agg(F.sum(F.size("open"))).first()[0] or 0
     ranges = max(1, int(n_open / ANCHORS_PER_BYTE) // RANGE + 1)
     found = staged(rows.select("key", "text").join(open_, "key").mapInArrow(_string_blocks(ranges), BLOCK)
-                   .groupBy("bucket").applyInArrow(_merged_strings, "key long, starts array<long>"), "strings")
+                   .groupBy("bucket").applyInArrow(_merged_strings, "key long, start long"), "strings")
 
     covered = anchors.where(F.col("flag").bitwiseAND(COVERED) > 0).groupBy("key").agg(
         F.collect_list("place").alias("covered"))
-    starts = found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = found.groupBy("key").agg(F.collect_set("start").alias("starts"))
     marks = staged(covered.join(starts, "key", "full"), "repeats")
     return rows.join(marks, "key", "left").select("id", "text", "covered", "starts").mapInArrow(
         _cleaned, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
