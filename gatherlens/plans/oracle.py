@@ -416,6 +416,12 @@ ORACLE["topic_city_pivot"] = _with(CT, "SELECT topic, " + ", ".join(
     f"CAST(coalesce(sum(n) FILTER (WHERE city = '{c}'), 0) AS BIGINT) AS \"{c}\"" for c in _CITIES)
     + " FROM ct GROUP BY topic")
 
+_ALL_CITIES = tuple(f"NATION_{i}" for i in range(25))
+ORACLE["topic_all_cities_pivot"] = _with(CT, "SELECT topic, " + ", ".join(
+    f"CAST(coalesce(sum(n) FILTER (WHERE city = '{c}'), 0) AS BIGINT) AS \"{c}\"" for c in _ALL_CITIES)
+    + f", CAST(coalesce(sum(n) FILTER (WHERE coalesce(city NOT IN {_ALL_CITIES}, true)), 0) AS BIGINT) AS other"
+    + " FROM ct GROUP BY topic")
+
 ORACLE["vector_median"] = """
 SELECT vec_id,
        CAST(round_even(list_median([x * 1000 FOR x IN CAST(embedding AS DOUBLE[]) IF NOT isnan(x)]), 0)
@@ -484,6 +490,8 @@ GROUP BY GROUPING SETS ((city, topic, weekday), (topic, weekday))""")
 ORACLE["city_topic_round_trip"] = _with(ETI, """
 SELECT event_id, city, topic, year, hour FROM eti WHERE city = 'CHINA' AND topic = 'BUILDING 2'""")
 
+ORACLE["city_topic_round_trip_whole"] = _with(ETI, "SELECT event_id, city, topic, year, hour FROM eti")
+
 ORACLE["region_topic_share"] = _with(ETI + """,
 sub AS (SELECT city, topic, count(*) AS n FROM eti
         WHERE city IN (SELECT n_name FROM nation WHERE n_regionkey = 2) GROUP BY city, topic)""", """
@@ -496,6 +504,8 @@ SELECT city, venue_id, group_id, lat, lon, topic, host_num FROM gvi WHERE host_n
 
 ORACLE["city_venues_round_trip"] = _with(VENUES, "SELECT * FROM freq WHERE city = 'CHINA'")
 
+ORACLE["city_venues_round_trip_whole"] = _with(VENUES, "SELECT * FROM freq")
+
 ORACLE["venue_map_topics"] = ORACLE["venue_map"] + " WHERE topic IN ('BUILDING 2', 'MACHINERY 0')"
 
 ORACLE["corpus_topic_ids"] = _with(RANK + """,

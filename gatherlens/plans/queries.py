@@ -129,6 +129,15 @@ def city_topic_round_trip(spark, sf_dir):
     return SK.read_city_topic(spark, path, "CHINA", "BUILDING 2").select("event_id", "city", "topic", "year", "hour")
 
 
+@query
+def city_topic_round_trip_whole(spark, sf_dir):
+    """Event times written by (city, topic), all folders read back."""
+    path = scratch_dir(spark, "city-topic")
+    eti = _eti(spark, sf_dir)
+    SK.write_city_topic(eti.select("event_id", "city", "topic", "year", "hour"), path)
+    return spark.read.parquet(path).select("event_id", "city", "topic", "year", "hour")
+
+
 @query
 def region_topic_share(spark, sf_dir):
     """Topic shares within the cities of one region only."""
@@ -179,6 +188,18 @@ def topic_city_pivot(spark, sf_dir):
     return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir)), PIVOT_CITIES)
 
 
+# All cities of the driver's nation table.
+ALL_CITIES = tuple(f"NATION_{i}" for i in range(25))
+
+
+@query
+def topic_all_cities_pivot(spark, sf_dir):
+    """Events per topic, one column per city of ALL_CITIES and one for any other
+    city (missing = 0), so that every event is in one cell."""
+    city = F.when(F.col("city").isin(*ALL_CITIES), F.col("city")).otherwise(F.lit("other"))
+    return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir).withColumn("city", city)), (*ALL_CITIES, "other"))
+
+
 @query
 def top_topics_per_city(spark, sf_dir):
     """T4: the 5 topics with the largest share in each city (ties by name)."""
@@ -273,6 +294,14 @@ def city_venues_round_trip(spark, sf_dir):
     return SK.read_city(spark, path, "CHINA").select("city", "venue_id", "group_id", "lat", "lon", "topic", "host_num")
 
 
+@query
+def city_venues_round_trip_whole(spark, sf_dir):
+    """S16 + S17: frequent venues written by city, all cities read back."""
+    path = scratch_dir(spark, "city-venues")
+    SK.write_by_city(V.frequent_venues(_gvi(spark, sf_dir), min_hosts=MIN_HOSTS), path)
+    return spark.read.parquet(path).select("city", "venue_id", "group_id", "lat", "lon", "topic", "host_num")
+
+
 @query
 def venue_map_topics(spark, sf_dir):
     """R9 + F8: the map of two topics only."""
