@@ -43,14 +43,22 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# A PEM block up to its END line.  Without one, up to the end of its base64 body: header
+# lines, lines of base64 digits only, and pieces that are long or padded; line ends may be
+# written as \n, lines may be quoted.  No bound cuts a secret's length.
+_LABEL = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_TO_END = r"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END " + _LABEL
+_GAP = r"""(?:\s|\\+[rn]|["',>#*|])*+"""
+_HEADERS = _GAP + r"(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Version|Comment|Hash|Charset|MessageID): [^\r\n\\]*+"
+_PIECE = _GAP + r"""(?:[A-Za-z0-9+/]{20,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+|[A-Za-z0-9+/]++(?=["',+\x20\t]*+(?:[\r\n\\]|\Z)))"""
 EXTRA = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,255}"),
+    Rule("private_key", rf"-----BEGIN {_LABEL}(?:{_TO_END}|(?:{_HEADERS})*+(?:{_PIECE})*+)"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,20}://[^/\s:@]{1,256}:[^/\s:@]{1,256}@"),
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]+://[^/\s:@]+:[^/\s:@]+@"),
 )
 RULES = BASE + EXTRA
 
