@@ -25,6 +25,10 @@ each holds at least 80 % of shingles that the other has too.
    sets are intersected.
 
 Components are joined by star contraction of the links.
+
+The number of links of each document is found afterwards, on request: every link lies in a
+component, so all pairs of a component's sets are verified, in bounded blocks of sets of
+the same or the neighbouring size band.
 """
 from __future__ import annotations
 
@@ -40,6 +44,8 @@ from gatherlens.llm.common import chunks, hash_words, mix, staged, utf8, windows
 WORDS, PERCENT, ORDERS = 5, 80, 3
 RUN_SHINGLES = 1 << 20       # shingles a task sorts at a time
 RANGE_SHINGLES = 1 << 20     # shingles of a range, on average
+BLOCK_SETS = 256             # sets and shingles of a component that are compared at a time,
+BLOCK_SHINGLES = 1 << 18     # on average
 BAND = 1.2500001             # sizes of linked sets differ by a factor of 1.25 at most
 
 
@@ -258,8 +264,9 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("sid"), F.col("v").alias("label")).distinct()), "labels")
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between different sets: all that join components, not all within."""
+def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between different sets: all that join components, not all within; and
+    the sets that can have a partner."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-int(total) // RANGE_SHINGLES))
     shared = staged(docs.select("text").mapInArrow(_blocks(ranges), BLOCK).groupBy("bucket").applyInArrow(
@@ -282,7 +289,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
                                                  F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("h2")).where("size > 1")
     lists = staged(lists.groupBy("size", "h1", "h2").agg(F.min(F.struct("shingle", "list")).alias("l")).select("l.*"), "lists")
     posts = staged(posts.join(lists, ["shingle", "list"]), "list-members")
-    return _joined(posts, prefixed)
+    return _joined(posts, prefixed), prefixed
 
 
 LIST = ["shingle", "list"]
@@ -345,9 +352,78 @@ def _joined(posts: DataFrame, sets: DataFrame) -> DataFrame:
 NEAR = ("coalesce(18 * least(differ - alone, x_differ - x_alone) >= 9 * (differ + x_differ) - (n + x_n), true)")
 
 
-def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _counted(table: pa.Table) -> pa.Table:
+    """Of two blocks (or one, with itself): (sid, partners), the documents of the sets that
+    each set links with."""
+    table = table.combine_chunks()
+    sid, n, copies, side = (table.column(c).to_numpy() for c in ("sid", "n", "copies", "side"))
+    lists = _lists(table.column("shingles").chunk(0))
+    row = np.repeat(np.arange(len(sid)), [len(x) for x in lists])
+    _, column, held = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    many = held[column] > 1
+    number = np.cumsum(held > 1) - 1  # of the shingles that two sets have
+    row, column = row[many], number[column[many]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    # Either block may be empty, so the names tell whether it is one block.
+    alone = all(table.column(f"{c}1")[0] == table.column(f"{c}2")[0] for c in ("band", "block"))
+    a = np.flatnonzero(side == 0)
+    b = a if alone else np.flatnonzero(side == 1)
+    both = np.zeros((len(a), len(b)), np.int64)
+    step = max(1, (1 << 22) // len(sid))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        part = slice(*np.searchsorted(column, [start, start + step]))
+        bits = np.zeros((len(sid), step), np.float32)  # sums of less than 2 ** 24 are exact
+        bits[row[part], column[part] - start] = 1
+        both += (bits[a] @ bits[b].T).astype(np.int64)
+    linked = 100 * both >= PERCENT * (n[a][:, None] + n[b][None, :] - both)
+    if alone:
+        np.fill_diagonal(linked, False)
+    partners = np.zeros(len(sid), np.int64)
+    partners[a] = linked @ copies[b]
+    if not alone:
+        partners[b] = linked.T @ copies[a]
+    return pa.table({"sid": pa.array(sid, pa.int64()), "partners": pa.array(partners, pa.int64())})
+
+
+def count_links(classes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, partners) of every set with a label: the documents of other sets that it links
+    with, from all pairs of its component.  A component that fits is one block; others are
+    cut by size band, and bands by a hash of the set.  Sets of a band meet their own band
+    and the next one; what leaves a task is a sum per set and block, not pairs."""
+    held = staged(sets.join(labels, "sid").join(classes.select("sid", "copies"), "sid").select(
+        "sid", "n", "copies", "label", "band", "shingles"), "component-sets")
+    sums = staged(held.groupBy("label", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("shingles")).alias("held")),
+                  "bands")
+
+    def blocks():
+        return F.ceil(F.greatest(F.sum("sets") / BLOCK_SETS, F.sum("held") / BLOCK_SHINGLES)).alias("blocks")
+
+    whole = staged(sums.groupBy("label").agg(blocks()).where("blocks = 1").select("label"), "one-block")
+    cut = staged(sums.join(whole, "label", "left_anti").groupBy("label", "band").agg(blocks()), "many-blocks")
+    one = held.join(whole, "label").select("sid", "n", "copies", "shingles", "label", *[F.lit(0).alias(c) for c in PAIR[1:]],
+                                           F.lit(0).alias("side"))
+    units = staged(cut.select("label", "band", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")),
+                   "blocks")
+    first = units.select("label", F.col("band").alias("band1"), F.col("block").alias("block1"))
+    second = units.select("label", F.col("band").alias("band2"), F.col("block").alias("block2"))
+    pairs = staged(first.join(second, "label").where("band2 = band1 + 1 OR (band2 = band1 AND block2 >= block1)"), "block-pairs")
+    sides = pairs.select(*PAIR, F.col("band1").alias("band"), F.col("block1").alias("block"), F.lit(0).alias("side")).union(
+        pairs.where("band1 <> band2 OR block1 <> block2").select(
+            *PAIR, F.col("band2").alias("band"), F.col("block2").alias("block"), F.lit(1).alias("side")))
+    dealt = held.join(cut, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    some = dealt.join(sides, ["label", "band", "block"]).select("sid", "n", "copies", "shingles", *PAIR, "side")
+    met = one.union(some).groupBy(*PAIR).applyInArrow(_counted, "sid long, partners long")
+    return staged(met.groupBy("sid").agg(F.sum("partners").alias("partners")), "partners")
+
+
+PAIR = ["label", "band1", "block1", "band2", "block2"]
+
+
+def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_links: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles, component_id (smallest id
-    reachable by links) and n_copies (rows with the same set).
+    reachable by links) and n_copies (rows with the same set); with ``n_links`` also the
+    number of other rows that it links with, copies counted one by one.
 
     Lower-cases A-Z; texts of fewer than five words are one shingle; null and wordless
     texts have none, link with nothing and are their own component.  Rows that share an
@@ -359,12 +435,16 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     sets = staged(docs.mapInArrow(_sets, f"id {kind}, n long, sid long"), "sets")
     classes = staged(sets.where("sid IS NOT NULL").groupBy("sid").agg(
         F.first("n").alias("n"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    labels = components(link_sets(docs, sets, classes))
+    links, partnered = link_sets(docs, sets, classes)
+    labels = components(links)
     linked = staged(classes.join(labels, "sid").select("sid", "label", "least_id"), "linked")
     heads = staged(linked.groupBy("label").agg(F.min("least_id").alias("component")), "heads")
     named = staged(classes.select("sid", "copies", "least_id").join(
         linked.join(heads, "label").select("sid", "component"), "sid", "left").select(
         "sid", "copies", F.coalesce("component", "least_id").alias("component")), "named-classes")
     out = sets.join(named, "sid", "left")
+    if n_links:
+        out = out.join(count_links(classes, labels, partnered), "sid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+                      F.coalesce("component", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
+                      *([(F.coalesce("partners", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")] if n_links else []))

@@ -40,6 +40,11 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.join_groups(_read(spark, sf_dir, "documents"))
 
 
+def op3_ngram_links(spark, sf_dir):
+    """op3_ngram_join and the number of links of every document, all links verified."""
+    return ngram_join.join_groups(_read(spark, sf_dir, "documents"), n_links=True)
+
+
 def op4_sentencepiece(spark, sf_dir):
     """Two sampled segmentations of every document, with the check that each decodes to
     the text."""
@@ -97,7 +102,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op3_ngram_join, op4_sentencepiece, op5_secret_scan, op6_top_k,
+LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op3_ngram_join, op3_ngram_links, op4_sentencepiece, op5_secret_scan, op6_top_k,
                                        op7_warc, op8_license_scan, op9_substring_dedup, op10_mix_sources,
                                        pipeline)}
 
@@ -170,3 +175,6 @@ SELECT *, CAST('0x' || substr(md5('7:order:' || coalesce(CAST(doc_id AS VARCHAR)
                AS BIGINT) / 4503599627370496.0 AS mix_order
 FROM e""",
 }
+LLM_ORACLE["op3_ngram_links"] = LLM_ORACLE["op3_ngram_join"].replace(
+    "component_id, n_copies FROM n", "component_id, n_copies, coalesce(n_links, 0) AS n_links FROM n") + """
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) USING (doc_id)"""

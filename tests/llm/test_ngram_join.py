@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from gatherlens.llm import ngram_join as J
 from tests.llm import brute as B
@@ -75,3 +76,17 @@ def test_blocks_pack_and_unpack():
     sids = rng.randint(-5, 5, 1000)
     a, b = J.unpack(*J.pack(codes, sids))
     assert (a == codes).all() and (b == sids).all()
+
+
+@pytest.mark.parametrize("block_sets,block_shingles", [(J.BLOCK_SETS, J.BLOCK_SHINGLES), (4, 1 << 18), (256, 300)])
+def test_all_links_are_counted(spark, documents, monkeypatch, block_sets, block_shingles):
+    monkeypatch.setattr(J, "BLOCK_SETS", block_sets)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", block_shingles)
+    base = [f"t{i}" for i in range(60)]
+    texts = B.near_copies(1) + B.EDGES + ["same text of more than five words"] * 9
+    texts += [" ".join(base[:k] + [f"u{i}" for i in range(k, 60)]) for k in range(30, 61)] * 2
+    texts += [" ".join(f"g{i}" for i in range(k)) for k in range(40, 90)]
+    sets = [B.shingles(t) for t in texts]
+    want = [sum(100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets) if y and j != i) if x else 0 for i, x in enumerate(sets)]
+    got = {r["doc_id"]: r["n_links"] for r in J.join_groups(documents(texts), n_links=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
