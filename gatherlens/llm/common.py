@@ -2,6 +2,10 @@
 texts inside a task, word hashes."""
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
+import re
 import tempfile
 import uuid
 
@@ -9,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 from gatherlens.session import _conf
@@ -38,7 +43,57 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     # The cleaner drops shuffle files once the driver has collected their handles.
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def file_system(path: str):
+    """pyarrow's file system of a path, and the path in it."""
+    # 'file:/x' is how Hadoop prints a local path.
+    return pa.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what was made of them must be
+    staged or written itself, as a lost executor would read them again."""
+    for table in tables:
+        fs, path = file_system(table.staged_at)
+        fs.delete_dir(path)
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the machine.  Workers are kept for
+    later tasks, and would else hold their peak beside the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` (for mapInArrow or applyInArrow), releasing memory after each task or group."""
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    def grouped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    def cogrouped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            release()
+    if run.__code__.co_flags & inspect.CO_GENERATOR:
+        return mapped
+    return grouped if run.__code__.co_argcount == 1 else cogrouped
 
 
 def utf8(texts: pa.Array) -> list[bytes]:

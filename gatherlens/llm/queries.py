@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatherlens.llm import langid, licenses, mixing, ngram_join, pieces, quality, secret_scan, substring_dedup, vafile, warc
+from gatherlens.llm import (alignment, langid, licenses, mixing, ngram_join, pieces, quality, secret_scan, spelling,
+                            substring_dedup, token_files, vafile, warc)
 
 
 def _read(spark, sf_dir, name):
@@ -96,6 +97,24 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers' tokens for every document, and how frequent the
+    linked id pairs are in all documents."""
+    out = alignment.align(_read(spark, sf_dir, "documents"), groups="sha256")
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """Frequent words of all documents, each with the spelling that it is a variant of."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark, sf_dir):
+    """Token ids of all documents written in order to binary files, and read back."""
+    return token_files.round_trip(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -104,6 +123,7 @@ def pipeline(spark, sf_dir):
 
 LLM_QUERIES = {f.__name__: f for f in (op1_language_id, language_id_pages, op2_quality_rules, op3_ngram_join, op3_ngram_links, op4_sentencepiece, op5_secret_scan, op6_top_k,
                                        op7_warc, op8_license_scan, op9_substring_dedup, op10_mix_sources,
+                                       op11_token_alignment, op12_spelling_variants, op13_token_files,
                                        pipeline)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,6 +179,31 @@ SELECT d.doc_id, CAST(len(d.h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
        coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(parts, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(list_concat([n], range(8)), lambda c, i:
+                       CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab
+           FROM (SELECT unnest(range(256)) AS n)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS h
+      FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+c AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], [CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)
+             FOR i IN range(CAST(len(h) / 2 AS BIGINT))]), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS crc FROM d, t),
+w AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2)
+             ELSE run END AS word, n FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k, 0 AS gone FROM p
+      UNION SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1), 1 FROM p
+      UNION SELECT word, n, word, 2 FROM v),
+e AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM g a JOIN g b
+      ON a.k = b.k AND a.word <> b.word AND ((a.gone = 0 AND b.gone = 0) OR a.gone + b.gone = 3)),
+f AS (SELECT word, count(*) AS n_near, min(ROW(-near_n, near)) AS best FROM e GROUP BY word),
+b AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n
+      FROM v LEFT JOIN f USING (word)),
+x AS (SELECT word, word AS root, 0 AS depth FROM b UNION ALL SELECT x.word, b.form, depth + 1 FROM x JOIN b ON b.word = x.root WHERE b.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, depth) AS root FROM x GROUP BY word)
+SELECT word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM b JOIN z USING (word)""",
     "op10_mix_sources": """
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, (SELECT sum(n) FROM c) * pow(n, 0.7) / (SELECT sum(pow(n, 0.7)) FROM c) / n AS rate FROM c),
