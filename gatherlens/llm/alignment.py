@@ -7,7 +7,8 @@ the tokens into groups.
    shift of indexes are compared, each twice as long as the one before; equal slices are
    one-to-one groups and are taken whole.  In a slice that differs, halving finds the
    first difference; the irregular group there is resolved by advancing whichever token
-   ends first, and the shift is the new difference of the indexes.
+   ends first, and the shift is the new difference of the indexes.  Ends go on from text to
+   text, so a stretch may pass the end of a text, which both have in common.
 2. The links (pairs of tokens that share bytes) of a run of texts are summed by id pair
    before they leave the task: a run sends each of its pairs once, however often it has
    them.  A document's own pairs stay with the run, packed as places in the run's list.
@@ -16,12 +17,13 @@ the tokens into groups.
    what its group gathers; a frequent pair is one row per run in a join that the adaptive
    planner splits.
 
-Texts are cut into pieces where both tokenizers cut them too, and a task encodes each
-distinct piece once (see ``vocab``); alignment works on the whole texts.
+Texts are cut into pieces where both tokenizers cut them too, and each distinct piece is
+encoded once per task (see ``vocab``); alignment works on the whole texts.
 """
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,11 @@ from gatherlens.llm import vocab
 from gatherlens.llm.common import chunks, staged, tidy, utf8
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-RUN_LINKS = 1 << 20   # links of a run, unless one document has more
-CHUNK = 1 << 20
+CHUNK = 1 << 21    # bytes of the texts of a run, unless one text has more
+WINDOW = 1 << 17   # tokens whose ends are lists at a time
+DIFFERENT = vocab.packed([1])
+# A blank and what is no white space: only the first id of such a piece has a blank.
+PLAIN = re.compile(" [!-~À-ɏ]+")
 
 
 def diagonal(ea: list[int], eb: list[int]):
@@ -79,8 +84,13 @@ def diagonal(ea: list[int], eb: list[int]):
         yield i0, i, j0, j, False
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Aligner:
-    """Token ids, ends and groups of texts under two tokenizers."""
+    """Token ids, groups and links of texts under two tokenizers."""
 
     def __init__(self, a: vocab.Source, b: vocab.Source, whole: bool):
         self.a, self.b = vocab.loaded(a), vocab.loaded(b)
@@ -88,75 +98,112 @@ class Aligner:
             self.a.encode_special_tokens = True  # their strings in texts are plain text
         self.bytes_a, self.bytes_b = vocab.token_bytes(a), vocab.token_bytes(b)
         self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.name_a, self.name_b = ([str(i) for i in range(len(t))] for t in (self.bytes_a, self.bytes_b))
-        self.whole = whole
-        self.memory = vocab.Remembered(self._encode)
+        self.first_a = np.array([x[:1] == b" " for x in self.bytes_a])
+        # Ids as they stand in a group of a's ids, and at its end; likewise for b.
+        na, nb = len(self.bytes_a), len(self.bytes_b)
+        self.names = [f"{i}{mark}" for n, marks in ((na, ",|"), (nb, ",;")) for mark in marks for i in range(n)]
+        self.whole, self.exact = whole, vocab.can_cut(a)  # byte-level, nothing normalized
+        self.memory = vocab.Pieces(self._encode)
 
     def _encode(self, pieces: list[str]):
-        """Ids under both, and whether the bytes of both are the piece's."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        ids_b = self.b.encode([p[1:] for p in pieces], num_threads=1)  # it adds the blank itself,
-        if " " in pieces:                                              # but not to an empty text
-            ids_b[pieces.index(" ")] = [self.b.piece_to_id("▁")]
+        """Ids (u32) under both, and a 1 if the bytes of either are not the piece's."""
+        ids_b = self.b.encode([p[1:] for p in pieces], num_threads=1)  # it adds the blank itself
+        for i, p in enumerate(pieces):
+            if len(p) == 1:  # a mark, or a last blank
+                ids_b[i] = [self.b.piece_to_id(p.replace(" ", "▁"))]
+        plain = [p for p in pieces if PLAIN.fullmatch(p)]
+        ids_a = dict(zip(plain, vocab.encode_together(self.a, plain, "", self.first_a, None)))
+        other = [p for p in pieces if p not in ids_a]
+        ids_a.update(zip(other, [vocab.packed(e.ids) for e in self.a.encode_batch_fast(other, add_special_tokens=False)]))
         out = []
-        for p, x, y in zip(pieces, ids_a, ids_b):
-            raw = p.encode()
-            same = raw == b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y])
-            out.append((vocab.packed(x), vocab.packed(y), same))
+        for p, y in zip(pieces, ids_b):
+            x, raw = ids_a[p], p.encode()
+            same = raw == b"".join(map(self.bytes_b.__getitem__, y)) and (
+                self.exact or raw == b"".join(map(self.bytes_a.__getitem__, memoryview(x).cast("I"))))
+            out.append((x, vocab.packed(y), b"" if same else DIFFERENT))
         return out
 
     def tokens(self, texts: list[bytes]):
-        """(ids under a, ids under b) of each text; none for empty texts and those whose
-        tokens' bytes are not blank + text."""
-        pieces = []
-        for raw in texts:
-            text = raw.decode("utf-8", "replace")
-            pieces.append([] if not text else [" " + text] if self.whole else vocab.blank_led(" " + text))
-        known = self.memory.look_up(pieces)
-        none = np.zeros(0, np.uint32)
-        for raw, ps in zip(texts, pieces):
-            found = [known[p] for p in ps]
-            x, y = (np.frombuffer(b"".join([f[k] for f in found]), np.uint32) for k in (0, 1))
-            same = all(f[2] for f in found)
-            if b"\xef\xbf\xbd" in raw or not same:  # a replacement character may have been made
-                same = b" " + raw == b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y])
-            elif ps and not raw.isascii():
-                same = len(raw) + 1 == int(self.size_a[x].sum())
-            yield (x, y) if same else (none, none)
-
-    def align(self, x: np.ndarray, y: np.ndarray, groups: list | None):
-        """(number of groups, codes of all links: id of b, then of a, in 32 bits each); the
-        groups as text are appended to ``groups``."""
-        if not len(x):
-            return 0, np.zeros(0, np.int64)
-        ea, eb = np.cumsum(self.size_a[x]).tolist(), np.cumsum(self.size_b[y]).tolist()
-        x, y = x.tolist(), y.tolist()
-        la, lb, n = [], [], 0
-        na, nb = self.name_a, self.name_b
-        for i0, i1, j0, j1, one in diagonal(ea, eb):
-            ga, gb = x[i0:i1], y[j0:j1]
-            if one:
-                la += ga
-                lb += gb
-                n += i1 - i0
-                if groups is not None:
-                    groups += [f"{na[a]}|{nb[b]}" for a, b in zip(ga, gb)]
-                continue
-            n += 1
-            if groups is not None:
-                groups.append(",".join([na[a] for a in ga]) + "|" + ",".join([nb[b] for b in gb]))
-            # No place inside ends both a token of a and one of b.
-            i, j = i0, j0
-            while True:
-                la.append(x[i])
-                lb.append(y[j])
-                if ea[i] < eb[j]:
-                    i += 1
-                elif ea[i] > eb[j]:
-                    j += 1
-                else:
-                    break
-        return n, np.array(lb, np.int64) << 32 | np.array(la, np.int64)
+        """Ids under a and under b of all texts together, how many there are up to each
+        text's end, and up to places between that both have in common.  Empty texts have
+        none, nor have those whose tokens' bytes are not blank + text."""
+        if self.whole:
+            lists = pa.array([[b" " + t] if t else [] for t in texts], pa.list_(pa.binary()))
+        else:
+            lists = vocab.cut(texts)
+        ((x, xs), (y, ys), (_, odd)), pieces = self.memory.ids(lists, 3)
+        starts = np.concatenate([[0], pieces[:-1]])
+        wrong = []
+        for d in range(len(texts)):
+            # What is no UTF-8 was encoded as replacement characters.
+            if odd[pieces[d]] > odd[starts[d]] or b"\xef\xbf\xbd" in texts[d] or not _valid(texts[d]):
+                own = (x[xs[starts[d]]:xs[pieces[d]]], self.bytes_a), (y[ys[starts[d]]:ys[pieces[d]]], self.bytes_b)
+                if any(b" " + texts[d] != b"".join(map(names.__getitem__, ids)) for ids, names in own):
+                    wrong.append(d)
+        if wrong:
+            # The sums go on without the ids of these texts.
+            out = []
+            for ids, sums in ((x, xs), (y, ys)):
+                gone = np.zeros(len(ids), bool)
+                for d in wrong:
+                    gone[sums[starts[d]]:sums[pieces[d]]] = True
+                out.append((ids[~gone], sums - np.concatenate([[0], np.cumsum(gone)])[sums]))
+            (x, xs), (y, ys) = out
+        # Some of the places where a piece ends: windows of bounded size.
+        cuts = np.unique(np.concatenate([np.searchsorted(xs, np.arange(0, len(x), WINDOW)), [len(xs) - 1]]))
+        return x, y, xs[pieces], ys[pieces], list(zip(xs[cuts].tolist(), ys[cuts].tolist()))
+
+    def align(self, texts: list[bytes], strings: bool):
+        """Of texts: numbers of ids under a and b, of groups and of links, the groups as text
+        (or nothing), and for all links the text's number and the code: id of b, then of a,
+        in 32 bits each."""
+        x, y, x_ends, y_ends, cuts = self.tokens(texts)
+        ea, eb = np.cumsum(self.size_a[x]), np.cumsum(self.size_b[y])
+        bounds = []
+        for (i, j), (i_end, j_end) in zip(cuts, cuts[1:]):
+            for i0, i1, j0, j1, one in diagonal(ea[i:i_end].tolist(), eb[j:j_end].tolist()):
+                bounds += (i + i0, i + i1, j + j0, j + j1, one)
+        i0, i1, j0, j1, one = np.array(bounds, np.int64).reshape(-1, 5).T
+        # Where each group ends: every token of a one-to-one stretch, or the last of the group.
+        count = np.where(one, i1 - i0, 1)
+        step = np.where(np.repeat(one, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), 0)
+        a_end, b_end = (np.repeat(np.where(one, s + 1, e), count) + step for s, e in ((i0, i1), (j0, j1)))
+        # Links: pairs of one-to-one groups; within the others, each stretch between two
+        # neighbouring ends of either side belongs to one token of a and one of b.
+        single = np.repeat(one, count).astype(bool)
+        a_some, b_some = (_ranges(s[one == 0], (e - s)[one == 0]) for s, e in ((i0, i1), (j0, j1)))
+        stretch = np.union1d(ea[a_some], eb[b_some])
+        la = np.concatenate([a_end[single] - 1, a_some[np.searchsorted(ea[a_some], stretch)]])
+        lb = np.concatenate([b_end[single] - 1, b_some[np.searchsorted(eb[b_some], stretch)]])
+        owner = np.searchsorted(x_ends, la, "right")
+        n = len(texts)
+        groups = np.bincount(np.searchsorted(x_ends, a_end - 1, "right"), minlength=n)
+        text = self._strings(x, y, a_end, b_end, x_ends, y_ends) if strings else [None] * n
+        codes = y[lb].astype(np.int64) << 32 | x[la].astype(np.int64)
+        return np.diff(x_ends, prepend=0), np.diff(y_ends, prepend=0), groups, np.bincount(owner, minlength=n), text, owner, codes
+
+    def _strings(self, x, y, a_end, b_end, x_ends, y_ends) -> list[str]:
+        na, nb = len(self.bytes_a), len(self.bytes_b)
+        a_last, b_last = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        a_last[a_end - 1], b_last[b_end - 1] = True, True
+        # A token of a has before it all groups' tokens of b up to its own group, and so on.
+        which = np.empty(len(x) + len(y), np.int64)
+        b_start = np.concatenate([[0], b_end])[:-1]
+        which[np.arange(len(x)) + np.repeat(b_start, np.diff(a_end, prepend=0))] = x + np.where(a_last, na, 0)
+        which[np.arange(len(y)) + np.repeat(a_end, np.diff(b_end, prepend=0))] = y + np.where(b_last, nb, 0) + 2 * na
+        out, at = [], 0
+        for end in (x_ends + y_ends).tolist():
+            out.append("".join(map(self.names.__getitem__, which[at:end].tolist()))[:-1])
+            at = end
+        return out
+
+
+def _valid(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -169,43 +216,26 @@ def _unplanes(b: bytes) -> np.ndarray:
 
 
 def _runs(a: vocab.Source, b: vocab.Source, whole: bool, form: str, schema: pa.Schema):
-    """One row per run: its distinct codes with counts, and its documents."""
-    def close(number, rows, codes):
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        known, place, counts = np.unique(every, return_inverse=True, return_counts=True)
-        # Distinct places of each document with their counts, in order.
-        key = np.repeat(np.arange(len(codes)), [len(c) for c in codes]) * max(1, len(known)) + place
-        key, times = np.unique(key, return_counts=True)
-        owner, place = np.divmod(key, max(1, len(known)))
-        new = np.diff(owner, prepend=-1) != 0
-        step = np.where(new, place, np.diff(place, prepend=0))
-        distinct = np.bincount(owner, minlength=len(codes))
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_pydict(
-            {"run": [number], "codes": [known], "counts": [counts], "id": [columns[0]], "n_a": [columns[1]], "n_b": [columns[2]],
-             "n_groups": [columns[3]], "n_links": [columns[4]], "groups": [columns[5]], "distinct": [distinct],
-             "steps": [_planes(step)], "times": [_planes(times)]}, schema)
-
+    """One row per run, which is a chunk of texts: its distinct codes with counts, and its
+    documents."""
     def run(batches):
         aligner = Aligner(a, b, whole)
         # Unique in the staged table: a partition is written by one attempt.
         number = TaskContext.get().partitionId() << 32
-        rows, codes, held = [], [], 0
         for batch in chunks(batches, "text", CHUNK):
-            for key, (x, y) in zip(batch.column("id").to_pylist(), aligner.tokens(utf8(batch.column("text")))):
-                groups = None if form == "none" else []
-                n, links = aligner.align(x, y, groups)
-                text = None if groups is None else ";".join(groups)
-                if form == "sha256" and text:
-                    text = hashlib.sha256(text.encode()).hexdigest()
-                rows.append((key, len(x), len(y), n, len(links), text))
-                codes.append(links)
-                held += len(links) + 64
-                if held >= RUN_LINKS:
-                    yield close(number, rows, codes)
-                    number, rows, codes, held = number + 1, [], [], 0
-        if rows:
-            yield close(number, rows, codes)
+            n_a, n_b, n_groups, n_links, text, owner, codes = aligner.align(utf8(batch.column("text")), form != "none")
+            if form == "sha256":
+                text = [hashlib.sha256(t.encode()).hexdigest() if t else t for t in text]
+            known, place, counts = np.unique(codes, return_inverse=True, return_counts=True)
+            # Distinct places of each document with their counts, in order.
+            key, times = np.unique(owner * max(1, len(known)) + place, return_counts=True)
+            owner, place = np.divmod(key, max(1, len(known)))
+            step = np.where(np.diff(owner, prepend=-1) != 0, place, np.diff(place, prepend=0))
+            yield pa.RecordBatch.from_pydict(
+                {"run": [number], "codes": [known], "counts": [counts], "id": [batch.column("id")], "n_a": [n_a], "n_b": [n_b],
+                 "n_groups": [n_groups], "n_links": [n_links], "groups": [text],
+                 "distinct": [np.bincount(owner, minlength=len(text))], "steps": [_planes(step)], "times": [_planes(times)]}, schema)
+            number += 1
     return tidy(run)
 
 
@@ -243,7 +273,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a: str |
     if groups not in ("text", "sha256", "none"):
         raise ValueError("groups is 'text', 'sha256' or 'none'")
     a, b = vocab.read(a or vocab.public(A)), vocab.read(b or vocab.public(B))
-    whole = not (vocab.cuts_at_blanks(a) and vocab.cuts_at_blanks(b))
+    whole = not (vocab.can_cut(a) and vocab.can_cut(b))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     lists = f"id array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, distinct array<long>, steps binary, times binary"

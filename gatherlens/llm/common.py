@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gatherlens.session import _conf
 
@@ -73,11 +74,14 @@ def release() -> None:
 
 
 def tidy(run):
-    """``run`` (for mapInArrow or applyInArrow), releasing memory after each task or group."""
+    """``run`` (for mapInArrow or applyInArrow), releasing memory after each task or group.
+    A task's tables of many small objects have no cycles: they are not searched for any."""
     def mapped(batches):
+        gc.disable()
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             release()
 
     def grouped(table: pa.Table) -> pa.Table:
@@ -96,6 +100,19 @@ def tidy(run):
     return grouped if run.__code__.co_argcount == 1 else cogrouped
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(*columns) -> F.Column:
+    """128 bits of the columns, as text: two 64-bit hashes that start differently."""
+    return F.concat_ws(":", F.xxhash64(*columns), F.xxhash64(F.lit("row"), *columns))
+
+
 def utf8(texts: pa.Array) -> list[bytes]:
     """The texts as UTF-8; null gives empty."""
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherlens.llm.common import chunks, staged, utf8
+from gatherlens.llm.common import chunks, staged, tidy, utf8
 
 LANGUAGES = ("de", "en", "es", "fr")
 BITS = 16
+CHUNK = 1 << 20  # bytes of text whose grams a task holds
 PER_LANGUAGE = 2000
 # Log-probabilities are whole numbers of 2^-16, so sums do not depend on their order.
 UNIT = 1 << 16
@@ -59,7 +60,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(batches):
     total: dict[str, np.ndarray] = {}
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", CHUNK):
         texts, labels = utf8(batch.column("text")), batch.column("label").to_pylist()
         for label in set(labels):
             own, _ = grams([t for t, x in zip(texts, labels) if x == label])
@@ -85,7 +86,7 @@ def train(labelled: DataFrame, text: str, label: str, languages=LANGUAGES, per_l
         share = F.when(F.col("label") == name, F.lit(per_language / n)).otherwise(share)
     place = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     found = rows.where(place < share).select("text", "label").mapInArrow(
-        _counts, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        tidy(_counts), "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(languages), 1 << BITS), 0.5)
     for i, name in enumerate(languages):
         own = found[found["label"] == name]
@@ -95,7 +96,7 @@ def train(labelled: DataFrame, text: str, label: str, languages=LANGUAGES, per_l
 
 def _scores(model: np.ndarray):
     def run(batches):
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             buckets, per_text = grams(utf8(batch.column("text")))
             ends = np.cumsum(per_text)
             sums = []
@@ -123,7 +124,7 @@ def identify(docs: DataFrame, model: np.ndarray, id_col: str, text, declared=Non
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(declared if declared is not None else null).alias("declared"),
                        F.coalesce(host if host is not None else null, F.lit("")).alias("host"),
                        F.coalesce(suffix if suffix is not None else null, F.lit("")).alias("suffix"), text.alias("text"))
-    scored = rows.mapInArrow(_scores(model), f"id {kind}, declared string, host string, suffix string, "
+    scored = rows.mapInArrow(tidy(_scores(model)), f"id {kind}, declared string, host string, suffix string, "
                                              f"n_grams long, units array<long>")
     best = F.array_position("units", F.array_max("units")).cast("int")
     noise = F.col("n_grams") * F.lit(-float(np.round(UNIT * np.log(1 << BITS))))

@@ -60,7 +60,7 @@ def rates(docs: DataFrame, source: str = "source", targets: dict | None = None,
     """(m_source, rate, m_lo, cdf) per source.  ``targets`` maps sources to weights
     (a source it lacks has weight 0); without it the weight is n ** temperature."""
     n = F.col("n").cast("double")
-    counts = docs.groupBy(F.col(source).alias("m_source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.groupBy(F.col(f"`{source}`").alias("m_source")).agg(F.count(F.lit(1)).alias("n"))
     if targets is None:
         weight = F.pow(n, F.lit(float(temperature)))
     else:
@@ -85,22 +85,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
 
     Null sources are one source.  Rows that share a doc_id draw the same count; a
     null doc_id draws as the text 'null'.  Empty tables give no rows.  All columns of
-    ``docs`` stay, whatever their names (these three replace columns so named).
+    ``docs`` stay as they are, whatever their names (these three replace columns so named).
     """
     for c in ("mix_rate", "mix_copy", "mix_order"):
         docs = docs.drop(c)
-    cols = docs.columns
-    r = rates(docs, source, targets, temperature).select(
-        F.col("m_source").alias("__source"), F.col("rate").alias("__rate"), F.col("m_lo").alias("__lo"),
-        F.col("cdf").alias("__cdf"))
-    key = docs[id_col]
-    u = uniform(F.lit(seed), key)
-    below = F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
-    copies = docs.join(r, docs[source].eqNullSafe(F.col("__source"))).withColumn(
-        "__n", F.when(F.col("__rate") > 0, F.col("__lo") + below).otherwise(F.lit(0)).cast("int"))
-    out = copies.where("__n > 0").select(
-        *[F.col(f"`{c}`") for c in cols], F.col("__rate").alias("mix_rate"),
-        F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
-    out = out.withColumn("mix_order", uniform(F.lit(seed), F.lit("order"), F.col(f"`{id_col}`"), F.col("mix_copy")))
+    r = rates(docs, source, targets, temperature)
+    # The row goes along as one value, so no name of its columns meets those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("key"),
+                       F.col(f"`{source}`").alias("source"))
+    below = F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(F.lit(seed), F.col("key"))))
+    copies = rows.join(r, rows["source"].eqNullSafe(r["m_source"])).withColumn(
+        "n", F.when(F.col("rate") > 0, F.col("m_lo") + below).otherwise(F.lit(0)).cast("int"))
+    out = copies.where("n > 0").select(
+        "row", "key", F.col("rate").alias("mix_rate"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
+    out = out.withColumn("mix_order", uniform(F.lit(seed), F.lit("order"), F.col("key"), F.col("mix_copy")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(parts, "mix_order").sortWithinPartitions("mix_order", F.col(f"`{id_col}`"))
+    return out.repartition(parts, "mix_order").sortWithinPartitions("mix_order", "key").select(
+        "row.*", "mix_rate", "mix_copy", "mix_order")

@@ -7,7 +7,7 @@ each holds at least 80 % of shingles that the other has too.
 1. Shared shingles.  Each task cuts its distinct sets into runs, sorts a run's shingles
    and sends, per range of hashes, one packed block: a shingle of one set with that set,
    a shingle of several sets of the run once, as a mark (its sets are known to share it
-   and are sent on at once).  A range's task thus gets one entry per shingle and run,
+   and are dealt by set and run, not by the shingle).  A range's task thus gets one entry per shingle and run,
    however many documents share it.  Sets with less than 80 % of shared shingles link
    with nothing and go; this is the prefix filter for an order that puts shingles of one
    set first.
@@ -36,14 +36,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherlens.llm.common import chunks, hash_words, mix, staged, utf8, windows
+from gatherlens.llm.common import chunks, hash_words, mix, staged, tidy, utf8, windows
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
-RUN_SHINGLES = 1 << 20       # shingles a task sorts at a time
-RANGE_SHINGLES = 1 << 20     # shingles of a range, on average
+CHUNK = 1 << 20              # bytes of text whose words a task holds
+RUN_SHINGLES = 1 << 19       # shingles a task sorts at a time
+RANGE_SHINGLES = 1 << 19     # shingles of a range, on average
 BLOCK_SETS = 256             # sets and shingles of a component that are compared at a time,
 BLOCK_SHINGLES = 1 << 18     # on average
 BAND = 1.2500001             # sizes of linked sets differ by a factor of 1.25 at most
@@ -66,7 +68,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _sets(batches):
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", CHUNK):
         sets = shingle_sets(batch)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -101,16 +103,17 @@ BLOCK = "bucket long, mark boolean, shingles binary, known binary, which binary"
 
 
 def _blocks(ranges: int):
-    def rows(shingles, sids, mark, offset):
+    def rows(shingles, sids, mark, place):
         if not len(shingles):
             return []
-        bucket = ((shingles >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        bucket = ((place >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         heads = np.concatenate([[0], cuts])
+        offset = ranges if mark is None else 0
         return [(int(bucket[h]) + offset, mark, *pack(a, b))
                 for h, a, b in zip(heads, np.split(shingles, cuts), np.split(sids, cuts))]
 
-    def flush(run):
+    def flush(run, number):
         sids = np.repeat(np.array(list(run), np.int64), [len(s) for s in run.values()])
         shingles = np.concatenate(list(run.values()))
         order = np.argsort(shingles, kind="stable")
@@ -120,10 +123,13 @@ def _blocks(ranges: int):
         last = np.append(new[1:], True)
         many = ~(new & last)
         heads = many & new
-        out = rows(shingles[~many], sids[~many], False, 0)
-        out += rows(shingles[heads], sids[heads], True, 0)
-        # Known to be shared: passed on by ranges of their own.
-        out += rows(shingles[many], sids[many], None, ranges)
+        out = rows(shingles[~many], sids[~many], False, shingles[~many])
+        out += rows(shingles[heads], sids[heads], True, shingles[heads])
+        # Known to be shared: nothing to merge, so they are dealt by set and run.
+        shingles, sids = shingles[many], sids[many]
+        place = mix(sids.view(np.uint64) ^ mix(np.uint64([number])))
+        order = np.argsort(place, kind="stable")
+        out += rows(shingles[order], sids[order], None, place[order])
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary(),
                                                                       pa.binary()))],
@@ -131,7 +137,8 @@ def _blocks(ranges: int):
 
     def run_all(batches):
         run, held = {}, 0
-        for batch in chunks(batches, "text"):
+        number = TaskContext.get().partitionId() << 32
+        for batch in chunks(batches, "text", CHUNK):
             for s in shingle_sets(batch):
                 if not len(s):
                     continue
@@ -140,11 +147,12 @@ def _blocks(ranges: int):
                     run[sid] = s
                     held += len(s)
                 if held >= RUN_SHINGLES:
-                    yield flush(run)
+                    yield flush(run, number)
                     run, held = {}, 0
+                    number += 1
         if run:
-            yield flush(run)
-    return run_all
+            yield flush(run, number)
+    return tidy(run_all)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -234,7 +242,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     for p in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("sid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in side]), p)
     pairs = pairs.where(f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)")
-    return staged(pairs.mapInArrow(_verified, "a long, b long, differ long, linked boolean"), name)
+    return staged(pairs.mapInArrow(tidy(_verified), "a long, b long, differ long, linked boolean"), name)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,7 +278,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> tuple[Dat
     total = classes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-int(total) // RANGE_SHINGLES))
     shared = staged(docs.select("text").mapInArrow(_blocks(ranges), BLOCK).groupBy("bucket").applyInArrow(
-        _shared, "sid long, shingles array<long>"), "shared")
+        tidy(_shared), "sid long, shingles array<long>"), "shared")
     # A set's pieces may repeat shingles, so their number is an upper bound: it prunes.
     held = staged(shared.groupBy("sid").agg(F.sum(F.size("shingles")).alias("held")).join(
         classes.select("sid", "n"), "sid").where(f"100 * held >= {PERCENT} * n").select("sid", "n"), "likely")
@@ -279,7 +287,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> tuple[Dat
     df = staged(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
     counted = tokens.join(df, "shingle").groupBy("sid").agg(F.collect_list("shingle").alias("shingles"),
                                                             F.collect_list("df").alias("df"))
-    prefixed = staged(counted.join(held, "sid").select("sid", "n", "shingles", "df").mapInArrow(_prefixes, PREFIX_SQL),
+    prefixed = staged(counted.join(held, "sid").select("sid", "n", "shingles", "df").mapInArrow(tidy(_prefixes), PREFIX_SQL),
                       "prefixes")
     # A set of band b meets bands b and b + 1 in list b, and b - 1 and b in list b - 1.
     posts = staged(prefixed.select("sid", "n", "alone", "centre", F.explode("prefix0").alias("shingle"), "band").select(
@@ -413,7 +421,7 @@ def count_links(classes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
             *PAIR, F.col("band2").alias("band"), F.col("block2").alias("block"), F.lit(1).alias("side")))
     dealt = held.join(cut, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
     some = dealt.join(sides, ["label", "band", "block"]).select("sid", "n", "copies", "shingles", *PAIR, "side")
-    met = one.union(some).groupBy(*PAIR).applyInArrow(_counted, "sid long, partners long")
+    met = one.union(some).groupBy(*PAIR).applyInArrow(tidy(_counted), "sid long, partners long")
     return staged(met.groupBy("sid").agg(F.sum("partners").alias("partners")), "partners")
 
 
@@ -432,7 +440,7 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_l
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    sets = staged(docs.mapInArrow(_sets, f"id {kind}, n long, sid long"), "sets")
+    sets = staged(docs.mapInArrow(tidy(_sets), f"id {kind}, n long, sid long"), "sets")
     classes = staged(sets.where("sid IS NOT NULL").groupBy("sid").agg(
         F.first("n").alias("n"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "classes")
     links, partnered = link_sets(docs, sets, classes)

@@ -86,10 +86,13 @@ def op8_license_scan(spark, sf_dir):
 
 
 def op9_substring_dedup(spark, sf_dir):
-    """Bytes of every document covered by a 400-byte string that starts elsewhere too."""
+    """Bytes of every document covered by a 400-byte string that starts elsewhere too, and
+    what is left as text."""
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
+                      F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(F.lit(0.0)).alias("removed_share"),
+                      "text")
 
 
 def op10_mix_sources(spark, sf_dir):
@@ -174,11 +177,24 @@ x AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span, p F
 y AS (SELECT doc_id, span, min(p) AS a, max(p) + 400 AS z FROM x GROUP BY doc_id, span),
 k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM y),
 t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS last FROM k GROUP BY doc_id),
-q AS (SELECT doc_id, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS parts FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+q AS (SELECT doc_id, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS parts FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+o AS (SELECT doc_id, h, a - CASE WHEN h[2 * a + 1:2 * a + 1] NOT IN ('8', '9', 'A', 'B') THEN 0
+                              WHEN h[2 * a - 1:2 * a - 1] NOT IN ('8', '9', 'A', 'B') THEN 1
+                              WHEN h[2 * a - 3:2 * a - 3] NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END AS a,
+             z + CASE WHEN h[2 * z + 1:2 * z + 1] NOT IN ('8', '9', 'A', 'B') THEN 0
+                      WHEN h[2 * z + 3:2 * z + 3] NOT IN ('8', '9', 'A', 'B') THEN 1
+                      WHEN h[2 * z + 5:2 * z + 5] NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END AS z
+      FROM k JOIN d USING (doc_id)),
+l AS (SELECT doc_id, h, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) AS before FROM o),
+u AS (SELECT doc_id, max(z) AS last, string_agg(CASE WHEN a > before THEN h[2 * before + 1:2 * a] ELSE '' END, '' ORDER BY a, z) AS parts
+      FROM l GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
        coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(parts, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
-FROM d LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)""",
+       sha256(unhex(coalesce(q.parts, '') || h[2 * coalesce(t.last, 0) + 1:])) AS kept_sha256,
+       CAST(len(d.h) / 2 - coalesce(n_removed, 0) AS BIGINT) AS n_kept,
+       CASE WHEN len(d.h) > 0 THEN coalesce(n_removed, 0) / (len(d.h) / 2) ELSE 0.0 END AS removed_share,
+       decode(unhex(coalesce(u.parts, '') || h[2 * coalesce(u.last, 0) + 1:])) AS text
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN u USING (doc_id)""",
     "op12_spelling_variants": f"""
 WITH RECURSIVE t AS (SELECT list(list_reduce(list_concat([n], range(8)), lambda c, i:
                        CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab

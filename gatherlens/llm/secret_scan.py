@@ -213,11 +213,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules=RULE
 def redact(docs: DataFrame, text: str = "text", rules=RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span (overlapping ones merged) of the text replaced by
     ``mark``; all rows, columns and their order stay, null texts stay null."""
-    at = docs.columns.index(text)
+    at = 0
 
     def run(batches):
         scanner = Scanner(rules)
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, "text"):
             texts = utf8(batch.column(at))
             new, changed = batch.column(at).to_pylist(), False
             for i, spans in enumerate(scanner.scan(texts)):
@@ -227,7 +227,11 @@ def redact(docs: DataFrame, text: str = "text", rules=RULES, mark: str = "[secre
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    # The other columns go along as one value, so their names are of no matter.
+    others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    rows = docs.select(F.col(f"`{text}`").alias("text"), others.alias("others"))
+    out = rows.mapInArrow(run, rows.schema)
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 
 def _masked(text: str, spans, mark: str) -> str:

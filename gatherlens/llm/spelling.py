@@ -27,6 +27,7 @@ RATIO = 5
 ERROR_EVERY = 199
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz"
 LEAST_SYMBOLS = 4
+TASK_WORDS = 1 << 14   # reduced words whose neighbourhoods a task makes
 
 
 def lower_ascii(text: Column) -> Column:
@@ -81,9 +82,11 @@ def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): all ordered pairs of rows of ``words`` (word, n; each word
     once, none empty or null) that differ by exactly one letter more, less or other."""
     words = staged(words.select("word", "n"), "words")
-    symbols = symbols_for(words.count())
+    number = words.count()
+    symbols = symbols_for(number)
     words = staged(words.select("word", "n", reduced(F.col("word"), symbols).alias("r")), "reduced-words")
-    known = words.select("r").distinct()
+    # Small rows that grow a hundredfold: dealt to tasks by their number, not by their bytes.
+    known = staged(words.select("r").distinct(), "reduced").repartition(number // TASK_WORDS + 1, "r")
     pairs = known.select("r", F.explode(neighbourhood(F.col("r"), symbols)).alias("near_r")).join(
         known.select(F.col("r").alias("near_r")), "near_r")
     pairs = staged(pairs, "reduced-pairs")

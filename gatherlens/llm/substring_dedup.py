@@ -19,21 +19,25 @@ but with a wide neighbourhood, so that every 400-byte string holds one:
 
 Runs combine before the exchange: a gram or string that is frequent within a run sends
 one tuple, however many documents hold it.  Hashes are 64-bit (polynomial over keyed
-bytes); rows are known by a 64-bit hash of id and text.  Long texts are worked through in
+bytes); rows are known by two 64-bit hashes of id and text.  Long texts are worked through in
 bounded segments.
 """
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherlens.llm.common import chunks, mix, staged, utf8
+from gatherlens.llm.common import chunks, mix, row_hash, staged, tidy, utf8
 
 LENGTH, GRAM = 400, 300
 REACH = LENGTH - GRAM + 1       # grams in a string
 SEGMENT = 1 << 17               # strings handled at a time
+CHUNK = 1 << 20
 RUN, RANGE = 1 << 18, 1 << 17   # tuples of a run, and of a range on average
 ANCHORS_PER_BYTE = 2 / (REACH + 1)
 
@@ -134,26 +138,41 @@ def _unplanes(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
+# A document is known by 128 bits.
+KEY, SIGNED = np.dtype([("a", np.uint64), ("b", np.uint64)]), np.dtype([("a", np.int64), ("b", np.int64)])
 BLOCK = "bucket long, kind int, codes binary, contexts binary, known binary, which binary, places binary"
 TUPLE, MARK, CLEAR = 0, 1, 2  # to be merged; known to be several; already decided (contexts: flags)
 COVERED, OPEN = 1, 2
 
 
-def _blocks(kind, ranges, codes, contexts, keys, places):
+def _blocks(kind, ranges, codes, contexts, keys, places, salt=np.uint64(0)):
     """Block rows of sorted tuples, one for each range of codes."""
     if not len(codes):
         return []
-    bucket = ((codes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    if kind == CLEAR:  # nothing to merge: dealt by document and run, not by the code
+        place = mix(mix(keys["a"] + salt) ^ keys["b"])
+        order = np.argsort(place, kind="stable")
+        place, codes, contexts, keys, places = (x[order] for x in (place, codes, contexts, keys, places))
+    else:
+        place = codes
+    bucket = ((place >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     heads = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
     out = []
     for a, z in zip(heads.tolist(), np.append(heads[1:], len(codes)).tolist()):
-        known, which = np.unique(keys[a:z], return_inverse=True)
+        known, which = _numbered(keys[a:z])
         out.append((int(bucket[a]) + (ranges if kind == CLEAR else 0), kind,
                     _planes(np.diff(codes[a:z], prepend=np.uint64(0))), contexts[a:z].tobytes(), known.tobytes(),
                     _planes(which.astype(np.uint32)), _planes(places[a:z].astype(np.uint64))))
     return out
 
 
+def _numbered(keys):
+    """Distinct keys, and the number of each one's."""
+    _, first, which = np.unique(keys["a"] ^ mix(keys["b"].copy()), return_index=True, return_inverse=True)
+    known = keys[first]
+    return (known, which) if (known[which] == keys).all() else np.unique(keys, return_inverse=True)
+
+
 def _batch(rows):
     kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
@@ -166,7 +185,7 @@ def _unpacked(table: pa.Table):
     for r in table.to_pylist():
         codes = np.cumsum(_unplanes(r["codes"], np.uint64))
         parts.append((np.full(len(codes), r["kind"], np.int8), codes, np.frombuffer(r["contexts"], np.uint64),
-                      np.frombuffer(r["known"], np.int64)[_unplanes(r["which"], np.uint32)],
+                      np.frombuffer(r["known"], KEY)[_unplanes(r["which"], np.uint32)],
                       _unplanes(r["places"], np.uint64).astype(np.int64)))
     return [np.concatenate(x) for x in zip(*parts)]
 
@@ -180,26 +199,27 @@ def _groups(*columns):
 
 
 def _runs(batches, make, most, close):
-    """Gathers tuples of texts into runs of about ``most`` and closes each."""
+    """Gathers tuples of texts into runs of about ``most`` and closes each with a salt."""
     held, n = [], 0
-    for batch in chunks(batches, "text"):
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
+    salts = (mix(np.uint64([i]))[0] for i in itertools.count(TaskContext.get().partitionId() << 32))
+    for batch in chunks(batches, "text", CHUNK):
+        keys = np.array([tuple(map(int, k.split(":"))) for k in batch.column("key").to_pylist()], SIGNED).view(KEY)
         for i, text in enumerate(utf8(batch.column("text"))):
             if len(text) < LENGTH:
                 continue
             a, b, place = make(batch, i, text)
             if len(a):
-                held.append((a, b, np.full(len(a), keys[i]), place))
+                held.append((a, b, np.repeat(keys[i:i + 1], len(a)), place))
                 n += len(a)
             if n >= most:
-                yield close(*[np.concatenate(x) for x in zip(*held)])
+                yield close(*[np.concatenate(x) for x in zip(*held)], next(salts))
                 held, n = [], 0
     if held:
-        yield close(*[np.concatenate(x) for x in zip(*held)])
+        yield close(*[np.concatenate(x) for x in zip(*held)], next(salts))
 
 
 def _anchor_blocks(ranges):
-    def close(grams, contexts, keys, places):
+    def close(grams, contexts, keys, places, salt):
         order = np.lexsort((contexts, grams))
         grams, contexts, keys, places = grams[order], contexts[order], keys[order], places[order]
         class_at, class_size = _groups(grams, contexts)
@@ -208,22 +228,26 @@ def _anchor_blocks(ranges):
         flag = np.repeat(np.where(class_size > 1, COVERED, 0), class_size)
         flag[class_at[mixed]] |= OPEN
         clear = flag > 0
-        rows = _blocks(CLEAR, ranges, grams[clear], flag[clear].astype(np.uint64), keys[clear], places[clear])
+        rows = _blocks(CLEAR, ranges, grams[clear], flag[clear].astype(np.uint64), keys[clear], places[clear], salt)
         one, heads = class_at[~mixed], class_at[gram_at[gram_classes > 1]]
         rows += _blocks(TUPLE, ranges, grams[one], contexts[one], keys[one], places[one])
         return _batch(rows + _blocks(MARK, ranges, grams[heads], contexts[heads], keys[heads], places[heads]))
 
     def run(batches):
         yield from _runs(batches, lambda batch, i, text: tuples(text), RUN, close)
-    return run
+    return tidy(run)
 
 
-DECIDED = "key long, place long, flag int"
+DECIDED = "a long, b long, place long, flag int"
+ROW = ["a", "b"]
 
 
 def _decided(keys, places, flags) -> pa.Table:
-    return pa.table({"key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int64()),
-                     "flag": pa.array(flags, pa.int32())})
+    return pa.table({**_halves(keys), "place": pa.array(places, pa.int64()), "flag": pa.array(flags, pa.int32())})
+
+
+def _halves(keys) -> dict:
+    return {c: pa.array(keys[c].view(np.int64) if len(keys) else np.zeros(0, np.int64)) for c in ROW}
 
 
 def _merged_anchors(table: pa.Table) -> pa.Table:
@@ -243,13 +267,13 @@ def _merged_anchors(table: pa.Table) -> pa.Table:
 
 
 def _string_blocks(ranges):
-    def close(codes, none, keys, places):
+    def close(codes, none, keys, places, salt):
         order = np.argsort(codes, kind="stable")
         codes, none, keys, places = codes[order], none[order], keys[order], places[order]
         at, size = _groups(codes)
         many = np.repeat(size > 1, size)
         heads = at[size > 1]
-        rows = _blocks(CLEAR, ranges, codes[many], none[many], keys[many], places[many])
+        rows = _blocks(CLEAR, ranges, codes[many], none[many], keys[many], places[many], salt)
         rows += _blocks(TUPLE, ranges, codes[~many], none[~many], keys[~many], places[~many])
         return _batch(rows + _blocks(MARK, ranges, codes[heads], none[heads], keys[heads], places[heads]))
 
@@ -259,7 +283,7 @@ def _string_blocks(ranges):
 
     def run(batches):
         yield from _runs(batches, make, RUN, close)
-    return run
+    return tidy(run)
 
 
 def _merged_strings(table: pa.Table) -> pa.Table:
@@ -270,7 +294,7 @@ def _merged_strings(table: pa.Table) -> pa.Table:
         _, size = _groups(codes)
         keep = np.repeat(size > 1, size) & (kind == TUPLE)
         keys, places = keys[keep], places[keep]
-    return pa.table({"key": pa.array(keys, pa.int64()), "start": pa.array(places, pa.int64())})
+    return pa.table({**_halves(keys), "start": pa.array(places, pa.int64())})
 
 
 def spans_of(n: int, covered, starts) -> np.ndarray:
@@ -286,9 +310,22 @@ def spans_of(n: int, covered, starts) -> np.ndarray:
     return np.stack([a[heads], z[np.append(heads[1:] - 1, len(z) - 1)]], axis=1)
 
 
+def whole_characters(text: bytes, spans: list) -> str:
+    """The text without the characters of which a byte is in one of the spans."""
+    parts, at = [], 0
+    for a, z in spans:
+        while a < len(text) and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while z < len(text) and text[z] & 0xC0 == 0x80:
+            z += 1
+        parts.append(text[at:max(a, at)])
+        at = z
+    return b"".join([*parts, text[at:]]).decode("utf-8", "replace")
+
+
 def _cleaned(batches):
-    for batch in chunks(batches, "text"):
-        spans, kept = [], []
+    for batch in chunks(batches, "text", CHUNK):
+        spans, kept, texts = [], [], []
         for text, covered, starts in zip(utf8(batch.column("text")), batch.column("covered").to_pylist(),
                                          batch.column("starts").to_pylist()):
             found = spans_of(len(text), covered or [], starts or [])
@@ -298,42 +335,45 @@ def _cleaned(batches):
                 parts.append(text[at:a])
                 at = z
             kept.append(b"".join([*parts, text[at:]]) if len(found) else text)
+            texts.append(whole_characters(text, found.tolist()))
         sizes = [len(t) for t in kept]
         removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([a + b for a, b in zip(sizes, removed)], pa.int64()), pa.array(removed, pa.int64()),
-             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-            names=["id", "n_bytes", "n_removed", "spans", "kept"])
+             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(texts, pa.string())],
+            names=["id", "n_bytes", "n_removed", "spans", "kept", "text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, n_bytes, n_removed, spans (maximal removed
-    runs, in bytes, end exclusive) and kept (the remaining bytes).
+    runs, in bytes, end exclusive), kept (the remaining bytes) and text (the remaining whole
+    characters: those that lost a byte are left out).
 
     A byte goes if a 400-byte string of the input that covers it also starts anywhere
     else, in the same text or another; strings do not cross texts.  Null texts are
-    empty.  Repeated rows repeat each other's texts.  Other columns play no part.
+    empty.  Repeated rows repeat each other's texts.  Empty tables give no rows.  Other
+    columns play no part, whatever their names.
     """
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), "text"))
+    rows = rows.withColumn("key", row_hash(F.col("id").cast("string"), "text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges = max(1, int(total * ANCHORS_PER_BYTE) // RANGE + 1)
     anchors = rows.select("key", "text").mapInArrow(_anchor_blocks(ranges), BLOCK).groupBy("bucket").applyInArrow(
-        _merged_anchors, DECIDED)
-    anchors = staged(anchors.groupBy("key", "place").agg(F.bit_or("flag").alias("flag")), "anchors")
+        tidy(_merged_anchors), DECIDED)
+    anchors = staged(anchors.groupBy(*ROW, "place").agg(F.bit_or("flag").alias("flag")), "anchors")
 
-    open_ = staged(anchors.where(F.col("flag").bitwiseAND(OPEN) > 0).groupBy("key").agg(
-        F.collect_list("place").alias("open")), "open-anchors")
+    open_ = staged(anchors.where(F.col("flag").bitwiseAND(OPEN) > 0).groupBy(*ROW).agg(
+        F.collect_list("place").alias("open")).withColumn("key", F.concat_ws(":", *ROW)), "open-anchors")
     n_open = open_.agg(F.sum(F.size("open"))).first()[0] or 0
     ranges = max(1, int(n_open / ANCHORS_PER_BYTE) // RANGE + 1)
-    found = staged(rows.select("key", "text").join(open_, "key").mapInArrow(_string_blocks(ranges), BLOCK)
-                   .groupBy("bucket").applyInArrow(_merged_strings, "key long, start long"), "strings")
+    found = staged(rows.select("key", "text").join(open_.select("key", "open"), "key").mapInArrow(_string_blocks(ranges), BLOCK)
+                   .groupBy("bucket").applyInArrow(tidy(_merged_strings), "a long, b long, start long"), "strings")
 
-    covered = anchors.where(F.col("flag").bitwiseAND(COVERED) > 0).groupBy("key").agg(
+    covered = anchors.where(F.col("flag").bitwiseAND(COVERED) > 0).groupBy(*ROW).agg(
         F.collect_list("place").alias("covered"))
-    starts = found.groupBy("key").agg(F.collect_set("start").alias("starts"))
-    marks = staged(covered.join(starts, "key", "full"), "repeats")
+    starts = found.groupBy(*ROW).agg(F.collect_set("start").alias("starts"))
+    marks = staged(covered.join(starts, ROW, "full").select(F.concat_ws(":", *ROW).alias("key"), "covered", "starts"), "repeats")
     return rows.join(marks, "key", "left").select("id", "text", "covered", "starts").mapInArrow(
-        _cleaned, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+        tidy(_cleaned), f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, text string"
     ).withColumnRenamed("id", id_col)

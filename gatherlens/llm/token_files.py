@@ -21,10 +21,12 @@ data bytes.  All little-endian.  ``ranks-*.bin`` holds the ids by rank (u32).
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 RANGE_BYTES = 32 << 20    # of text, on average
 BLOCK_IDS = 1 << 18       # ids of a block, unless one document has more
 ROLL_IDS = 1 << 25        # ids of a file
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 MAGIC = b"TKN1"
 
 # By control byte: the length of each of its ranks, of all four, and the places of their
@@ -69,19 +71,58 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return raw[np.minimum(at, len(data))].reshape(-1, 4).view("<u4").ravel()[:n]
 
 
+class Encoder:
+    """Ids (u32) of texts.  White space is in no id, so texts are cut into pieces at blanks
+    and line ends, and a mark after a word is a piece of its own, as for the tokenizer; each
+    distinct piece is encoded once."""
+
+    def __init__(self, source: vocab.Source):
+        self.t = vocab.loaded(source)
+        rules = json.loads(source.data)
+        split = json.dumps(rules["pre_tokenizer"]) + json.dumps(rules["normalizer"])
+        suffix = rules["model"].get("end_of_word_suffix")
+        # Cuts are those of a vocabulary of lower-case words with marked ends; else whole texts.
+        self.words = bool(suffix) and WORD_RULE in split and '"Lowercase"' in split
+        self.last = np.zeros(self.t.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.t.get_vocab(with_added_tokens=True).items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.pieces = vocab.Pieces(self._piece_ids)
+
+    def _piece_ids(self, pieces):
+        words = [p for p in pieces if LETTERS.fullmatch(p)]
+        out = dict(zip(words, vocab.encode_together(self.t, words, " ", None, self.last)))
+        other = [p for p in pieces if p not in out]
+        out.update(zip(other, [vocab.packed(e.ids) for e in self.t.encode_batch_fast(other, add_special_tokens=False)]))
+        return list(map(out.__getitem__, pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's end."""
+        if not self.words:
+            decoded = [t.decode("utf-8", "replace") for t in utf8(texts)]
+            ids = [vocab.packed(e.ids) for e in self.t.encode_batch_fast(decoded, add_special_tokens=False)]
+            return np.frombuffer(b"".join(ids), np.uint32), np.cumsum([len(x) // 4 for x in ids])
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        # Names of special tokens are the only thing that lower case changes.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        texts = pc.replace_substring_regex(texts, "([a-zà-öø-ÿ])([.,;:!?]) ", r"\1 \2 ")
+        ((ids, ends),), pieces = self.pieces.ids(pc.split_pattern(texts.cast(pa.binary()), b" "))
+        return ids, ends[pieces]
+
+
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 def _encoded(source: vocab.Source, end: int | None):
-    """Ids (u32) of every text.  White space is dropped and in no id, so blanks and line
-    ends cut texts into pieces that are encoded for themselves, each distinct one once."""
     tail = b"" if end is None else vocab.packed([end])
 
     def run(batches):
-        t = vocab.loaded(source)
-        memory = vocab.Remembered(lambda new: [vocab.packed(e.ids) for e in t.encode_batch_fast(new, add_special_tokens=False)])
+        encoder = Encoder(source)
         part, place = TaskContext.get().partitionId(), 0
         for batch in chunks(batches, "text", CHUNK):
-            pieces = [b.decode("utf-8", "replace").replace("\n", " ").split(" ") for b in utf8(batch.column("text"))]
-            known = memory.look_up(pieces)
-            ids = [b"".join([known[p] for p in ps]) + tail for ps in pieces]
+            every, ends = encoder.encode(batch.column("text"))
+            raw, ends = every.tobytes(), (4 * ends).tolist()
+            ids = [raw[a:z] + tail for a, z in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(np.full(len(ids), part), pa.int64()),
                  pa.array(np.arange(place, place + len(ids)), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -43,3 +43,14 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "source", "a b", "mix_rate", "mix_copy", "mix_order"]
     assert out.where("doc_id = 1").count() % 2 == 0
     assert M.mix_sources(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__n", "__rate", "__source", "__lo", "__cdf", "n", "row", "key", "rate", "m_source", "m_lo", "cdf", "a.b"]
+    df = spark.range(300).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", *[f"id + {i} AS `{n}`" for i, n in enumerate(names)])
+    plain = {(r["doc_id"], r["mix_copy"]) for r in M.mix_sources(df.select("doc_id", "source")).collect()}
+    rows = M.mix_sources(df).collect()
+    assert {(r["doc_id"], r["mix_copy"]) for r in rows} == plain
+    assert all(r[n] == r["doc_id"] + i for r in rows for i, n in enumerate(names))
+    dotted = df.select("doc_id", df["source"].alias("the.source"))
+    assert M.mix_sources(dotted, source="the.source").count() == len(rows)

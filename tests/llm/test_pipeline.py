@@ -54,3 +54,14 @@ def test_empty_table(spark):
 def test_run(spark):
     out = P.run(spark, SF_SMALL)
     assert out.where("NOT round_trip").count() == 0 and out.count() > 100
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "river apple window story about some words that stand in a row number "
+    df = spark.createDataFrame([(i, text + "one two three four five six " * 3 + str(i), "en", "s", 5) for i in range(3)], SCHEMA)
+    names = ["row_key", "ROW_KEY_", "__row_key", "__row", "row", "head", "key", "n", "a.b"]
+    df = staged(df.select("*", *[(F.col("doc_id") * 10 + i).alias(n) for i, n in enumerate(names)]), "t")
+    for _, stage in P.STAGES[:4]:
+        out = staged(stage(spark, df, None), "t")
+        assert out.columns == df.columns
+        assert all(r[n] == r["doc_id"] * 10 + i for r in out.collect() for i, n in enumerate(names))

@@ -53,6 +53,16 @@ def test_equals_brute_force(spark, documents):
         assert result(documents(texts).repartition(5)) == want
 
 
+def test_text_has_whole_characters(spark):
+    base = "".join(chr(97 + (i * i) % 23) for i in range(600))
+    texts = [f"one é{base}é two", f"other ĩ{base}è end"]  # the run takes a byte of each letter beside it
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(D.remove_repeats(df).collect())
+    assert [r["text"] for r in rows] == ["one  two", "other  end"]
+    assert [len(r["kept"]) for r in rows] == [r["n_bytes"] - r["n_removed"] for r in rows]
+    assert rows[0]["kept"] == b"one \xc3\xa9 two"
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = "".join(chr(97 + (i * i) % 23) for i in range(700))
     df = spark.createDataFrame([(1, t), (1, t), (None, t + "!"), (None, None)], "doc_id long, text string")
