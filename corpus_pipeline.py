@@ -7,7 +7,7 @@ and returns a DataFrame; all but the last return the columns of ``docs`` as they
 Decisions are found on short rows (no texts) and staged.  The rows that must go are then
 taken out by an anti join on a row key, which the planner broadcasts only if the staged
 table is small; else it shuffles.  Empty tables pass through; nulls and repeated rows are
-handled as the stages say.
+handled as the stages say; other columns stay as they are, whatever their names.
 """
 from __future__ import annotations
 
@@ -15,39 +15,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatherlens.llm import langid, mixing, ngram_join, pieces, secret_scan
-from gatherlens.llm.common import staged
+from gatherlens.llm.common import free_name, row_hash, staged
 
-KEY = "__row_key"
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of the whole row (128 bits), and the name of that column, which
+    no other column has."""
+    key = free_name(docs, "row_key")
+    return docs.withColumn(key, row_hash(*[F.col(f"`{c}`") for c in docs.columns])), key
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A 64-bit hash of the whole row."""
-    return docs.withColumn(KEY, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language_id(spark, docs, sf_dir):
     """Drops documents whose language can't be told (no words, noise, undecided).  The
     text model is fitted on a bounded sample of ``docs`` labelled by ``lang``."""
-    keyed = _keyed(docs)
+    keyed, key = _keyed(docs)
     model = langid.train(docs, "text", "lang")
-    found = langid.identify(keyed, model, KEY, F.col("text"), host=F.col("source"))
-    rejected = staged(found.where(~F.col("kept")).select(KEY).distinct(), "rejected")
-    return keyed.join(rejected, KEY, "left_anti").select(*docs.columns)
+    found = langid.identify(keyed, model, key, F.col("text"), host=F.col("source"))
+    rejected = staged(found.where(~F.col("kept")).select(key).distinct(), "rejected")
+    return keyed.join(rejected, key, "left_anti").select(*_columns(docs))
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Keeps one document, that of the smallest doc_id, of each component of documents
     whose 5-word shingle sets have a Jaccard of 0.8 or more.  Of rows that repeat as a
     whole one stays; documents without words have no partner."""
-    keyed = _keyed(docs).withColumn("__row", F.struct(F.col("doc_id"), F.col(KEY)))
-    groups = ngram_join.join_groups(keyed.select("__row", "text"), "__row")
-    rows = staged(groups.select(F.col(f"__row.{KEY}").alias(KEY), F.col(f"component_id.{KEY}").alias("head")), "groups")
-    others = staged(rows.where(F.col(KEY) != F.col("head")).select(KEY).distinct(), "others")
-    repeated = staged(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(KEY), "repeated")
-    kept = keyed.drop("__row").join(others, KEY, "left_anti")
-    single = kept.join(repeated, KEY, "left_anti")
-    first = kept.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
-    return single.unionByName(first).select(*docs.columns)
+    keyed, key = _keyed(docs)
+    row = F.struct(F.col("doc_id"), F.col(key).alias("key"))
+    groups = ngram_join.join_groups(keyed.select(row.alias("row"), "text"), "row")
+    rows = staged(groups.select(F.col("row.key").alias(key), F.col("component_id.key").alias("head")), "groups")
+    others = staged(rows.where(F.col(key) != F.col("head")).select(key).distinct(), "others")
+    repeated = staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
+    kept = keyed.join(others, key, "left_anti")
+    single = kept.join(repeated, key, "left_anti")
+    first = kept.join(repeated, key, "left_semi").dropDuplicates([key])
+    return single.unionByName(first).select(*_columns(docs))
 
 
 def secrets(spark, docs, sf_dir):
@@ -56,12 +61,12 @@ def secrets(spark, docs, sf_dir):
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+    return out.select(*_columns(docs))
 
 
 def mix(spark, docs, sf_dir):
     """Repeats each document by its source's Poisson rate and shuffles globally."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs).select(*_columns(docs))
 
 
 def encode(spark, docs, sf_dir):
