@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from gatherlens.session import _conf
 
 CHUNK_BYTES = 4 << 20
+RELEASE_BYTES = 4 << 20   # smaller groups leave little to release
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,7 +89,8 @@ def tidy(run):
         try:
             return run(table)
         finally:
-            release()
+            if table.nbytes > RELEASE_BYTES:
+                release()
 
     def cogrouped(left: pa.Table, right: pa.Table) -> pa.Table:
         try:

@@ -7,7 +7,7 @@ each holds at least 80 % of shingles that the other has too.
 1. Shared shingles.  Each task cuts its distinct sets into runs, sorts a run's shingles
    and sends, per range of hashes, one packed block: a shingle of one set with that set,
    a shingle of several sets of the run once, as a mark (its sets are known to share it
-   and are dealt by set and run, not by the shingle).  A range's task thus gets one entry per shingle and run,
+   and go on in parts of the run, not by the shingle).  A range's task thus gets one entry per shingle and run,
    however many documents share it.  Sets with less than 80 % of shared shingles link
    with nothing and go; this is the prefix filter for an order that puts shingles of one
    set first.
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from gatherlens.llm.common import chunks, hash_words, mix, staged, tidy, utf8, windows
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
+PART = 1 << 17               # entries of a row that goes on without merging
 CHUNK = 1 << 20              # bytes of text whose words a task holds
 RUN_SHINGLES = 1 << 19       # shingles a task sorts at a time
 RANGE_SHINGLES = 1 << 19     # shingles of a range, on average
@@ -103,14 +104,13 @@ BLOCK = "bucket long, mark boolean, shingles binary, known binary, which binary"
 
 
 def _blocks(ranges: int):
-    def rows(shingles, sids, mark, place):
+    def rows(shingles, sids, mark):
         if not len(shingles):
             return []
-        bucket = ((place >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        bucket = ((shingles >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         heads = np.concatenate([[0], cuts])
-        offset = ranges if mark is None else 0
-        return [(int(bucket[h]) + offset, mark, *pack(a, b))
+        return [(int(bucket[h]), mark, *pack(a, b))
                 for h, a, b in zip(heads, np.split(shingles, cuts), np.split(sids, cuts))]
 
     def flush(run, number):
@@ -123,13 +123,14 @@ def _blocks(ranges: int):
         last = np.append(new[1:], True)
         many = ~(new & last)
         heads = many & new
-        out = rows(shingles[~many], sids[~many], False, shingles[~many])
-        out += rows(shingles[heads], sids[heads], True, shingles[heads])
+        out = rows(shingles[~many], sids[~many], False)
+        out += rows(shingles[heads], sids[heads], True)
         # Known to be shared: nothing to merge, so they are dealt by set and run.
         shingles, sids = shingles[many], sids[many]
-        place = mix(sids.view(np.uint64) ^ mix(np.uint64([number])))
-        order = np.argsort(place, kind="stable")
-        out += rows(shingles[order], sids[order], None, place[order])
+        order = np.argsort(sids, kind="stable")
+        shingles, sids = shingles[order], sids[order]
+        for i, a in enumerate(range(0, len(sids), PART)):
+            out.append((-1 - (number * RUN_SHINGLES + i), None, *pack(shingles[a:a + PART], sids[a:a + PART])))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary(),
                                                                       pa.binary()))],
@@ -137,7 +138,7 @@ def _blocks(ranges: int):
 
     def run_all(batches):
         run, held = {}, 0
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 20
         for batch in chunks(batches, "text", CHUNK):
             for s in shingle_sets(batch):
                 if not len(s):
@@ -156,7 +157,8 @@ def _blocks(ranges: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of a range's blocks: (sid, shingles) of the entries shared by several sets."""
+    """Of a range's blocks: the entries shared by several sets, as rows of two lists (sids,
+    shingles) of the same length."""
     parts, marks = [], []
     for r in table.to_pylist():
         a, b = unpack(r["shingles"], r["known"], r["which"])
@@ -164,6 +166,8 @@ def _shared(table: pa.Table) -> pa.Table:
         marks.append(np.full(len(a), 2 if r["mark"] is None else int(r["mark"]), np.int8))
     shingles, sids = (np.concatenate(x) for x in zip(*parts))
     marks = np.concatenate(marks)
+    if marks[0] == 2:  # all of them known to be shared
+        return _listed(sids, shingles)
     # One entry for each shingle, set and kind: copies of a set come from several runs.
     order = np.lexsort((marks, sids, shingles))
     shingles, sids, marks = shingles[order], sids[order], marks[order]
@@ -177,10 +181,13 @@ def _shared(table: pa.Table) -> pa.Table:
     keep = np.repeat((sizes >= 2) | marked, sizes) & (marks != 1)
     shingles, sids = shingles[keep], sids[keep]
     order = np.argsort(sids, kind="stable")
-    shingles, sids = shingles[order], sids[order]
-    heads = np.flatnonzero(np.diff(sids, prepend=sids[:1] - 1 if len(sids) else 0) != 0) if len(sids) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(sids)), pa.int32()), pa.array(shingles.view(np.int64)))
-    return pa.table({"sid": pa.array(sids[heads], pa.int64()), "shingles": lists})
+    return _listed(sids[order], shingles[order])
+
+
+def _listed(sids: np.ndarray, shingles: np.ndarray) -> pa.Table:
+    cuts = pa.array(np.append(np.arange(0, len(sids), PART), len(sids)), pa.int32())
+    return pa.table({"sids": pa.ListArray.from_arrays(cuts, pa.array(sids, pa.int64())),
+                     "shingles": pa.ListArray.from_arrays(cuts, pa.array(shingles.view(np.int64)))})
 
 
 def needed(n: int) -> int:
@@ -278,12 +285,12 @@ def link_sets(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> tuple[Dat
     total = classes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-int(total) // RANGE_SHINGLES))
     shared = staged(docs.select("text").mapInArrow(_blocks(ranges), BLOCK).groupBy("bucket").applyInArrow(
-        tidy(_shared), "sid long, shingles array<long>"), "shared")
-    # A set's pieces may repeat shingles, so their number is an upper bound: it prunes.
-    held = staged(shared.groupBy("sid").agg(F.sum(F.size("shingles")).alias("held")).join(
+        tidy(_shared), "sids array<long>, shingles array<long>"), "shared")
+    # A set's copies may repeat shingles, so their number is an upper bound: it prunes.
+    held = staged(shared.select(F.explode("sids").alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("held")).join(
         classes.select("sid", "n"), "sid").where(f"100 * held >= {PERCENT} * n").select("sid", "n"), "likely")
-    tokens = staged(shared.select("sid", F.explode("shingles").alias("shingle")).join(held.select("sid"), "sid").distinct(),
-                    "tokens")
+    entries = shared.select(F.inline(F.arrays_zip("sids", "shingles"))).select(F.col("sids").alias("sid"), F.col("shingles").alias("shingle"))
+    tokens = staged(entries.join(held.select("sid"), "sid").distinct(), "tokens")
     df = staged(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
     counted = tokens.join(df, "shingle").groupBy("sid").agg(F.collect_list("shingle").alias("shingles"),
                                                             F.collect_list("df").alias("df"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherlens.llm.common import chunks, mix
+from gatherlens.llm.common import chunks, mix, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
@@ -379,8 +379,14 @@ def decode_ids(ids: list[int], texts: list[bytes]) -> str:
 
 def _encoded(v: Vocabulary, k: int, verify: bool):
     def run(batches):
+        try:
+            yield from encoded(batches)
+        finally:
+            release()
+
+    def encoded(batches):
         m = Matcher(v)
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 19):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("key").to_pylist()
             seeds = np.array([int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "little")

@@ -145,22 +145,20 @@ TUPLE, MARK, CLEAR = 0, 1, 2  # to be merged; known to be several; already decid
 COVERED, OPEN = 1, 2
 
 
-def _blocks(kind, ranges, codes, contexts, keys, places, salt=np.uint64(0)):
+def _blocks(kind, ranges, codes, contexts, keys, places, run=0):
     """Block rows of sorted tuples, one for each range of codes."""
     if not len(codes):
         return []
-    if kind == CLEAR:  # nothing to merge: dealt by document and run, not by the code
-        place = mix(mix(keys["a"] + salt) ^ keys["b"])
-        order = np.argsort(place, kind="stable")
-        place, codes, contexts, keys, places = (x[order] for x in (place, codes, contexts, keys, places))
+    if kind == CLEAR:  # nothing to merge: parts of the run, each in a bucket of its own
+        heads = np.arange(0, len(codes), RANGE)
+        bucket = np.repeat(-1 - (run * RUN + np.arange(len(heads))), RANGE)[:len(codes)]
     else:
-        place = codes
-    bucket = ((place >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    heads = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+        bucket = ((codes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
     out = []
     for a, z in zip(heads.tolist(), np.append(heads[1:], len(codes)).tolist()):
         known, which = _numbered(keys[a:z])
-        out.append((int(bucket[a]) + (ranges if kind == CLEAR else 0), kind,
+        out.append((int(bucket[a]), kind,
                     _planes(np.diff(codes[a:z], prepend=np.uint64(0))), contexts[a:z].tobytes(), known.tobytes(),
                     _planes(which.astype(np.uint32)), _planes(places[a:z].astype(np.uint64))))
     return out
@@ -199,9 +197,9 @@ def _groups(*columns):
 
 
 def _runs(batches, make, most, close):
-    """Gathers tuples of texts into runs of about ``most`` and closes each with a salt."""
+    """Gathers tuples of texts into runs of about ``most`` and closes each with its number."""
     held, n = [], 0
-    salts = (mix(np.uint64([i]))[0] for i in itertools.count(TaskContext.get().partitionId() << 32))
+    numbers = itertools.count(TaskContext.get().partitionId() << 20)
     for batch in chunks(batches, "text", CHUNK):
         keys = np.array([tuple(map(int, k.split(":"))) for k in batch.column("key").to_pylist()], SIGNED).view(KEY)
         for i, text in enumerate(utf8(batch.column("text"))):
@@ -212,14 +210,14 @@ def _runs(batches, make, most, close):
                 held.append((a, b, np.repeat(keys[i:i + 1], len(a)), place))
                 n += len(a)
             if n >= most:
-                yield close(*[np.concatenate(x) for x in zip(*held)], next(salts))
+                yield close(*[np.concatenate(x) for x in zip(*held)], next(numbers))
                 held, n = [], 0
     if held:
-        yield close(*[np.concatenate(x) for x in zip(*held)], next(salts))
+        yield close(*[np.concatenate(x) for x in zip(*held)], next(numbers))
 
 
 def _anchor_blocks(ranges):
-    def close(grams, contexts, keys, places, salt):
+    def close(grams, contexts, keys, places, number):
         order = np.lexsort((contexts, grams))
         grams, contexts, keys, places = grams[order], contexts[order], keys[order], places[order]
         class_at, class_size = _groups(grams, contexts)
@@ -228,7 +226,7 @@ def _anchor_blocks(ranges):
         flag = np.repeat(np.where(class_size > 1, COVERED, 0), class_size)
         flag[class_at[mixed]] |= OPEN
         clear = flag > 0
-        rows = _blocks(CLEAR, ranges, grams[clear], flag[clear].astype(np.uint64), keys[clear], places[clear], salt)
+        rows = _blocks(CLEAR, ranges, grams[clear], flag[clear].astype(np.uint64), keys[clear], places[clear], number)
         one, heads = class_at[~mixed], class_at[gram_at[gram_classes > 1]]
         rows += _blocks(TUPLE, ranges, grams[one], contexts[one], keys[one], places[one])
         return _batch(rows + _blocks(MARK, ranges, grams[heads], contexts[heads], keys[heads], places[heads]))
@@ -267,13 +265,13 @@ def _merged_anchors(table: pa.Table) -> pa.Table:
 
 
 def _string_blocks(ranges):
-    def close(codes, none, keys, places, salt):
+    def close(codes, none, keys, places, number):
         order = np.argsort(codes, kind="stable")
         codes, none, keys, places = codes[order], none[order], keys[order], places[order]
         at, size = _groups(codes)
         many = np.repeat(size > 1, size)
         heads = at[size > 1]
-        rows = _blocks(CLEAR, ranges, codes[many], none[many], keys[many], places[many], salt)
+        rows = _blocks(CLEAR, ranges, codes[many], none[many], keys[many], places[many], number)
         rows += _blocks(TUPLE, ranges, codes[~many], none[~many], keys[~many], places[~many])
         return _batch(rows + _blocks(MARK, ranges, codes[heads], none[heads], keys[heads], places[heads]))
 
