@@ -12,7 +12,12 @@ log conditional probabilities (``NaiveBayesModel.theta``), without a model.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import NaiveBayesModel, OneVsRestModel
+from pyspark.ml.feature import CountVectorizerModel, VectorSlicer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the reference: smoothing of the naive Bayes model and the
@@ -39,6 +44,33 @@ def nb_term_weights(features: DataFrame, labels: DataFrame, alpha: float = ALPHA
     return obs.join(total, "label").select("label", "term", weight.alias("weight"))
 
 
+def fitted_term_weights(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """M6 of a fitted linear pipeline: (label, term, weight), ``label`` the class number.
+
+    Naive Bayes gives the log conditional probabilities, one-vs-rest models the
+    coefficients of each class against the rest, a binary linear model those of class 1.
+    Weights are led back through the selector to the vocabulary.  There is a row for every
+    class and selected term (at most the selector's k, or the vocabulary's size).
+    """
+    last = model.stages[-1]
+    terms = np.array(next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary, dtype=object)
+    for s in model.stages:
+        if isinstance(s, VectorSlicer):
+            terms = terms[s.getIndices()]
+    if isinstance(last, NaiveBayesModel):
+        rows = last.theta.toArray()
+    elif isinstance(last, OneVsRestModel):
+        rows = np.vstack([m.coefficients.toArray() for m in last.models])
+    elif hasattr(last, "coefficients"):
+        rows = last.coefficients.toArray()[None, :]
+    else:
+        raise ValueError(f"{type(last).__name__} has no weights of terms")
+    labels = range(len(rows)) if len(rows) > 1 else [1]
+    frame = pd.DataFrame({"label": np.repeat(np.array(labels, np.int32), rows.shape[1]), "term": np.tile(terms, len(rows)),
+                          "weight": rows.ravel()})
+    return spark.createDataFrame(frame, "label int, term string, weight double")
+
+
 def top_terms(weights: DataFrame, n: int = TOP_TERMS) -> DataFrame:
     """The n heaviest terms per class, ``rank`` 1 = heaviest (ties by term).
 

@@ -3,8 +3,8 @@
 ``exact_median`` cuts the value range at a fixed number of global cut points (quantiles
 of all values, put into the plan as constants), counts the rows of each key and bucket,
 and finds the bucket that holds the key's middle rank from running sums of those counts.
-Only the rows of that bucket are ranked, and not even they where its smallest value
-equals its largest, so a hot key's equal values are never gathered.
+Only that bucket is ranked, by its distinct values and their counts, and not even they
+where its smallest value equals its largest, so a hot key's equal values are never gathered.
 
 The cut points only decide how rows are dealt: with any cut points the result is exact,
 and nothing depends on partition ids or on a materialised order, so a recomputation
@@ -55,9 +55,11 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, buckets: int =
     wide = middle.filter("least < most").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("b").alias("_b"),
                                                 "before", "lo", "hi")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("b") == F.col("_b"))
-    inside = v.join(wide, same).select(*keys, "b", "v", "before", "lo", "hi")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "b").orderBy("v")) - 1
-    inside = inside.withColumn("rank", rank).select(*keys, F.col("v").alias("least"), share(F.col("rank"), F.lit(1)).alias("times"))
+    # Equal values are counted before they meet: a bucket is ranked by its distinct values.
+    inside = v.join(wide, same).groupBy(*keys, "b", "v", "before", "lo", "hi").agg(F.count(F.lit(1)).alias("c"))
+    less = F.sum("c").over(Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    inside = inside.withColumn("rank", F.col("before") + F.coalesce(less, F.lit(0))).select(
+        *keys, F.col("v").alias("least"), share(F.col("rank"), F.col("c")).alias("times"))
     both = flat.unionByName(inside.filter("times > 0"))
     return both.groupBy(*keys).agg((F.sum(F.col("least") * F.col("times")) / 2).alias("median"))
 

@@ -411,9 +411,10 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', ts) AS time,
        {_clean('event_type')} AS name, {_clean('props')} AS description
 FROM events"""
 
-_CITIES = ("BRAZIL", "CANADA", "CHINA", "FRANCE", "GERMANY", "INDIA", "JAPAN", "UNITED STATES")
+_CITIES = ("NATION_0", "NATION_3", "NATION_6", "NATION_9", "NATION_12", "NATION_15", "NATION_18", "NATION_21")
 ORACLE["topic_city_pivot"] = _with(CT, "SELECT topic, " + ", ".join(
     f"CAST(coalesce(sum(n) FILTER (WHERE city = '{c}'), 0) AS BIGINT) AS \"{c}\"" for c in _CITIES)
+    + f", CAST(coalesce(sum(n) FILTER (WHERE coalesce(city NOT IN {_CITIES}, true)), 0) AS BIGINT) AS other"
     + " FROM ct GROUP BY topic")
 
 _ALL_CITIES = tuple(f"NATION_{i}" for i in range(25))
@@ -471,7 +472,8 @@ FROM orders"""
 
 ORACLE["occurrence_yearly_pivot"] = _with(ETI, f"""
 SELECT {US} AS city, topic,
-  {', '.join(f'count(*) FILTER (WHERE year = {y}) AS y{y}' for y in range(2010, 2031))}
+  {', '.join(f'count(*) FILTER (WHERE year = {y}) AS y{y}' for y in range(2010, 2031))},
+  count(*) FILTER (WHERE year NOT BETWEEN 2010 AND 2030) AS other_years
 FROM eti GROUP BY GROUPING SETS ((city, topic), (topic))""")
 
 ORACLE["occurrence_hourly_pivot"] = _with(ETI, f"""
@@ -483,12 +485,17 @@ ORACLE["occurrence_months"] = _with(ETI, """
 SELECT year, CAST(month(local_time) AS INTEGER) AS month, count(*) AS n FROM eti
 WHERE year BETWEEN 2015 AND 2024 GROUP BY ALL""")
 
+ORACLE["occurrence_all_months"] = _with(ETI, """
+SELECT year, CAST(month(local_time) AS INTEGER) AS month, count(*) AS n FROM eti GROUP BY ALL""")
+
 ORACLE["occurrence_round_trip"] = _with(ETI, f"""
 SELECT {US} AS city, topic, weekday AS bucket, count(*) AS n FROM eti
 GROUP BY GROUPING SETS ((city, topic, weekday), (topic, weekday))""")
 
 ORACLE["city_topic_round_trip"] = _with(ETI, """
-SELECT event_id, city, topic, year, hour FROM eti WHERE city = 'CHINA' AND topic = 'BUILDING 2'""")
+SELECT event_id, city, topic, year, hour FROM eti
+WHERE city = (SELECT min(city) FROM eti)
+  AND topic = (SELECT min(topic) FROM eti WHERE city = (SELECT min(city) FROM eti))""")
 
 ORACLE["city_topic_round_trip_whole"] = _with(ETI, "SELECT event_id, city, topic, year, hour FROM eti")
 
@@ -497,12 +504,12 @@ sub AS (SELECT city, topic, count(*) AS n FROM eti
         WHERE city IN (SELECT n_name FROM nation WHERE n_regionkey = 2) GROUP BY city, topic)""", """
 SELECT city, topic, n, round(n * 100.0 / sum(n) OVER (PARTITION BY city), 6) AS pct FROM sub""")
 
-ORACLE["event_scatter_years"] = ORACLE["event_scatter"] + " WHERE year IN (2023, 2024)"
+ORACLE["event_scatter_years"] = ORACLE["event_scatter"] + " WHERE year = 2024"
 
 ORACLE["frequent_venues_cut"] = _with(VENUES, """
 SELECT city, venue_id, group_id, lat, lon, topic, host_num FROM gvi WHERE host_num > 3""")
 
-ORACLE["city_venues_round_trip"] = _with(VENUES, "SELECT * FROM freq WHERE city = 'CHINA'")
+ORACLE["city_venues_round_trip"] = _with(VENUES, "SELECT * FROM freq WHERE city = (SELECT min(city) FROM freq)")
 
 ORACLE["city_venues_round_trip_whole"] = _with(VENUES, "SELECT * FROM freq")
 
@@ -528,6 +535,8 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, date_trunc('second', ts) AS time,
        CAST(nullif(CAST(trunc(value) AS BIGINT), 0) AS INTEGER) AS rating_count, user_id AS group_id
 FROM events"""
 
+ORACLE["rechunked_first_events"] = ORACLE["rechunked_events"] + " QUALIFY row_number() OVER (ORDER BY event_id) <= 3000"
+
 ORACLE["metrics_round_trip"] = _with(SWEEP, """
 SELECT CAST(2 AS INTEGER) AS topic_num, task || '/' || model AS model, round(f1, 6) AS f1, round(acc, 6) AS acc FROM sweep""")
 

@@ -87,15 +87,18 @@ def occurrence_daily_pivot(spark, sf_dir):
     return O.bucket_pivot(daily, ["city", "topic"], "weekday", range(7), names)
 
 
-# The years and hours of the pivots' columns: parameters, so that no job looks for them.
+# The years of the pivot's columns: a parameter, so that no job looks for them.
 YEARS = range(2010, 2031)
+OTHER_YEAR = -1
 
 
 @query
 def occurrence_yearly_pivot(spark, sf_dir):
-    """A10: the yearly table pivoted to one column per year of YEARS, missing years = 0."""
+    """A10: the yearly table pivoted to one column per year of YEARS and one for all other
+    years, missing years = 0, so that every event is in one cell."""
     yearly = O.occurrence(_eti(spark, sf_dir), "year")
-    return O.bucket_pivot(yearly, ["city", "topic"], "year", YEARS, [f"y{y}" for y in YEARS])
+    yearly = yearly.withColumn("year", F.when(F.col("year").isin(*YEARS), F.col("year")).otherwise(OTHER_YEAR))
+    return O.bucket_pivot(yearly, ["city", "topic"], "year", [*YEARS, OTHER_YEAR], [*[f"y{y}" for y in YEARS], "other_years"])
 
 
 @query
@@ -112,6 +115,12 @@ def occurrence_months(spark, sf_dir):
     return eti.groupBy("year", X.month("local_time").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def occurrence_all_months(spark, sf_dir):
+    """Events per local year and month, of all years."""
+    return _eti(spark, sf_dir).groupBy("year", X.month("local_time").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def occurrence_round_trip(spark, sf_dir):
     """S15 + S17: the occurrence table written by grain, the daily grain read back."""
@@ -122,11 +131,12 @@ def occurrence_round_trip(spark, sf_dir):
 
 @query
 def city_topic_round_trip(spark, sf_dir):
-    """Event times written by (city, topic), one folder read back."""
+    """Event times written by (city, topic), the first city's first topic read back."""
     path = scratch_dir(spark, "city-topic")
     eti = _eti(spark, sf_dir)
     SK.write_city_topic(eti.select("event_id", "city", "topic", "year", "hour"), path)
-    return SK.read_city_topic(spark, path, "CHINA", "BUILDING 2").select("event_id", "city", "topic", "year", "hour")
+    city, topic = eti.agg(F.min(F.struct("city", "topic")).alias("first")).select("first.*").first() or (None, None)
+    return SK.read_city_topic(spark, path, city, topic).select("event_id", "city", "topic", "year", "hour")
 
 
 @query
@@ -179,13 +189,19 @@ def distinct_topics(spark, sf_dir):
 
 
 # The cities that become columns; a parameter, so that no job looks for them.
-PIVOT_CITIES = ("BRAZIL", "CANADA", "CHINA", "FRANCE", "GERMANY", "INDIA", "JAPAN", "UNITED STATES")
+PIVOT_CITIES = ("NATION_0", "NATION_3", "NATION_6", "NATION_9", "NATION_12", "NATION_15", "NATION_18", "NATION_21")
 
 
 @query
 def topic_city_pivot(spark, sf_dir):
-    """Events per topic, one column per city of PIVOT_CITIES (missing = 0)."""
-    return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir)), PIVOT_CITIES)
+    """Events per topic, one column per city of PIVOT_CITIES and one for all other
+    cities (missing = 0)."""
+    return _city_pivot(spark, sf_dir, PIVOT_CITIES)
+
+
+def _city_pivot(spark, sf_dir, cities):
+    city = F.when(F.col("city").isin(*cities), F.col("city")).otherwise(F.lit("other"))
+    return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir).withColumn("city", city)), (*cities, "other"))
 
 
 # All cities of the driver's nation table.
@@ -196,8 +212,7 @@ ALL_CITIES = tuple(f"NATION_{i}" for i in range(25))
 def topic_all_cities_pivot(spark, sf_dir):
     """Events per topic, one column per city of ALL_CITIES and one for any other
     city (missing = 0), so that every event is in one cell."""
-    city = F.when(F.col("city").isin(*ALL_CITIES), F.col("city")).otherwise(F.lit("other"))
-    return O.topic_city_pivot(O.city_topic_counts(_eti(spark, sf_dir).withColumn("city", city)), (*ALL_CITIES, "other"))
+    return _city_pivot(spark, sf_dir, ALL_CITIES)
 
 
 @query
@@ -228,8 +243,9 @@ def event_scatter(spark, sf_dir):
 
 @query
 def event_scatter_years(spark, sf_dir):
-    """R4 + F7: the scatter of the years 2023 and 2024 only."""
-    return rounded(O.event_scatter(_eti(spark, sf_dir), years=(2023, 2024)), "time_of_day")
+    """R4 + F7: the scatter of the local year 2024 only (events around New Year are of
+    either year, by their zone)."""
+    return rounded(O.event_scatter(_eti(spark, sf_dir), years=(2024,)), "time_of_day")
 
 
 def _hourly(spark, sf_dir):
@@ -288,10 +304,11 @@ def frequent_venues_cut(spark, sf_dir):
 
 @query
 def city_venues_round_trip(spark, sf_dir):
-    """S16 + S17: frequent venues written by city, one city read back."""
+    """S16 + S17: frequent venues written by city, the first city read back."""
     path = scratch_dir(spark, "city-venues")
     SK.write_by_city(V.frequent_venues(_gvi(spark, sf_dir), min_hosts=MIN_HOSTS), path)
-    return SK.read_city(spark, path, "CHINA").select("city", "venue_id", "group_id", "lat", "lon", "topic", "host_num")
+    city = spark.read.parquet(path).agg(F.min("city")).scalar()
+    return SK.read_city(spark, path, city).select("city", "venue_id", "group_id", "lat", "lon", "topic", "host_num")
 
 
 @query
@@ -424,6 +441,18 @@ def top_terms(spark, sf_dir):
     return rounded(_top_terms(spark, sf_dir), "weight")
 
 
+@query
+def top_terms_fitted(spark, sf_dir):
+    """M6: the 25 heaviest terms of each language, read from the fitted pipeline."""
+    corpora = C.topic_corpora(_corpus(spark, sf_dir), (20,)).filter(F.col("split") == "train")
+    train = materialize(corpora.select("doc_id", "text", "topic", F.col("label").cast("double").alias("label")))
+    model = ML.build_pipeline("MNB", params={"alpha": I.ALPHA}).fit(train)
+    names = train.select(F.col("label").cast("int").alias("number"), F.col("topic").alias("name")).distinct()
+    weights = I.fitted_term_weights(spark, model).join(names, F.col("label") == F.col("number")).select(
+        F.col("name").alias("label"), "term", F.round("weight", 12).alias("weight"))
+    return rounded(I.top_terms(weights, I.TOP_TERMS), "weight")
+
+
 @query
 def lemma_weights(spark, sf_dir):
     """M7: keyword weights of each language merged by a lemma table."""
@@ -621,6 +650,22 @@ def topic_sweep(spark, sf_dir):
     return rounded(out, "f1", "f1_by_prediction", "acc")
 
 
+@query
+def stored_models_sweep(spark, sf_dir):
+    """A26 + S20: naive Bayes of the top 5/10/15/20 topics and an SVM of the top 5, saved,
+    loaded, and scored against the validation set of their number of topics (topic := source)."""
+    corpora = C.topic_corpora(_corpus(spark, sf_dir, "source"))
+    data = materialize(corpora.select("topic_n", "doc_id", "text", F.col("label").cast("double").alias("label"), "split"))
+    folder, registry = scratch_dir(spark, "models"), []
+    for n in C.TOPIC_NS:
+        train = data.filter((F.col("topic_n") == n) & (F.col("split") == "train"))
+        for path, kind, model in ML.fit_family(train, ("MNB", "SVC") if n == min(C.TOPIC_NS) else ("MNB",)):
+            SK.save_model(model, f"{folder}/{n}/{path}")
+            registry.append((n, kind, f"{folder}/{n}/{path}"))
+    sets = {n: data.filter((F.col("topic_n") == n) & (F.col("split") == "test")) for n in C.TOPIC_NS}
+    return rounded(ML.score_stored(registry, sets), "f1", "f1_by_prediction", "acc")
+
+
 # --------------------------------------------------------------------------- #
 # Sources
 
@@ -680,6 +725,16 @@ def rechunked_events(spark, sf_dir):
     return E.load_entity(spark, base, "event").select("event_id", "time", "rating_count", "group_id")
 
 
+@query
+def rechunked_first_events(spark, sf_dir):
+    """S8 + T10 + S1: the first 3,000 raw event lines in file order, copied into gzip files of
+    200 lines, then loaded (the limit is the feature)."""
+    base = scratch_dir(spark, "raw")
+    S.raw_event_lines(spark, sf_dir).orderBy(F.get_json_object("value", "$.id").cast("long")).write.text(f"{base}/lines")
+    E.rechunk_lines(spark, f"{base}/lines", f"{base}/events", max_num=3000)
+    return E.load_entity(spark, base, "event").select("event_id", "time", "rating_count", "group_id")
+
+
 @query
 def metrics_round_trip(spark, sf_dir):
     """The sweep's scores written as CSV and read back."""

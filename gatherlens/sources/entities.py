@@ -22,13 +22,14 @@ Parsing rules (the reference's, with its failure cases made total):
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatherlens.functions import scalars as X
 from gatherlens.functions.text import clean_text
 from gatherlens.operators.corpus import category_topics
+from gatherlens.session import materialize
 from gatherlens.sources import schemas as SC
 
 ENTITY_DIRS = {"group": "groups", "event": "events", "venue": "venues", "rsvp": "rsvps"}
@@ -182,15 +183,26 @@ def load_entity(spark: SparkSession, data_dir: str, entity: str,
 
 def rechunk_lines(spark: SparkSession, src: str, dest: str, part_num: int = 200,
                   max_num: int | None = None) -> None:
-    """Copy JSON lines into gzip files of ``part_num`` lines each.
-
-    Everything is copied; ``max_num`` asks for a sample of the first lines.  Gzip files cannot be split by a reader, so
-    many small gzip files are what lets a later scan run in parallel.
+    """S8 + T10: copy JSON lines, in order of file name and line, into gzip files of
+    ``part_num`` lines each (the last may have fewer); ``max_num`` copies the first lines only.
+
+    Every line gets its number: a scan reads a split's lines in order, so a line's place in
+    its split is the difference of row ids, and the splits' lines before it are a running sum
+    over one short row per split.  Lines are dealt by the number of their file, so no task
+    gets more than its files.  Gzip files cannot be split by a reader, so many small gzip
+    files are what lets a later scan run in parallel.
     """
-    lines = spark.read.text(src)
+    split = ["path", "start"]
+    lines = spark.read.text(src).select("value", F.monotonically_increasing_id().alias("row"),
+                                        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    sizes = lines.groupBy(*split).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = materialize(sizes.select(*split, "first", before.alias("before")))
+    number = F.col("before") + F.col("row") - F.col("first")
+    lines = lines.join(sizes, split).select("value", number.alias("line"))
     if max_num is not None:
-        lines = lines.limit(max_num)
-    (lines.write.mode("overwrite")
-          .option("maxRecordsPerFile", part_num)
-          .option("compression", "gzip")
-          .text(dest))
+        lines = lines.filter(F.col("line") < max_num)
+    lines = lines.withColumn("file", F.floor(F.col("line") / part_num))
+    # A task writes its files one after another; all but the last are full, so none is mixed.
+    (lines.repartition("file").sortWithinPartitions("file", "line").select("value")
+          .write.mode("overwrite").option("maxRecordsPerFile", part_num).option("compression", "gzip").text(dest))

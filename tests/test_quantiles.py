@@ -44,3 +44,15 @@ def test_any_cut_points_give_the_same_medians(spark):
         for part in (1, 7):
             got = {r.k: r.median for r in Q.exact_median(df.repartition(part), ["k"], "v", cuts=cuts).collect()}
             assert got == want
+
+
+def test_a_hot_value_beside_rare_ones_is_one_row_of_a_task(spark):
+    rows = [("k", 5.0)] * 4000 + [("k", float(i)) for i in range(6000)] + [("k", 5.25), ("k", 4.75)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    out = Q.exact_median(df, ["k"], "v", cuts=[0.0, 4.5, 5.5])  # 5.0 shares its bucket with rare values
+    assert out.first()["median"] == float(np.median([v for _, v in rows]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    wide = [("k", 5.0)] * 4000 + [("k", 4.75)] * 1500 + [("k", 5.25)] * 3000
+    out = Q.exact_median(spark.createDataFrame(wide, "k string, v double"), ["k"], "v", cuts=[4.5, 5.5])
+    assert out.first()["median"] == 5.0

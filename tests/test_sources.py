@@ -173,6 +173,34 @@ def test_rechunk(spark, tmpdir_path):
     assert spark.read.text(out).count() == 20
 
 
+def test_rechunk_keeps_the_order_of_files_and_lines(spark, tmpdir_path):
+    import gzip
+    src = os.path.join(tmpdir_path, "raw")
+    os.makedirs(src)
+    every = []
+    for f in range(4):
+        rows = [json.dumps({"file": f, "line": i, "pad": "x" * (i % 50)}) for i in range(130 + f)]
+        every += rows
+        with open(os.path.join(src, f"part-{f}.json"), "w") as out:
+            out.write("\n".join(rows) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")  # several splits a file
+    try:
+        for most in (None, 300, 7):
+            out = os.path.join(tmpdir_path, f"out-{most}")
+            E.rechunk_lines(spark, src, out, part_num=40, max_num=most)
+            want = every[:most]
+            files = []
+            for f in os.listdir(out):
+                if f.endswith(".gz"):
+                    with gzip.open(os.path.join(out, f), "rt") as g:
+                        files.append(g.read().splitlines())
+            files.sort(key=lambda x: want.index(x[0]))
+            assert files == [want[i:i + 40] for i in range(0, len(want), 40)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_city_topic_and_corpus_sinks(spark, tmpdir_path):
     eti = spark.createDataFrame([("e1", "NYC", "tech", 2024), ("e2", "NYC", "food", 2024),
                                  ("e3", "LA", "tech", 2023)],
