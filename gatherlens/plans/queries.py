@@ -650,22 +650,6 @@ def topic_sweep(spark, sf_dir):
     return rounded(out, "f1", "f1_by_prediction", "acc")
 
 
-@query
-def stored_models_sweep(spark, sf_dir):
-    """A26 + S20: naive Bayes of the top 5/10/15/20 topics and an SVM of the top 5, saved,
-    loaded, and scored against the validation set of their number of topics (topic := source)."""
-    corpora = C.topic_corpora(_corpus(spark, sf_dir, "source"))
-    data = materialize(corpora.select("topic_n", "doc_id", "text", F.col("label").cast("double").alias("label"), "split"))
-    folder, registry = scratch_dir(spark, "models"), []
-    for n in C.TOPIC_NS:
-        train = data.filter((F.col("topic_n") == n) & (F.col("split") == "train"))
-        for path, kind, model in ML.fit_family(train, ("MNB", "SVC") if n == min(C.TOPIC_NS) else ("MNB",)):
-            SK.save_model(model, f"{folder}/{n}/{path}")
-            registry.append((n, kind, f"{folder}/{n}/{path}"))
-    sets = {n: data.filter((F.col("topic_n") == n) & (F.col("split") == "test")) for n in C.TOPIC_NS}
-    return rounded(ML.score_stored(registry, sets), "f1", "f1_by_prediction", "acc")
-
-
 # --------------------------------------------------------------------------- #
 # Sources
 
