@@ -39,7 +39,8 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 RANGE_BYTES = 32 << 20    # of text, on average
 BLOCK_IDS = 1 << 18       # ids of a block, unless one document has more
 ROLL_IDS = 1 << 25        # ids of a file
-CHUNK = 1 << 22
+CHUNK = 1 << 23
+REMEMBERED = 3 << 18     # pieces whose ids a worker keeps, from task to task
 MAGIC = b"TKN1"
 
 # By control byte: the length of each of its ranks, of all four, and the places of their
@@ -86,7 +87,7 @@ class Encoder:
         self.last = np.zeros(self.t.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.t.get_vocab(with_added_tokens=True).items():
             self.last[i] = bool(suffix) and token.endswith(suffix)
-        self.pieces = vocab.Pieces(self._piece_ids)
+        self.pieces = vocab.Pieces(self._piece_ids, REMEMBERED)
 
     def _piece_ids(self, pieces):
         words = [p for p in pieces if LETTERS.fullmatch(p)]
@@ -113,11 +114,22 @@ WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+_ENCODERS: dict = {}
+
+
+def _encoder(source: vocab.Source) -> Encoder:
+    """The encoder of a tokenizer; once per worker, with the pieces that it has met."""
+    key = source.key()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(source)
+    return _ENCODERS[key]
+
+
 def _encoded(source: vocab.Source, end: int | None):
     tail = b"" if end is None else vocab.packed([end])
 
     def run(batches):
-        encoder = Encoder(source)
+        encoder = _encoder(source)
         part, place = TaskContext.get().partitionId(), 0
         for batch in chunks(batches, "text", CHUNK):
             every, ends = encoder.encode(batch.column("text"))
