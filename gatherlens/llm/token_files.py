@@ -6,9 +6,10 @@ that a block is coded and decoded by table lookups in numpy: a control byte give
 lengths of its four ranks, and the places of their bytes.
 
 1. Texts are dealt by ranges of doc_id, sorted, and encoded in that order.  A staged row
-   holds the ids of one document with its range and its place there.
-2. The ids are counted (a task sums its own), and ranked; there are as many counts as
-   the vocabulary has ids, whatever the corpus.
+   holds the ids of one document with its range and its place there; the first row of a
+   chunk of texts has the counts of the chunk's ids beside them.
+2. The counts are summed (a task sums its own), and the ids ranked; there are as many counts
+   as the vocabulary has ids, whatever the corpus.
 3. A writer (Python data source) codes blocks of documents into files named after range
    and place, so that the order of names is that of the documents; only files named in a
    manifest that the driver commits are ever read.
@@ -40,7 +41,7 @@ RANGE_BYTES = 32 << 20    # of text, on average
 BLOCK_IDS = 1 << 18       # ids of a block, unless one document has more
 ROLL_IDS = 1 << 25        # ids of a file
 CHUNK = 1 << 23
-REMEMBERED = 3 << 18     # pieces whose ids a worker keeps, from task to task
+REMEMBERED = 1 << 20      # pieces whose ids a worker keeps, from task to task
 MAGIC = b"TKN1"
 
 # By control byte: the length of each of its ranks, of all four, and the places of their
@@ -72,6 +73,46 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return raw[np.minimum(at, len(data))].reshape(-1, 4).view("<u4").ravel()[:n]
 
 
+class Known:
+    """Ids of pieces, kept in arrays: Arrow finds the pieces of a chunk among the known ones,
+    ``make`` gives the ids (u32) of the others.  Beyond ``most`` pieces the half that was met
+    last stays."""
+
+    def __init__(self, make, most: int = REMEMBERED):
+        self.make, self.most, self.chunk = make, most, 0
+        self.pieces, self.ids = pa.array([], pa.binary()), np.zeros(0, np.uint32)
+        self.sizes = self.met = np.zeros(0, np.int64)
+
+    def of(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each list's end."""
+        flat = lists.flatten()
+        at = pc.index_in(flat, value_set=self.pieces)
+        if at.null_count:
+            new = flat.filter(at.is_null()).unique()
+            ids = self.make([p.decode("utf-8", "replace") for p in new.to_pylist()])
+            self.pieces = pa.concat_arrays([self.pieces, new])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
+            self.sizes = np.concatenate([self.sizes, np.array([len(x) // 4 for x in ids], np.int64)])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            at = pc.index_in(flat, value_set=self.pieces)
+        at = at.to_numpy(zero_copy_only=False)
+        self.chunk += 1
+        self.met[at] = self.chunk
+        starts, own = np.cumsum(self.sizes) - self.sizes, self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        place = np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])
+        out = self.ids[place], ends[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        if len(self.pieces) > self.most:
+            self._forget()
+        return out
+
+    def _forget(self):
+        keep = np.zeros(len(self.met), bool)
+        keep[np.argsort(-self.met, kind="stable")[:self.most // 2]] = True
+        self.pieces, self.ids = self.pieces.filter(pa.array(keep)), self.ids[np.repeat(keep, self.sizes)]
+        self.sizes, self.met = self.sizes[keep], self.met[keep]
+
+
 class Encoder:
     """Ids (u32) of texts.  White space is in no id, so texts are cut into pieces at blanks
     and line ends, and a mark after a word is a piece of its own, as for the tokenizer; each
@@ -87,7 +128,7 @@ class Encoder:
         self.last = np.zeros(self.t.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.t.get_vocab(with_added_tokens=True).items():
             self.last[i] = bool(suffix) and token.endswith(suffix)
-        self.pieces = vocab.Pieces(self._piece_ids, REMEMBERED)
+        self.known = Known(self._piece_ids)
 
     def _piece_ids(self, pieces):
         words = [p for p in pieces if LETTERS.fullmatch(p)]
@@ -106,8 +147,7 @@ class Encoder:
         # Names of special tokens are the only thing that lower case changes.
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         texts = pc.replace_substring_regex(texts, "([a-zà-öø-ÿ])([.,;:!?]) ", r"\1 \2 ")
-        ((ids, ends),), pieces = self.pieces.ids(pc.split_pattern(texts.cast(pa.binary()), b" "))
-        return ids, ends[pieces]
+        return self.known.of(pc.split_pattern(texts.cast(pa.binary()), b" "))
 
 
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -133,12 +173,18 @@ def _encoded(source: vocab.Source, end: int | None):
         part, place = TaskContext.get().partitionId(), 0
         for batch in chunks(batches, "text", CHUNK):
             every, ends = encoder.encode(batch.column("text"))
+            found = np.bincount(every, minlength=0 if end is None else end + 1)
+            if end is not None:
+                found[end] += batch.num_rows
+            some = np.flatnonzero(found)
+            counts = [np.concatenate([some, found[some]]).astype("<i8").tobytes()] + [None] * (batch.num_rows - 1)
             raw, ends = every.tobytes(), (4 * ends).tolist()
             ids = [raw[a:z] + tail for a, z in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(np.full(len(ids), part), pa.int64()),
                  pa.array(np.arange(place, place + len(ids)), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array([narrow(x) for x in ids], pa.binary())], names=["id", "part", "place", "n", "ids"])
+                 pa.array([narrow(x) for x in ids], pa.binary()), pa.array(counts, pa.binary())],
+                names=["id", "part", "place", "n", "ids", "counts"])
             place += len(ids)
     return tidy(run)
 
@@ -156,9 +202,9 @@ def _counts(size: int):
     def run(batches):
         sums = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                found = np.bincount(widen(x))
-                sums[:len(found)] += found
+            for x in batch.column("counts").drop_null().to_pylist():
+                tokens, n = np.frombuffer(x, "<i8").reshape(2, -1)
+                sums[tokens] += n
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], names=["token", "n"])
     return tidy(run)
@@ -330,9 +376,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     # The place in the input spreads rows of a frequent id, and orders them.
     rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, "id", "row").sortWithinPartitions("id", "row")
     encoded = staged(rows.select("id", "text").mapInArrow(
-        _encoded(source, end), "id long, part long, place long, n long, ids binary"), "token-ids")
+        _encoded(source, end), "id long, part long, place long, n long, ids binary, counts binary"), "token-ids")
     size = vocab.loaded(source).get_vocab_size(with_added_tokens=True)
-    counted = encoded.select("ids").mapInArrow(_counts(max(size, (end or 0) + 1)), "token long, n long").groupBy("token").agg(
+    counted = encoded.select("counts").mapInArrow(_counts(max(size, (end or 0) + 1)), "token long, n long").groupBy("token").agg(
         F.sum("n").alias("n"))
     # At most one row for each id of the vocabulary.
     found = counted.orderBy(F.desc("n"), "token").toPandas()
@@ -341,7 +387,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     name = f"ranks-{uuid.uuid4().hex}.bin"
     with fs.open_output_stream(f"{root}/{name}") as out:
         out.write(found["token"].to_numpy().astype("<u4").tobytes())
-    encoded.write.format("token_ids").option("path", path).option("ranks", name).mode("append").save()
+    encoded.drop("counts").write.format("token_ids").option("path", path).option("ranks", name).mode("append").save()
     discard(encoded)
 
 

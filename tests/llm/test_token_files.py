@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from gatherlens.llm import token_files as T
@@ -40,6 +41,24 @@ def test_equals_the_tokenizer(spark, documents, monkeypatch):
     assert [r[1] for r in want] == sorted(r[1] for r in want)
 
 
+def test_pieces_that_are_forgotten():
+    made = []
+
+    def make(pieces):
+        made.extend(pieces)
+        return [vocab.packed([len(p)] * len(p)) for p in pieces]
+    known = T.Known(make, most=4)
+    rng = random.Random(2)
+    for _ in range(40):
+        lists = [["x" * rng.randint(0, 9) for _ in range(rng.randint(0, 4))] for _ in range(3)]
+        ids, ends = known.of(pa.array([[p.encode() for p in ps] for ps in lists], pa.list_(pa.binary())))
+        want = [[len(p) for p in ps for _ in p] for ps in lists]
+        assert ids.tolist() == sum(want, [])
+        assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert len(known.pieces) <= 4
+    assert len(made) > 10 and known.of(pa.array([], pa.list_(pa.binary())))[0].tolist() == []
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "b"), (7, "x y"), (7, "x y"), (-1, None), (None, "b")], "doc_id long, text string")
     assert result(df) == brute([tuple(r) for r in df.collect()])
