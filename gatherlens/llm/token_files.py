@@ -85,19 +85,21 @@ class Known:
 
     def of(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each list's end."""
-        flat = lists.flatten()
-        at = pc.index_in(flat, value_set=self.pieces)
-        if at.null_count:
-            new = flat.filter(at.is_null()).unique()
+        numbered = lists.flatten().dictionary_encode()
+        at = pc.index_in(numbered.dictionary, value_set=self.pieces)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if missing.any():
+            new = numbered.dictionary.filter(pa.array(missing))
             ids = self.make([p.decode("utf-8", "replace") for p in new.to_pylist()])
+            at[missing] = len(self.pieces) + np.arange(len(new))
             self.pieces = pa.concat_arrays([self.pieces, new])
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
             self.sizes = np.concatenate([self.sizes, np.array([len(x) // 4 for x in ids], np.int64)])
             self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
-            at = pc.index_in(flat, value_set=self.pieces)
-        at = at.to_numpy(zero_copy_only=False)
         self.chunk += 1
         self.met[at] = self.chunk
+        at = at[numbered.indices.to_numpy()]
         starts, own = np.cumsum(self.sizes) - self.sizes, self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(own)])
         place = np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])
