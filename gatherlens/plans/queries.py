@@ -591,6 +591,12 @@ def svm_benchmark(spark, sf_dir):
     return _benchmark(spark, sf_dir, "SVC")
 
 
+@query
+def ovo_benchmark(spark, sf_dir):
+    """M3b + M5: TF-IDF -> chi2 top-k -> a linear SVM for each pair of classes, votes."""
+    return _benchmark(spark, sf_dir, "OVO")
+
+
 @query
 def rf_benchmark(spark, sf_dir):
     """M3c + M5: TF-IDF -> chi2 top-k -> random forest (200 trees)."""
