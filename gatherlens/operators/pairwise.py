@@ -11,6 +11,7 @@ persistence saves and loads it.
 from __future__ import annotations
 
 import itertools
+import math
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target, keyword_only
@@ -60,9 +61,12 @@ class OneVsOneSVC(Estimator, HasLabelCol, HasFeaturesCol, HasMaxIter, HasTol, Ha
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         label, features = self.getLabelCol(), self.getFeaturesCol()
-        rows = materialize(dataset.select(F.col(label).cast("double").alias("label"), F.col(features).alias(features)).filter("label IS NOT NULL"))
+        # Every iteration of a fit is a job: partitions by bytes, not as many as the input had.
+        rows = materialize(dataset.select(F.col(label).cast("double").alias("label"), F.col(features).alias(features))
+                                  .filter("label IS NOT NULL").hint("rebalance"))
         counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         classes = sorted(counts)
+        total, parts = sum(counts.values()), rows.rdd.getNumPartitions()
         if not classes:
             raise ValueError("no labelled rows to fit")
 
@@ -70,6 +74,8 @@ class OneVsOneSVC(Estimator, HasLabelCol, HasFeaturesCol, HasMaxIter, HasTol, Ha
             k, (low, high) = task
             pair = rows.filter(F.col("label").isin(low, high)).select(
                 features, (F.col("label") == high).cast("double").alias("label"))
+            share = (counts[low] + counts[high]) / total
+            pair = pair.coalesce(max(1, math.ceil(parts * share)))
             svm = LinearSVC(featuresCol=features, labelCol="label", predictionCol=f"{VOTE}{k}", rawPredictionCol="",
                             maxIter=self.getMaxIter(), tol=self.getTol(),
                             regParam=1.0 / (self.getOrDefault(self.C) * (counts[low] + counts[high])))
