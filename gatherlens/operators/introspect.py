@@ -90,6 +90,31 @@ def plural_lemmas(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().select("term", lemma.alias("lemma"))
 
 
+# The suffixes of nouns and what stands in their place in the base form.
+DETACHMENTS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"),
+               ("men", "man"), ("ies", "y"))
+
+
+def detached_lemmas(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """M7: a (term, lemma) table by detaching noun suffixes, where ``vocabulary`` (a table
+    with a column ``term``) holds what is left.
+
+    Each rule whose suffix a term ends in gives a candidate; of those that the vocabulary
+    holds the shortest is the lemma (of equally short ones the first by name), and a term
+    without any is its own.  Terms are looked up by an equi-join, once each; null terms
+    are left out.
+    """
+    own = terms.where("term IS NOT NULL").select("term").distinct()
+    t = F.col("term")
+    forms = [F.when(t.endswith(end) & (F.length(t) > len(end)), F.concat(F.substring(t, F.lit(1), F.length(t) - len(end)), F.lit(base)))
+             for end, base in DETACHMENTS]
+    candidates = own.select("term", F.explode(F.array_compact(F.array(*forms))).alias("lemma"))
+    known = vocabulary.select(F.col("term").alias("lemma")).distinct()
+    best = candidates.join(known, "lemma", "left_semi").groupBy("term").agg(
+        F.min(F.struct(F.length("lemma").alias("n"), "lemma")).alias("best"))
+    return own.join(best, "term", "left").select("term", F.coalesce("best.lemma", "term").alias("lemma"))
+
+
 def lemma_weights(top: DataFrame, lemmas: DataFrame | None = None,
                   n: int = TOP_TERMS) -> DataFrame:
     """M7: keyword weights per (label, lemma) for a word cloud.

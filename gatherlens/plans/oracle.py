@@ -297,6 +297,22 @@ ORACLE["lemma_weights"] = _with(TOP_TERMS, """
 SELECT label, substr(term, 1, 3) AS lemma, 25 + min(25 - rank) AS weight FROM top
 GROUP BY label, lemma""")
 
+LEMMAS = TOP_TERMS + """,
+rules AS (SELECT * FROM (VALUES ('s', ''), ('ses', 's'), ('ves', 'f'), ('xes', 'x'), ('zes', 'z'), ('ches', 'ch'),
+                                ('shes', 'sh'), ('men', 'man'), ('ies', 'y')) AS r(ending, base)),
+voc AS (SELECT DISTINCT term FROM nbw),
+forms AS (SELECT term, left(term, length(term) - length(ending)) || base AS lemma FROM voc JOIN rules
+          ON suffix(term, ending) AND length(term) > length(ending)),
+short AS (SELECT term, lemma FROM forms WHERE lemma IN (SELECT term FROM voc)
+          QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(lemma), lemma) = 1),
+lemmas AS (SELECT term, coalesce(lemma, term) AS lemma FROM voc LEFT JOIN short USING (term))"""
+
+ORACLE["term_lemmas"] = _with(LEMMAS, "SELECT term, lemma FROM lemmas")
+
+ORACLE["detached_lemma_weights"] = _with(LEMMAS, """
+SELECT label, lemma, 25 + min(25 - rank) AS weight FROM top JOIN lemmas USING (term)
+GROUP BY label, lemma""")
+
 SEQ = _corpus("lang") + """,
 trw AS (SELECT unnest(string_split_regex(text, ' +')) AS word FROM corpus WHERE split = 'train'),
 idx AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id, count(*) AS n

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from gatherlens.functions import scalars as X
 from gatherlens.functions import text as T
 from gatherlens.operators import corpus as C
 from gatherlens.operators import density as K
+from gatherlens.operators import extratrees as XT
 from gatherlens.operators import introspect as I
 from gatherlens.operators import metrics as M
 from gatherlens.operators import models as ML
@@ -420,7 +422,7 @@ def chi2_topk(spark, sf_dir):
     return TF.chi2_top_k(scores, TF.SELECT_K)
 
 
-def _top_terms(spark, sf_dir):
+def _term_weights(spark, sf_dir):
     """Vectoriser, chi-square selection and naive Bayes weights fitted on the
     training split, as the reference's pipeline is."""
     # The cleaned training corpus feeds the features and the labels: clean once.
@@ -431,8 +433,11 @@ def _top_terms(spark, sf_dir):
     # at most SELECT_K rows
     feats = feats.join(F.broadcast(selected.select("term")), "term", "left_semi")
     n_features = selected.select(F.count(F.lit(1))).scalar()
-    weights = I.nb_term_weights(feats, labels, I.ALPHA, n_features=n_features)
-    return I.top_terms(weights, I.TOP_TERMS)
+    return I.nb_term_weights(feats, labels, I.ALPHA, n_features=n_features)
+
+
+def _top_terms(spark, sf_dir):
+    return I.top_terms(_term_weights(spark, sf_dir), I.TOP_TERMS)
 
 
 @query
@@ -460,6 +465,22 @@ def lemma_weights(spark, sf_dir):
     return I.lemma_weights(top, S.stem_table(top), I.TOP_TERMS)
 
 
+@query
+def detached_lemma_weights(spark, sf_dir):
+    """M7: keyword weights of each language merged by noun suffixes that the selected terms
+    show to be such; the lemmas of all terms, the weights of the heaviest."""
+    weights = materialize(_term_weights(spark, sf_dir))
+    top = I.top_terms(weights, I.TOP_TERMS)
+    return I.lemma_weights(top, I.detached_lemmas(top, weights), I.TOP_TERMS)
+
+
+@query
+def term_lemmas(spark, sf_dir):
+    """M7: the lemma of every selected term, by noun suffixes detached."""
+    weights = materialize(_term_weights(spark, sf_dir))
+    return I.detached_lemmas(weights, weights)
+
+
 def _word_index(spark, sf_dir):
     # The cleaned corpus feeds the index (training split) and the sequences.
     corpus = materialize(C.train_test_split(_corpus(spark, sf_dir)))
@@ -609,6 +630,17 @@ def etc_benchmark(spark, sf_dir):
     return _benchmark(spark, sf_dir, "ETC")
 
 
+@query
+def extra_trees_benchmark(spark, sf_dir):
+    """M3d + M5: TF-IDF -> chi2 top-k -> extremely randomised trees (200, random cuts)."""
+    data = materialize(_labelled(spark, sf_dir))
+    train = data.filter(F.col("split") == "train")
+    text = Pipeline(stages=ML.text_stages()).fit(train)
+    model = XT.fit(text.transform(train))
+    scores = ML.evaluate(model, text.transform(data.filter(F.col("split") == "test")), {"model": "EXT", "task": "lang"})
+    return rounded(scores, "f1", "f1_by_prediction", "acc")
+
+
 @query
 def cv_best(spark, sf_dir):
     """M4: 3-fold grid search of the naive Bayes smoothing, best model refit and scored."""

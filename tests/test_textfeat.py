@@ -124,6 +124,18 @@ def test_top_terms_and_lemmas(spark):
     assert weights == {(0, "horse"): 3, (0, "cats"): 5, (1, "x"): 5}
 
 
+def test_detached_lemmas_are_words_of_the_vocabulary(spark):
+    words = ["cats", "cat", "wolves", "wolf", "wolve", "boxes", "box", "boxe", "parties", "party", "women", "woman", "class", "gas",
+             "buses", "bus", "buse", "s", "men", "dishes", "dogs", None]
+    terms = spark.createDataFrame([(w,) for w in words + ["cats"]], "term string")
+    vocabulary = spark.createDataFrame([(w,) for w in words if w != "dogs"] + [("bus",), ("dish",)], "term string")
+    got = {r.term: r.lemma for r in I.detached_lemmas(terms, vocabulary).collect()}
+    changed = {"cats": "cat", "wolves": "wolf", "boxes": "box", "parties": "party", "women": "woman", "buses": "bus", "dishes": "dish"}
+    # No rule gives a word for gas, class, dogs (dog isn't known) and men (man isn't).
+    assert got == {w: changed.get(w, w) for w in words if w}
+    assert I.detached_lemmas(terms.limit(0), vocabulary).count() == 0
+
+
 def test_word_index_sequences_and_padding(spark):
     corpus = spark.createDataFrame([(1, "b a c a"), (2, "c b zz"), (3, "")], "doc_id long, text string")
     idx = {r.word: r.id for r in TF.word_index(corpus, num_words=3).collect()}
