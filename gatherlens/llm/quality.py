@@ -11,9 +11,10 @@ So the threshold can be read off trusted documents that were held out of the tar
 mean less ``HELD_OUT_SPREAD`` standard deviations if that is lower (a few rows do not
 show the lowest scores), and it moves with the scores at every size of the trusted set.
 
-Every document is counted and scored.  Counting adds up vectors of a fixed number
-of buckets within each task before the shuffle.  The trusted rows are a bounded,
-documented sample of the labelled ones (``max_trusted``, expected number).
+Every document is counted and scored, and every trusted row of the labels is counted or
+held out.  Counting adds up vectors of a fixed number of buckets within each task before
+the shuffle.  Trusted ids meet the documents in plain joins, broadcast only where the
+planner finds them small.
 """
 from __future__ import annotations
 
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from gatherlens.llm.common import chunks, hash_words, mix, staged, utf8, windows
 
 BITS = 16
-MAX_TRUSTED = 20_000
 # A kept document is at most exp(0.4) times as likely under the raw corpus, per n-gram.
 THRESHOLD = -0.4
 # Share of the held-out trusted documents that may score below the threshold.
@@ -127,9 +127,9 @@ def _judged(ratio: np.ndarray):
 def log_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text: str) -> np.ndarray:
     """Log ratio (in units) of each bucket: trusted target over raw corpus.  The raw
     corpus has one added to each bucket; the target is shrunk to it with the weight of
-    PRIOR n-grams, so that few trusted rows tell little.  ``trusted_ids``: one bounded
-    column of ids."""
-    ids = F.broadcast(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("t_id")).where("t_id IS NOT NULL").distinct())
+    PRIOR n-grams, so that few trusted rows tell little.  ``trusted_ids``: one column
+    of ids."""
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("t_id")).where("t_id IS NOT NULL").distinct()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
         ids, F.col("id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("trusted"))
     found = rows.mapInArrow(_counts, "bucket long, raw long, trusted long").groupBy("bucket").agg(
@@ -142,13 +142,12 @@ def log_ratio(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text: str) -
     return np.round(UNIT * np.log(target / raw)).astype(np.int64)
 
 
-def trusted_sample(labels: DataFrame, id_col: str, good, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """Ids of about ``max_trusted`` rows of ``labels`` (all, if fewer) for which the
-    column ``good`` holds, chosen by a hash of the id."""
-    ids = labels.where(good).select(F.col(f"`{id_col}`").alias("t_id")).where("t_id IS NOT NULL")
-    n = ids.count()
-    place = F.pmod(F.xxhash64("t_id", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return staged(ids.where(place < F.lit(max_trusted / max(n, 1))), "trusted-ids")
+def trusted_rows(labels: DataFrame, id_col: str, good) -> DataFrame:
+    """Ids (not null) of all rows of ``labels`` for which the column ``good`` holds."""
+    return staged(labels.where(good).select(F.col(f"`{id_col}`").alias("t_id")).where("t_id IS NOT NULL"), "trusted-ids")
+
+
+trusted_sample = trusted_rows  # its name while it took a sample
 
 
 def held_out_half(trusted_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +163,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text:
     Null and empty texts have no words and fail the base rules.  Repeated rows are
     judged alike; an empty table gives no rows; other columns play no part.  Without
     trusted rows every score is 0, and the base rules decide.  With ``held_out`` (one
-    bounded column of ids, none of them trusted) the threshold follows their scores;
+    column of ids, none of them trusted) the threshold follows their scores;
     where fewer than two of them pass the base rules, the base rules decide alone.
     """
     ratio = log_ratio(docs, trusted_ids, id_col, text)
@@ -176,7 +175,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text:
     score = F.when(F.col("n_ngrams") > 0, F.col("units") / F.lit(float(UNIT)) / F.col("n_ngrams"))
     if held_out is not None:
         rows = staged(rows, "quality-scores")  # one row of numbers per document
-        ids = F.broadcast(held_out.select(F.col(held_out.columns[0]).alias("t_id")).distinct())
+        ids = held_out.select(F.col(held_out.columns[0]).alias("t_id")).distinct()
         scores = rows.join(ids, F.col("id") == F.col("t_id"), "left_semi").where(~failed).select(score.alias("score"))
         low, mean, spread = scores.agg(F.percentile("score", F.lit(HELD_OUT_SHARE)), F.avg("score"), F.stddev("score")).first()
         threshold = float("-inf") if spread is None else min(low, mean - HELD_OUT_SPREAD * spread)

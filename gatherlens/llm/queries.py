@@ -33,7 +33,7 @@ def op2_quality_rules(spark, sf_dir):
     """Base rules and log-likelihood ratio; trusted target: half of those labelled quality 1,
     threshold from the other half."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    trusted, held_out = quality.held_out_half(quality.trusted_sample(labels, "doc_id", F.col("quality") == 1))
+    trusted, held_out = quality.held_out_half(quality.trusted_rows(labels, "doc_id", F.col("quality") == 1))
     return quality.judge(docs, trusted, held_out=held_out)
 
 

@@ -117,5 +117,15 @@ def test_threshold_from_held_out_rows_at_any_size(spark):
 
 def test_no_held_out_rows(spark, documents):
     none = spark.createDataFrame([], "t_id long")
-    assert [r["kept"] for r in Q.judge(documents(["word " * 9, None, "a b c d e f g h i j"]), none, held_out=none).collect()] == [False, False, True]
+    assert [r["kept"] for r in Q.judge(documents(["word " * 9, None, "a b c d e f g h i j"]), none, held_out=none).orderBy("doc_id").collect()] == [False, False, True]
     assert Q.judge(documents(["a"]).limit(0), none, held_out=none).count() == 0
+
+
+def test_every_trusted_row_is_taken(spark):
+    """More than the 20,000 rows that were once sampled."""
+    from pyspark.sql import functions as F
+    labels = spark.range(50_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = Q.trusted_sample(labels, "doc_id", labels["quality"] == 1)
+    assert got.count() == got.distinct().count() == 25_000
+    trusted, held = Q.held_out_half(got)
+    assert trusted.count() + held.count() == 25_000 and trusted.intersect(held).count() == 0
