@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import NaiveBayesModel, OneVsRestModel
-from pyspark.ml.feature import CountVectorizerModel, VectorSlicer
+from pyspark.ml.feature import CountVectorizerModel, VarianceThresholdSelectorModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +55,8 @@ def fitted_term_weights(spark: SparkSession, model: PipelineModel) -> DataFrame:
     last = model.stages[-1]
     terms = np.array(next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary, dtype=object)
     for s in model.stages:
-        if isinstance(s, VectorSlicer):
-            terms = terms[s.getIndices()]
+        if isinstance(s, VarianceThresholdSelectorModel):
+            terms = terms[s.selectedFeatures]
     if isinstance(last, NaiveBayesModel):
         rows = last.theta.toArray()
     elif isinstance(last, OneVsRestModel):
