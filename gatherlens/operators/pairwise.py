@@ -23,7 +23,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, Has
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherlens.session import materialize
+from gatherlens.session import stored
 
 VOTE = "_vote"
 
@@ -61,9 +61,10 @@ class OneVsOneSVC(Estimator, HasLabelCol, HasFeaturesCol, HasMaxIter, HasTol, Ha
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         label, features = self.getLabelCol(), self.getFeaturesCol()
-        # Every iteration of a fit is a job: partitions by bytes, not as many as the input had.
-        rows = materialize(dataset.select(F.col(label).cast("double").alias("label"), F.col(features).alias(features))
-                                  .filter("label IS NOT NULL").hint("rebalance"))
+        # Every iteration of a fit is a job: stored rows are read in partitions by bytes, not as
+        # many as the input had (a rebalanced table that is kept has one for each shuffle partition).
+        rows = stored(dataset.select(F.col(label).cast("double").alias("label"), F.col(features).alias(features))
+                             .filter("label IS NOT NULL"), "rows")
         counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         classes = sorted(counts)
         total, parts = sum(counts.values()), rows.rdd.getNumPartitions()
