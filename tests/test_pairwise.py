@@ -53,3 +53,22 @@ def test_one_class_and_none(rows):
     assert {r["prediction"] for r in one.transform(rows).collect()} == {2.0}
     with pytest.raises(ValueError):
         OneVsOneSVC().fit(rows.filter("label IS NULL"))
+
+
+def test_fits_have_few_partitions(spark, monkeypatch):
+    """A fit's jobs have tasks by bytes, whatever the number of shuffle partitions."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.linalg import Vectors
+
+    from gatherlens.operators.pairwise import OneVsOneSVC
+    df = spark.createDataFrame([(float(i % 3), Vectors.dense([float(i % 3), 1.0])) for i in range(60)], ["label", "features"])
+    parts, fit = [], LinearSVC.fit
+    monkeypatch.setattr(LinearSVC, "fit", lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        model = OneVsOneSVC().fit(df.repartition(3))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(parts) == 3 and max(parts) <= 4
+    assert all(r["label"] == r["prediction"] for r in model.transform(df).collect())
