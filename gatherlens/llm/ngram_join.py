@@ -246,6 +246,9 @@ def _verified(batches):
 
 def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     side = [c for c in sets.columns if c not in ("band", "alone", "centre", "sid")]
+    # Few sets are in pairs after the first round: the others do not go through the exchanges.
+    paired = staged(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "paired")
+    sets = sets.join(paired, "sid", "left_semi")
     for p in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("sid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in side]), p)
     pairs = pairs.where(f"100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)")

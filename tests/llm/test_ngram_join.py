@@ -90,3 +90,17 @@ def test_all_links_are_counted(spark, documents, monkeypatch, block_sets, block_
     want = [sum(100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets) if y and j != i) if x else 0 for i, x in enumerate(sets)]
     got = {r["doc_id"]: r["n_links"] for r in J.join_groups(documents(texts), n_links=True).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_only_paired_sets_are_sent(spark, documents, monkeypatch):
+    """The sets' table is cut to the sets in pairs before either join moves it."""
+    plans, staged = [], J.staged
+
+    def noted(df, name):
+        if name in ("pivot-links", "across-links"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged(df, name)
+    monkeypatch.setattr(J, "staged", noted)
+    texts = B.near_copies(1)
+    check(documents(texts, list(range(len(texts)))), texts, list(range(len(texts))))
+    assert len(plans) > 1 and all(p.count("LeftSemi") == 2 for p in plans)
