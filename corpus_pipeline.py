@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from gatherlens.llm import langid, mixing, ngram_join, pieces, secret_scan
 from gatherlens.llm.common import free_name, row_hash, staged
 
+# A bitmap of keys: bits of a page (as bitmap_construct_agg makes them), pages at most, bits a key.
+PAGE, PAGES, KEY_BITS = 1 << 15, 1 << 11, 16
+
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a hash of the whole row (128 bits), and the name of that column, which
@@ -29,6 +32,23 @@ def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def _split(rows: DataFrame, key: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key is surely not in ``listed``, and the rest, which may be: a bitmap of
+    the listed keys' hashes tells them apart, so that joins move the texts of the rest only.
+    The bitmap has PAGES pages of PAGE bits at most; more keys only make the rest larger."""
+    pages = max(1, min(PAGES, -(-listed.count() * KEY_BITS // PAGE)))
+    slot = F.pmod(F.xxhash64(key), F.lit(pages * PAGE))
+    page, bits = free_name(rows, "page"), free_name(rows, "bits")
+    place = (slot % PAGE).cast("long")
+    filled = staged(listed.select(F.floor(slot / PAGE).alias(page), place.alias("place")).groupBy(page).agg(
+        F.bitmap_construct_agg("place").alias(bits)), "listed-bits")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    # at most PAGES rows of PAGE bits: 8 MB
+    marked = rows.withColumn(page, F.floor(slot / PAGE)).join(F.broadcast(filled), page, "left").withColumn(bits, found).drop(page)
+    return marked.where(~F.col(bits)).drop(bits), marked.where(bits).drop(bits)
+
+
 def language_id(spark, docs, sf_dir):
     """Drops documents whose language can't be told (no words, noise, undecided).  The
     text model is fitted on a bounded sample of ``docs`` labelled by ``lang``."""
@@ -49,10 +69,11 @@ def near_duplicates(spark, docs, sf_dir):
     rows = staged(groups.select(F.col("row.key").alias(key), F.col("component_id.key").alias("head")), "groups")
     others = staged(rows.where(F.col(key) != F.col("head")).select(key).distinct(), "others")
     repeated = staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
-    kept = keyed.join(others, key, "left_anti")
+    clear, rest = _split(keyed, key, others.union(repeated))
+    kept = rest.join(others, key, "left_anti")
     single = kept.join(repeated, key, "left_anti")
     first = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return single.unionByName(first).select(*_columns(docs))
+    return clear.unionByName(single).unionByName(first).select(*_columns(docs))
 
 
 def secrets(spark, docs, sf_dir):

@@ -65,3 +65,15 @@ def test_columns_of_any_name_stay(spark):
         out = staged(stage(spark, df, None), "t")
         assert out.columns == df.columns
         assert all(r[n] == r["doc_id"] * 10 + i for r in out.collect() for i, n in enumerate(names))
+
+
+def test_only_rows_that_may_be_listed_meet_joins(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("cast(id as string) AS key", "id AS page", "id * 2 AS bits")
+    listed = rows.where("page % 10 = 3").select("key")
+    clear, rest = P._split(rows, "key", listed)
+    assert clear.columns == rest.columns == rows.columns
+    a, b = [{r["page"] for r in x.collect()} for x in (clear, rest)]
+    assert a | b == set(range(5000)) and not a & b and {i for i in range(5000) if i % 10 == 3} <= b and len(b) < 1000
+    monkeypatch.setattr(P, "PAGES", 0)
+    none, every = P._split(rows, "key", listed.where("false"))
+    assert none.count() == 5000 and every.count() == 0
