@@ -6,7 +6,7 @@ and returns a DataFrame; all but the last return the columns of ``docs`` as they
 
 Decisions are found on short rows (no texts) and staged.  The rows that must go are then
 taken out by an anti join on a row key, which the planner broadcasts only if the staged
-table is small; else it shuffles.  Empty tables pass through; nulls and repeated rows are
+table is small; else it shuffles (near_duplicates: only rows that may be in it, ``_split``).  Empty tables pass through; nulls and repeated rows are
 handled as the stages say; other columns stay as they are, whatever their names.
 """
 from __future__ import annotations
