@@ -21,6 +21,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ MAX_FEATURES = 20000
 SELECT_K = 10000
 NUM_WORDS = 20000
 MAX_SEQUENCE_LENGTH = 500
+# An index or table of up to so many rows is sent to the tasks whole; a larger one is joined.
+LOCAL_ROWS = 1 << 17
+LOOKED_UP = 1 << 10  # documents looked up at a time
 
 
 def _doc_terms(corpus: DataFrame, stop_words: Iterable[str] | None, pattern: str) -> DataFrame:
@@ -127,14 +133,59 @@ def word_index(corpus: DataFrame, num_words: int | None = NUM_WORDS) -> DataFram
 def token_sequences(corpus: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, seq) -- each document's words replaced by their ids, unknown words skipped.
 
-    Words are exploded with their positions and looked up in ``index`` by an
-    equi-join.  No broadcast is forced here, since ``index`` comes from the caller:
-    Spark broadcasts it when its estimated size is small (an index cut by
-    :func:`word_index` has a known row count of at most ``num_words``), and
-    otherwise joins by sort-merge.  The per-document
-    ``collect_list`` aggregates partially: the words of a document come from one
-    input row, so one partial list per document is shuffled, not the words.
-    Documents without a known word get an empty sequence.
+    An index of at most ``LOCAL_ROWS`` words (one cut by :func:`word_index` has fewer than
+    ``num_words``) is sent to the tasks, which look a text's words up in one pass: only
+    texts move, once, to bring together those of equal ``doc_id``, whose words go by
+    position, then id.  A larger index, or one with repeated words, is joined with the
+    exploded words.  Documents without a known word get an empty sequence.
+    """
+    known = index.select("word", "id").filter(F.col("word").isNotNull() & (F.col("word") != ""))
+    local = known.limit(LOCAL_ROWS + 1).toArrow()
+    if local.num_rows > LOCAL_ROWS or len(local["word"].unique()) < local.num_rows:
+        return _joined_sequences(corpus, index)
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    sent = corpus.sparkSession.sparkContext.broadcast(local.combine_chunks())
+    texts = corpus.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+
+    def look_up(batches):
+        table = sent.value
+        found, ids = table["word"].combine_chunks(), table["id"].combine_chunks()
+        for batch in batches:
+            for at in range(0, batch.num_rows, LOOKED_UP):
+                part = batch.slice(at, LOOKED_UP)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _sequences(part.column("texts"), found, ids)],
+                                                 names=["doc_id", "seq"])
+
+    return texts.mapInArrow(look_up, f"doc_id {kind}, seq array<{index.schema['id'].dataType.simpleString()}>")
+
+
+def _sequences(texts: pa.ListArray, found: pa.Array, ids: pa.Array) -> pa.ListArray:
+    """The ids of the words of each list of texts, by position in their text, then id."""
+    split = pc.split_pattern(pc.list_flatten(texts), " ")
+    doc_of_text = pc.list_parent_indices(texts).to_numpy(zero_copy_only=False)
+    words, text_of_word = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+    place = pc.index_in(words, value_set=found)
+    hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+    place, doc = place.take(pa.array(hit)), doc_of_text[text_of_word[hit]]
+    if len(doc_of_text) and (np.diff(doc_of_text) == 0).any():
+        # Places in a text count its words, not the empty strings between blanks.
+        word = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0).cumsum()
+        first = np.concatenate([[0], np.flatnonzero(np.diff(text_of_word)) + 1])
+        start = np.zeros(len(doc_of_text), np.int64)
+        start[text_of_word[first]] = word[first]
+        # A text that begins with a blank counts from its first word.
+        blank = pc.binary_length(words).to_numpy(zero_copy_only=False)[first] == 0
+        start[text_of_word[first]] += blank
+        order = np.lexsort((ids.take(place).to_numpy(zero_copy_only=False), word[hit] - start[text_of_word[hit]], doc))
+        place = place.take(pa.array(order))
+    ends = np.concatenate([[0], np.bincount(doc, minlength=len(texts)).cumsum()])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(place))
+
+
+def _joined_sequences(corpus: DataFrame, index: DataFrame) -> DataFrame:
+    """``token_sequences`` by an equi-join of the words with an index of any size.  The
+    per-document ``collect_list`` aggregates partially: the words of a document come
+    from one input row, so one partial list per document is shuffled, not the words.
     """
     pos = corpus.select("doc_id", F.posexplode_outer(words("text")).alias("pos", "word"))
     hits = pos.join(index.select("word", "id"), "word", "left")
